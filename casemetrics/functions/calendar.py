@@ -9,7 +9,8 @@ from casemetrics.functions.clock import END_STATES
 
 
 def second_label(ts: str) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    """``yyyy-MM-dd HH:mm:ss``, cut from the text form so that no time zone takes part."""
+    return F.substring(F.col(ts).cast("string"), 1, 19)
 
 
 def month_label(ts: str) -> Column:
@@ -39,9 +40,9 @@ def closed_month(ts: str, status: str = "status") -> Column:
 
 
 def month_start(ts: str) -> Column:
-    return F.date_trunc("month", F.col(ts)).cast("timestamp_ntz")
+    return F.trunc(F.to_date(ts), "month").cast("timestamp_ntz")
 
 
 def week_start(ts: str) -> Column:
     """Monday midnight of the week."""
-    return F.date_trunc("week", F.col(ts)).cast("timestamp_ntz")
+    return F.trunc(F.to_date(ts), "week").cast("timestamp_ntz")
