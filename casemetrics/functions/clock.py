@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
@@ -44,10 +44,9 @@ def _time_of_day_us(ts: Column) -> Column:
 def work_clock_us(ts: Column, work_days: Column, anchor: Column) -> Column:
     """Working microseconds from the anchor day to ``ts``."""
     day = F.datediff(ts, anchor)
-    weekday = F.pmod(day, F.lit(7))
-    weeks = F.floor((day - weekday) / 7)
-    into_week = weekday.cast("bigint") * DAY_US + _time_of_day_us(ts)
-    return weeks * work_days * F.lit(DAY_US) + F.least(into_week, work_days * F.lit(DAY_US))
+    into_week = F.pmod(day, F.lit(7)).cast("bigint") * DAY_US + _time_of_day_us(ts)
+    worked_week = work_days * F.lit(DAY_US)
+    return F.floor(day / 7) * worked_week + F.least(into_week, worked_week)
 
 
 def business_us(start, end, work_days=5, anchor=MONDAY) -> Column:
@@ -87,25 +86,35 @@ def to_beijing(ts, source_zone: str = "UTC") -> Column:
     return F.convert_timezone(F.lit(source_zone), F.lit("Asia/Shanghai"), _ntz(ts))
 
 
-def time_to_resolve_us(
+def with_time_to_resolve(
+    df: DataFrame,
+    name: str,
     now: Column,
     beijing_sites: Sequence[str] = BEIJING_SITES,
     location: str = "location",
     days_week: str = "days_week",
     source_zone: str = "UTC",
-) -> Column:
-    """Working microseconds a case took, or has taken up to ``now`` while it is open.
+) -> DataFrame:
+    """Add the working microseconds a case took, or has taken up to ``now`` while it is open.
 
-    The row's site and work week choose the calendar first; then one clock formula runs, whatever
-    the calendar is.
+    The row's site and work week choose calendar and zone first; then one clock formula runs over
+    the chosen values, whatever the calendar is.
     """
     site = F.col(location)
     gulf = F.coalesce(site == GULF_SITE, F.lit(False))
     beijing = F.coalesce(site.isin(list(beijing_sites)), F.lit(False))
     longer_week = F.when(F.col(days_week).isin(6, 7), F.col(days_week)).otherwise(5)
-    work_days = F.when(gulf | beijing, 5).otherwise(longer_week)
-    anchor = F.when(gulf, F.lit(SUNDAY)).otherwise(F.lit(MONDAY))
-    start = F.col("create_date")
     end = F.when(F.col("status").isin(END_STATES), F.col("resolved_date")).otherwise(now)
-    shift = lambda ts: F.when(beijing, to_beijing(ts, source_zone)).otherwise(ts)
-    return business_us(shift(start), shift(end), work_days, anchor)
+    chosen = {
+        "_work_days": F.when(gulf | beijing, 5).otherwise(longer_week),
+        "_anchor": F.when(gulf, F.lit(SUNDAY)).otherwise(F.lit(MONDAY)),
+        "_beijing": beijing,
+        "_from": F.col("create_date"),
+        "_to": end,
+    }
+    shifted = {
+        c: F.when(F.col("_beijing"), to_beijing(F.col(c), source_zone)).otherwise(F.col(c))
+        for c in ("_from", "_to")
+    }
+    taken = business_us("_from", "_to", F.col("_work_days"), F.col("_anchor"))
+    return df.withColumns(chosen).withColumns(shifted).withColumn(name, taken).drop(*chosen)

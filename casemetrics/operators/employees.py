@@ -51,12 +51,12 @@ def join_person(
     prefix: str,
     columns: Sequence[str],
     where: Column | None = None,
-    spread_by: Sequence[str] = ("case_id",),
+    fits: bool | None = None,
 ) -> DataFrame:
     """Left join the person behind ``login``, any case, as ``prefix_<column>``."""
     key = f"_{prefix}_login"
     side = people if where is None else people.filter(where)
     side = side.select(
         F.col("login").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in columns]
-    ).distinct()
-    return lookup_join(df.withColumn(key, F.lower(login)), side, [key], spread_by).drop(key)
+    )
+    return lookup_join(df.withColumn(key, F.lower(login)), side, [key], fits).drop(key)

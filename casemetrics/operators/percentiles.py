@@ -37,26 +37,30 @@ def group_percentiles(
     """One row per key with one column per fraction, in microseconds.
 
     Groups below ``hot_rows`` use Spark's exact percentile aggregate, whose buffer holds the
-    group's distinct values. Larger groups are searched by counting, see ``_search_ranks``.
+    group's distinct values. Larger groups are searched by counting, see ``_search_ranks``; the
+    largest size is looked up first, so that the search is planned only where it is needed. There
+    are at most all rows / ``hot_rows`` such groups, which bounds every broadcast of the search.
     """
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(value_us).alias("_rows"))
+    largest = sizes.agg(F.max("_rows")).first()[0] or 0
+    if largest < hot_rows:
+        return _aggregate(df, keys, value_us, fractions)
     hot = sizes.filter(F.col("_rows") >= hot_rows)
-    hot_keys = hot.select(*_prefixed(keys, "_hot_"))
-
-    def of_hot(how: str) -> DataFrame:
-        return df.join(F.broadcast(hot_keys), _matches(keys, "_hot_"), how)
-
-    names = list(fractions)
-    every = F.percentile(F.col(value_us), [fractions[n] for n in names])
-    ordinary = (
-        of_hot("left_anti")
-        .groupBy(*keys)
-        .agg(every.alias("_all"))
-        .select(*keys, *[F.col("_all")[i].alias(n) for i, n in enumerate(names)])
+    hot_keys = F.broadcast(hot.select(*_prefixed(keys, "_hot_")))
+    ordinary = df.join(hot_keys, _matches(keys, "_hot_"), "left_anti")
+    large = df.join(hot_keys, _matches(keys, "_hot_"), "left_semi")
+    return _aggregate(ordinary, keys, value_us, fractions).unionByName(
+        _search_ranks(large, hot, keys, value_us, fractions)
     )
-    searched = _search_ranks(of_hot("left_semi"), hot, keys, value_us, fractions)
-    return ordinary.unionByName(searched)
+
+
+def _aggregate(
+    df: DataFrame, keys: list[str], value_us: str, fractions: Mapping[str, float]
+) -> DataFrame:
+    every = F.percentile(F.col(value_us), list(fractions.values()))
+    found = df.groupBy(*keys).agg(every.alias("_all"))
+    return found.select(*keys, *[F.col("_all")[i].alias(n) for i, n in enumerate(fractions)])
 
 
 def _search_ranks(

@@ -62,7 +62,6 @@ def _rollup_measures(scope: Column) -> list[Column]:
         count(event == V.REOPENING, "reopened"),
         count((event == V.ROOT_CAUSE_MARK) & F.lower(text).contains("audit"), "audit_root"),
         count(event == V.QUICKLINK, "created_from_quicklink"),
-        F.max(F.when(scope & (event == V.QUICKLINK), text)).alias("quicklink_text"),
         first_mark(V.TWO_DAY_MARKS, "two_days"),
         first_mark(V.FIVE_DAY_MARKS, "five_days"),
         F.max(F.when(scope & counted, number_mark(text, V.NOT_COUNTS))).alias("case_count"),
@@ -70,10 +69,21 @@ def _rollup_measures(scope: Column) -> list[Column]:
     ]
 
 
+def quicklink_texts(audit: DataFrame, options: Options) -> DataFrame:
+    """Greatest quicklink text per case.
+
+    Kept out of the roll-up: one text buffer would turn its hash aggregation into a sort of all
+    events, while quicklink events in scope are few.
+    """
+    links = audit.filter(_counts_for_rollup(options) & (F.col("type") == V.QUICKLINK))
+    return links.groupBy("case_id").agg(F.max("to_string").alias("quicklink_text"))
+
+
 def audit_rollup(audit: DataFrame, options: Options) -> DataFrame:
-    """Counts, first marks and case count of each case with an event in scope."""
+    """Counts, first marks, case count and quicklink of each case with an event in scope."""
     scope = _counts_for_rollup(options)
-    return audit.filter(scope).groupBy("case_id").agg(*_rollup_measures(scope))
+    counts = audit.filter(scope).groupBy("case_id").agg(*_rollup_measures(scope))
+    return counts.join(quicklink_texts(audit, options), "case_id", "left")
 
 
 def correspondence_counts(audit: DataFrame, options: Options) -> DataFrame:
@@ -90,7 +100,9 @@ def groups_of_process(groups: DataFrame, process: str) -> DataFrame:
     return groups.filter(F.col("dash_process") == process).select("resolver_group").distinct()
 
 
-def routing_events(audit: DataFrame, groups: DataFrame, options: Options) -> DataFrame:
+def routing_events(
+    audit: DataFrame, groups: DataFrame, options: Options, fits: bool | None = None
+) -> DataFrame:
     """Routings into a group of the benefits process, the automation queue left out."""
     events = audit.filter(
         (F.col("type") == V.ROUTING)
@@ -105,10 +117,12 @@ def routing_events(audit: DataFrame, groups: DataFrame, options: Options) -> Dat
         F.col("create_date").alias("routed_date"),
     )
     targets = groups_of_process(groups, V.BENEFITS).withColumnRenamed("resolver_group", "routed_to")
-    return lookup_join(events, targets, ["routed_to"], how="left_semi")
+    return lookup_join(events, targets, ["routed_to"], fits, "left_semi")
 
 
-def reopening_events(audit: DataFrame, groups: DataFrame, options: Options) -> DataFrame:
+def reopening_events(
+    audit: DataFrame, groups: DataFrame, options: Options, fits: bool | None = None
+) -> DataFrame:
     """Reopenings while the case lay with a group of the exits process."""
     events = audit.filter(
         (F.col("type") == V.REOPENING)
@@ -120,7 +134,7 @@ def reopening_events(audit: DataFrame, groups: DataFrame, options: Options) -> D
         F.col("create_date").alias("last_reopened_date"),
     )
     exits = groups_of_process(groups, V.EXITS).withColumnRenamed("resolver_group", "assigned_to")
-    return lookup_join(events, exits, ["assigned_to"], how="left_semi").drop("assigned_to")
+    return lookup_join(events, exits, ["assigned_to"], fits, "left_semi").drop("assigned_to")
 
 
 def last_routing(audit: DataFrame, groups: DataFrame, options: Options) -> DataFrame:
@@ -137,14 +151,16 @@ def last_reopening(audit: DataFrame, groups: DataFrame, options: Options) -> Dat
     )
 
 
-def last_routed_groups(audit: DataFrame, groups: DataFrame, options: Options) -> DataFrame:
+def last_routed_groups(
+    audit: DataFrame, groups: DataFrame, options: Options, fits: bool | None = None
+) -> DataFrame:
     """Per case the last routing time and the groups routed to at that time.
 
     Events shrink to one row per case and group before anything is collected, so a list is never
     longer than the number of groups.
     """
     per_group = (
-        routing_events(audit, groups, options)
+        routing_events(audit, groups, options, fits)
         .groupBy("case_id", "routed_to")
         .agg(F.max("routed_date").alias("routed_date"))
     )
@@ -158,7 +174,12 @@ def last_routed_groups(audit: DataFrame, groups: DataFrame, options: Options) ->
     )
 
 
-def case_history(audit: DataFrame, options: Options, groups: DataFrame | None = None) -> DataFrame:
+def case_history(
+    audit: DataFrame,
+    options: Options,
+    groups: DataFrame | None = None,
+    fits: bool | None = None,
+) -> DataFrame:
     """Roll-up, correspondence and (given ``groups``) last reopenings in one pass over the trail.
 
     The audit trail is by far the largest input; every reduction by case shares one scan, one
@@ -179,7 +200,7 @@ def case_history(audit: DataFrame, options: Options, groups: DataFrame | None =
     reopening = (F.col("type") == V.REOPENING) & (
         F.col("create_date") >= options.timestamp("routing_from")
     )
-    events = lookup_join(audit.filter(wanted | reopening), exits, ["assigned_to"])
+    events = lookup_join(audit.filter(wanted | reopening), exits, ["assigned_to"], fits)
     reopening = reopening & F.col("_exits")
     robot = F.col("created_by") == V.REOPENING_ROBOT
     by_system = F.when(reopening & robot, F.col("create_date"))

@@ -7,7 +7,7 @@ joined by shuffle, with the rows of hot keys and of null keys spread over severa
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -48,12 +48,25 @@ def _row_bytes(df: DataFrame) -> Column:
     return width.cast("bigint")
 
 
+def _size_row(df: DataFrame, name: str) -> DataFrame:
+    size = df.select(_row_bytes(df).alias("b")).agg(F.count("*").alias("n"), F.sum("b").alias("b"))
+    return size.select(F.lit(name).alias("name"), "n", F.coalesce("b", F.lit(0)).alias("b"))
+
+
+def which_fit(
+    frames: Mapping[str, DataFrame],
+    max_rows: int = MAX_BROADCAST_ROWS,
+    max_bytes: int = MAX_BROADCAST_BYTES,
+) -> dict[str, bool]:
+    """Count rows and value bytes of several frames in one job; two numbers per frame come back."""
+    sizes = reduce(DataFrame.unionAll, [_size_row(df, name) for name, df in frames.items()])
+    return {row["name"]: row["n"] <= max_rows and row["b"] <= max_bytes for row in sizes.collect()}
+
+
 def fits_broadcast(
     df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
 ) -> bool:
-    """Count rows and value bytes with one distributed aggregate; only two numbers come back."""
-    rows, size = df.select(_row_bytes(df).alias("b")).agg(F.count("*"), F.sum("b")).first()
-    return rows <= max_rows and (size or 0) <= max_bytes
+    return which_fit({"side": df}, max_rows, max_bytes)["side"]
 
 
 def hot_key_hashes(
@@ -124,19 +137,22 @@ def lookup_join(
     fact: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
-    spread_by: Sequence[str] = ("case_id",),
+    fits: bool | None = None,
     how: str = "left",
-    max_rows: int = MAX_BROADCAST_ROWS,
+    spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Join a lookup on equal key names: broadcast when its counted size allows, else salted."""
+    """Join a lookup on equal key names: broadcast when its counted size allows, else salted.
+
+    ``fits`` passes on a check already made, of this side or of a table it is a part of.
+    ``spread_by`` names the columns that tell rows of one hot key apart; all columns by default.
+    """
     keys = list(keys)
-    if fits_broadcast(lookup, max_rows):
+    if fits_broadcast(lookup) if fits is None else fits:
         return fact.join(F.broadcast(lookup), keys, how)
-    if how == "inner":
-        found = salted_left_join(fact, lookup.withColumn("_found", F.lit(True)), keys, spread_by)
-        return found.filter("_found").drop("_found")
+    spread_by = list(spread_by or fact.columns)
+    if how == "left":
+        return salted_left_join(fact, lookup, keys, spread_by)
     if how == "left_semi":
-        distinct = lookup.select(*keys).distinct().withColumn("_found", F.lit(True))
-        found = salted_left_join(fact, distinct, keys, spread_by)
-        return found.filter("_found").drop("_found")
-    return salted_left_join(fact, lookup, keys, spread_by)
+        lookup = lookup.select(*keys).distinct()
+    found = salted_left_join(fact, lookup.withColumn("_found", F.lit(True)), keys, spread_by)
+    return found.filter("_found").drop("_found")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemetrics.config import fixed_values as V
-from casemetrics.config.people import People
-from casemetrics.functions.text import contains_any, is_blank
 from casemetrics.config.options import Options
+from casemetrics.config.people import People
 from casemetrics.functions.clock import DAY_US, business_us
+from casemetrics.functions.text import contains_any, is_blank
 from casemetrics.operators.rules import first_match
 
 
@@ -108,16 +108,25 @@ def line_of_business(detail: str) -> Column:
     return F.coalesce(f"con_{detail}", f"req_{detail}", F.lit(V.OPERATIONS_LINE))
 
 
+def with_lapse_times(cases: DataFrame) -> DataFrame:
+    """Calendar time from creation to the last routing and the last reopening."""
+    return cases.withColumns(
+        {
+            "routed_us": business_us("create_date", "routed_date", 7),
+            "reopened_us": business_us("create_date", "last_reopened_date", 7),
+        }
+    )
+
+
 def root_cause_group(options: Options) -> Column:
-    """Needs ``sla_taget_value``; resolved cases only."""
+    """Resolved cases only, after ``with_lapse_times`` and the target value."""
     transfers = F.col("grp_process") == V.TRANSFERS
     no_defect = F.col("root_cause") == V.NO_DEFECT
     details = F.col("root_cause_details")
 
-    def after_lapse(event: str) -> Column:
-        return business_us("create_date", event, 7) > F.col("sla_taget_value") * F.lit(DAY_US)
-
-    reopened_late = no_defect & after_lapse("last_reopened_date")
+    target_us = F.col("sla_taget_value") * F.lit(DAY_US)
+    routed_late = no_defect & (F.col("routed_us") > target_us)
+    reopened_late = no_defect & (F.col("reopened_us") > target_us)
     blank = is_blank(F.col("root_cause"))
     unlisted = F.col("listed_root_cause").isNull()
     if options.covers(V.TRANSFERS):
@@ -130,7 +139,7 @@ def root_cause_group(options: Options) -> Column:
             (unlisted, V.OTHER_ROOT_CAUSE),
             (no_defect & contains_any(details, V.MISSING_INFO_WORDS), V.MISSING_INFO),
             (no_defect & contains_any(details, V.PROCESS_WORDS), V.PROCESS_DEPENDENCY),
-            (no_defect & after_lapse("routed_date"), V.ROUTED_LATE),
+            (routed_late, V.ROUTED_LATE),
             (reopened_late & (F.col("reopened_by_system") == "Y"), V.REOPENED_BY_SYSTEM_LATE),
             (reopened_late & (F.col("reopened_by_system") == "N"), V.REOPENED_BY_PERSON_LATE),
             (no_defect & (F.col("pending") > 0), V.MISSING_INFO),

@@ -7,6 +7,8 @@ views needs no further shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +20,13 @@ from casemetrics.functions.clock import (
     BEIJING_AND_MANILA_SITES,
     BEIJING_SITES,
     END_STATES,
-    time_to_resolve_us,
+    with_time_to_resolve,
 )
 from casemetrics.functions.text import not_in_or_null
 from casemetrics.operators.employees import employee_view, join_person
 from casemetrics.operators.latest import latest_with_ties
-from casemetrics.operators.rollup import case_history, last_routed_groups
-from casemetrics.operators.sizing import lookup_join, stored
+from casemetrics.operators.rollup import case_history, last_routed_groups, quicklink_texts
+from casemetrics.operators.sizing import fits_broadcast, lookup_join, stored
 from casemetrics.plans.ttr_percentiles import (
     grouping_key,
     load_time,
@@ -34,6 +36,17 @@ from casemetrics.plans.ttr_percentiles import (
 )
 from casemetrics.sources.tables import CaseTables
 
+PARTS = (
+    "mappings",
+    "people",
+    "recent",
+    "percentile",
+    "history",
+    "routing",
+    "concerned",
+    "times",
+)
+
 GROUP_COLUMNS = {
     "grp_location": "location",
     "grp_days_week": "days_week",
@@ -89,8 +102,8 @@ def in_scope(tickets: DataFrame, tables: CaseTables, options: Options) -> DataFr
         F.col("country").alias("cti_country"),
         F.col("global_process").alias("cti_process"),
     )
-    cases = lookup_join(tickets, groups, ["assigned_to_group"], how="inner")
-    cases = lookup_join(cases, cti, ["category", "type"])
+    cases = lookup_join(tickets, groups, ["assigned_to_group"], tables.fits["groups"], "inner")
+    cases = lookup_join(cases, cti, ["category", "type"], tables.fits["cti_process"])
     process = F.lower("grp_process")
     return cases.filter(
         process.isin(scope) | ((process == shared) & F.lower("cti_process").isin(scope))
@@ -99,6 +112,7 @@ def in_scope(tickets: DataFrame, tables: CaseTables, options: Options) -> DataFr
 
 def with_mappings(cases: DataFrame, tables: CaseTables, resolved: bool) -> DataFrame:
     """Join the targets, hubs, transaction types and listed root causes."""
+    fits = tables.fits
     low = {name: f"_{name}" for name in ("category", "type", "item", "assigned_to_group")}
     cti_slas = tables.cti_slas.select(
         "category", "type", "item", F.col("sla_target").alias("cti_sla_target")
@@ -114,21 +128,19 @@ def with_mappings(cases: DataFrame, tables: CaseTables, resolved: bool) -> DataF
         "assigned_to_group",
         *[F.lower(c).alias(low[c]) for c in ("category", "type", "item")],
         F.col("transaction_type").alias("mapped_transaction"),
-    ).distinct()
+    )
     cases = cases.withColumns({key: F.lower(name) for name, key in low.items()})
-    cases = lookup_join(cases, cti_slas, ["category", "type", "item"])
-    cases = lookup_join(cases, hubs, list(low.values()))
-    cases = lookup_join(
-        cases, transactions, ["assigned_to_group", "_category", "_type", "_item"]
-    ).drop(*low.values())
+    cases = lookup_join(cases, cti_slas, ["category", "type", "item"], fits["cti_slas"])
+    cases = lookup_join(cases, hubs, list(low.values()), fits["default_hubs"])
+    keys = ["assigned_to_group", "_category", "_type", "_item"]
+    cases = lookup_join(cases, transactions, keys, fits["transactions"]).drop(*low.values())
 
     cases = cases.withColumns({"_cause": F.lower("root_cause"), "_resolution": F.lower("resolution")})
     listed = F.lower("root_cause")
     name, group = F.col("root_cause"), F.col("root_cause_group")
     causes = tables.root_causes
-    cases = lookup_join(
-        cases, causes.select(listed.alias("_cause"), name.alias("defect_root_cause")), ["_cause"]
-    )
+    defects = causes.select(listed.alias("_cause"), name.alias("defect_root_cause"))
+    cases = lookup_join(cases, defects, ["_cause"], fits["root_causes"])
     if resolved:
         by_cause = causes.select(
             listed.alias("_cause"),
@@ -136,8 +148,8 @@ def with_mappings(cases: DataFrame, tables: CaseTables, resolved: bool) -> DataF
             group.alias("listed_root_group"),
         )
         by_resolution = causes.select(listed.alias("_resolution"), name.alias("listed_resolution"))
-        cases = lookup_join(cases, by_cause, ["_cause"])
-        cases = lookup_join(cases, by_resolution, ["_resolution"])
+        cases = lookup_join(cases, by_cause, ["_cause"], fits["root_causes"])
+        cases = lookup_join(cases, by_resolution, ["_resolution"], fits["root_causes"])
     return cases.drop("_cause", "_resolution")
 
 
@@ -159,49 +171,40 @@ def people_profiles(headcount: DataFrame, people: People, options: Options) -> D
 
 
 def with_people(
-    cases: DataFrame, profiles: DataFrame, people: People, options: Options
+    cases: DataFrame, profiles: DataFrame, people: People, options: Options, fits: bool
 ) -> DataFrame:
     """Requester, assignee, resolver and, where a rule asks, submitter."""
     staff = people.is_in(F.col("level2"), "hr_head")
-    cases = join_person(
-        cases, profiles, "requester_login", "req", ["country", "lob1", "lob2", "level5"]
-    )
-    cases = join_person(
-        cases,
-        profiles,
-        "assigned_to_individual",
-        "asg",
-        ["country", "level5", "level6", "supervisor"],
-        staff,
-    )
-    cases = join_person(cases, profiles, "resolved_by", "rsv", ["country", "level6"], staff)
+    roles = [
+        ("requester_login", "req", ["country", "lob1", "lob2", "level5"], None),
+        ("assigned_to_individual", "asg", ["country", "level5", "level6", "supervisor"], staff),
+        ("resolved_by", "rsv", ["country", "level6"], staff),
+    ]
     if options.covers(V.ATTENDANCE):
-        cases = join_person(cases, profiles, "submitted_by", "sub", ["level7"], staff)
+        roles.append(("submitted_by", "sub", ["level7"], staff))
+    for login, prefix, columns, where in roles:
+        cases = join_person(cases, profiles, login, prefix, columns, where, fits)
     return cases
 
 
 def concerned_people(
-    concerned: DataFrame, profiles: DataFrame, options: Options
+    concerned: DataFrame, profiles: DataFrame, options: Options, fits: bool
 ) -> DataFrame:
-    """Distinct country and line of business of the people each case concerns.
+    """Per case the distinct country and line of business of the people it concerns.
 
-    A case may concern any number of logins, but the views only use these few values of them, so
-    the logins are resolved and reduced before they meet the case.
+    A case may concern any number of logins, but the views only use these few values of them. The
+    set of the values is small whatever the number of logins, and forms before the shuffle.
     """
     login = F.col("concerning_login")
-    bridge = (
-        concerned.filter(
-            (F.col("create_date") >= options.timestamp("concerned_from"))
-            & login.isNotNull()
-            & (F.lower(login) != "none")
-        )
-        .select(F.col("ticket_case_id").alias("case_id"), "concerning_login")
-        .distinct()
-    )
-    resolved = join_person(
-        bridge, profiles, "concerning_login", "con", ["country", "lob1", "lob2"]
-    )
-    return resolved.drop("concerning_login").distinct()
+    bridge = concerned.filter(
+        (F.col("create_date") >= options.timestamp("concerned_from"))
+        & login.isNotNull()
+        & (F.lower(login) != "none")
+    ).select(F.col("ticket_case_id").alias("case_id"), "concerning_login")
+    columns = ["country", "lob1", "lob2"]
+    known = join_person(bridge, profiles, "concerning_login", "con", columns, None, fits)
+    values = F.struct("con_country", "con_lob1", "con_lob2")
+    return known.groupBy("case_id").agg(F.collect_set(values).alias("_concerned"))
 
 
 def recent_staff(tickets: DataFrame, options: Options) -> DataFrame:
@@ -223,10 +226,11 @@ def recent_staff(tickets: DataFrame, options: Options) -> DataFrame:
 
 def with_monthly_percentile(cases: DataFrame, tables: CaseTables, options: Options) -> DataFrame:
     """Percentile of the case's group and month, for cases that took part in it."""
-    months = stored(monthly_percentiles(mapped_resolved_cases(tables, options), options))
+    timed = stored(mapped_resolved_cases(tables, options))
+    months = stored(monthly_percentiles(timed, options))
     mapped = tables.transactions.select("grouping", F.lit(True).alias("_mapped")).distinct()
     cases = cases.withColumns({"grouping": grouping_key(), "resolved_month": month_start("resolved_date")})
-    cases = lookup_join(cases, mapped, ["grouping"])
+    cases = lookup_join(cases, mapped, ["grouping"], tables.fits["transactions"])
     cases = lookup_join(cases, months, ["assigned_to_group", "resolved_month"])
     took_part = F.col("_mapped") & (F.col("resolved_date") >= options.timestamp("percentiles_from"))
     return cases.withColumn("tp90onttr", F.when(took_part, F.col("tp90onttr"))).drop(
@@ -236,45 +240,59 @@ def with_monthly_percentile(cases: DataFrame, tables: CaseTables, options: Optio
 
 def with_times(cases: DataFrame, now: Column, options: Options) -> DataFrame:
     """Load time and the time to resolve on the two calendars the views use."""
-    cases = cases.withColumn("etl_run_time", now)
     place = {"location": "grp_location", "days_week": "grp_days_week"}
-    end = F.col("etl_run_time")
-    zone = options.source_zone
-    return cases.withColumns(
-        {
-            "ttr_us": time_to_resolve_us(end, BEIJING_AND_MANILA_SITES, source_zone=zone, **place),
-            "sla_ttr_us": time_to_resolve_us(end, BEIJING_SITES, source_zone=zone, **place),
-        }
-    )
+    end, zone = F.col("etl_run_time"), options.source_zone
+    cases = cases.withColumn("etl_run_time", now)
+    cases = with_time_to_resolve(cases, "ttr_us", end, BEIJING_AND_MANILA_SITES, source_zone=zone, **place)
+    return with_time_to_resolve(cases, "sla_ttr_us", end, BEIJING_SITES, source_zone=zone, **place)
 
 
 def case_frame(
-    tables: CaseTables, people: People, options: Options, resolved: bool
+    tables: CaseTables,
+    people: People,
+    options: Options,
+    resolved: bool,
+    parts: Collection[str] = PARTS,
 ) -> DataFrame:
-    """Tickets of one view with all joined columns, before the rules."""
+    """Tickets of one view with the named parts joined to them, before the rules."""
     select = resolved_tickets if resolved else open_tickets
     cases = in_scope(select(tables.tickets, options), tables, options)
-    cases = with_mappings(cases, tables, resolved)
-    profiles = people_profiles(tables.headcount, people, options)
-    cases = with_people(cases, profiles, people, options)
-    recent = stored(recent_staff(tables.tickets, options))
-    cases = lookup_join(cases, recent, ["submitted_by"])
-    if resolved:
+    few_groups = tables.fits["groups"]
+    if "mappings" in parts:
+        cases = with_mappings(cases, tables, resolved)
+    if "people" in parts or "concerned" in parts:
+        profiles = people_profiles(tables.headcount, people, options)
+        few_people = fits_broadcast(profiles)
+    if "people" in parts:
+        cases = with_people(cases, profiles, people, options, few_people)
+    if "recent" in parts:
+        recent = stored(recent_staff(tables.tickets, options))
+        cases = lookup_join(cases, recent, ["submitted_by"])
+    if "percentile" in parts and resolved:
         cases = with_monthly_percentile(cases, tables, options)
-
-    groups = tables.groups if resolved else None
-    cases = cases.join(case_history(tables.audit, options, groups), "case_id", "left")
-    if resolved:
-        routed = last_routed_groups(tables.audit, tables.groups, options)
-        cases = cases.join(routed, "case_id", "left")
-        own = F.array_contains("last_routed_to", F.col("assigned_to_group"))
-        cases = cases.withColumn("routed_date", F.when(own, F.col("last_routed_date")))
-        cases = cases.withColumn("_reopening", F.explode_outer("last_reopenings"))
-        cases = cases.withColumns(
+    if "history" in parts:
+        groups = tables.groups if resolved else None
+        history = case_history(tables.audit, options, groups, few_groups)
+        cases = cases.join(history, "case_id", "left")
+    if "history" in parts and resolved:
+        cases = cases.join(quicklink_texts(tables.audit, options), "case_id", "left")
+        reopening = F.explode_outer("last_reopenings").alias("_reopening")
+        cases = cases.select("*", reopening).withColumns(
             {
                 "reopened_by_system": F.col("_reopening.by_system"),
                 "last_reopened_date": F.col("_reopening.at"),
             }
-        ).drop("_reopening", "last_reopenings")
-    cases = cases.join(concerned_people(tables.concerned, profiles, options), "case_id", "left")
-    return with_times(cases, load_time(tables), options)
+        )
+    if "routing" in parts and resolved:
+        routed = last_routed_groups(tables.audit, tables.groups, options, few_groups)
+        cases = cases.join(routed, "case_id", "left")
+        own = F.array_contains("last_routed_to", F.col("assigned_to_group"))
+        cases = cases.withColumn("routed_date", F.when(own, F.col("last_routed_date")))
+    if "concerned" in parts:
+        concerned = concerned_people(tables.concerned, profiles, options, few_people)
+        cases = cases.join(concerned, "case_id", "left")
+        cases = cases.select("*", F.explode_outer("_concerned").alias("_person"))
+        cases = cases.select("*", "_person.*")
+    if "times" in parts:
+        cases = with_times(cases, load_time(tables), options)
+    return cases

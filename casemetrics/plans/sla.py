@@ -1,7 +1,8 @@
 """Service-level columns: target, existence of a target, verdict.
 
-The three results ask similar questions in different orders, so each has its own rule list over
-shared conditions. Columns come from ``case_frame``: ``grp_`` is the resolver group, ``cti_`` the
+The three results ask similar questions in different orders. ``with_conditions`` answers every
+question once per case, as a boolean column; each result then has its own rule list over them.
+Input columns come from ``case_frame``: ``grp_`` is the resolver group, ``cti_`` the
 category/type/item, ``hub_`` the default hub.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemetrics.config import fixed_values as V
@@ -31,237 +32,216 @@ def _not_marked(name: str) -> Column:
     return F.col(name).isNull() | (F.col(name) == F.lit(V.NEVER).cast("timestamp_ntz"))
 
 
-def two_stage() -> Column:
-    return _any_target(V.TWO_STAGE_SLA)
-
-
-def two_stage_unmarked() -> Column:
-    return two_stage() & _not_marked("five_days") & _not_marked("two_days")
-
-
-def _stages_us() -> tuple[Column, Column]:
-    return business_us("create_date", "two_days"), business_us("two_days", "five_days")
-
-
-def two_stage_kept() -> Column:
-    first, second = _stages_us()
-    in_time = (first <= V.FIRST_STAGE_HOURS * HOUR_US) & (second <= V.SECOND_STAGE_HOURS * HOUR_US)
-    return two_stage() & in_time
-
-
-def two_stage_missed() -> Column:
-    first, second = _stages_us()
-    late = (first > V.FIRST_STAGE_HOURS * HOUR_US) | (second > V.SECOND_STAGE_HOURS * HOUR_US)
-    return two_stage() & late
-
-
 def _group_in(*groups: str) -> Column:
     return F.col("assigned_to_group").isin(*groups)
 
 
-def managed_extended_onboarding(people: People) -> Column:
-    return _group_in(V.EXTENDED_ONBOARDING) & people.is_in(
-        F.col("req_level5"), "extended_onboarding_manager"
-    )
-
-
-def audited() -> Column:
-    by_cause = F.lower("root_cause").contains("audit")
-    return _group_in(*V.AUDITED_GROUPS) & (by_cause | (F.col("audit_root") > 0))
-
-
-def sent_by_own_staff() -> Column:
-    """The submitter lately handled cases of the same onboarding team."""
-    extended = _group_in(V.EXTENDED_ONBOARDING) & F.col("recent_extended")
-    return extended | (_group_in(*V.ONBOARDING_GROUPS) & F.col("recent_onboarding"))
-
-
-def onboarding_duplicate() -> Column:
-    groups = [*V.ONBOARDING_GROUPS, V.EXTENDED_ONBOARDING, V.INDIA_ONBOARDING]
-    return _group_in(*groups) & (F.col("closure_code") == V.DUPLICATE_CLOSURE)
-
-
-def managed_attendance(people: People) -> Column:
-    return (F.lower("grp_process") == V.ATTENDANCE.lower()) & people.is_in(
-        F.col("sub_level7"), "attendance_manager"
-    )
-
-
-def foreign_onboarding_item() -> Column:
-    return _group_in(V.ONBOARDING) & ~F.col("item").isin(V.ONBOARDING_ITEMS)
-
-
-def _exempt(people: People, options: Options) -> list[Column]:
-    """Exemptions that follow each other in the same order in all three results."""
-    conditions = [sent_by_own_staff(), onboarding_duplicate()]
+def durations(resolved: bool) -> dict[str, Column]:
+    """Working microseconds of the two SLA stages and, for resolved cases, of the whole case."""
+    spans = {
+        "first_stage_us": business_us("create_date", "two_days"),
+        "second_stage_us": business_us("two_days", "five_days"),
+    }
+    if resolved:
+        spans["order_us"] = business_us("create_date", "resolved_date")
+    return spans
+
+
+def two_stage_conditions() -> dict[str, Column]:
+    two_stage = _any_target(V.TWO_STAGE_SLA)
+    first, second = F.col("first_stage_us"), F.col("second_stage_us")
+    first_limit, second_limit = V.FIRST_STAGE_HOURS * HOUR_US, V.SECOND_STAGE_HOURS * HOUR_US
+    return {
+        "is_two_stage": two_stage,
+        "is_unmarked": two_stage & _not_marked("five_days") & _not_marked("two_days"),
+        "is_kept": two_stage & (first <= first_limit) & (second <= second_limit),
+        "is_missed": two_stage & ((first > first_limit) | (second > second_limit)),
+    }
+
+
+def exemption_conditions(people: People, options: Options) -> dict[str, Column]:
+    """``is_exempt`` unites the exemptions that stand next to each other in all three results."""
+    extended, onboarding = _group_in(V.EXTENDED_ONBOARDING), _group_in(*V.ONBOARDING_GROUPS)
+    own_staff = (extended & F.col("recent_extended")) | (onboarding & F.col("recent_onboarding"))
+    any_onboarding = extended | onboarding | _group_in(V.INDIA_ONBOARDING)
+    duplicate = any_onboarding & (F.col("closure_code") == V.DUPLICATE_CLOSURE)
+    other_item = _group_in(V.ONBOARDING) & ~F.col("item").isin(V.ONBOARDING_ITEMS)
+    exempt = [own_staff, duplicate, other_item]
     if options.covers(V.ATTENDANCE):
-        conditions.append(managed_attendance(people))
-    return [*conditions, foreign_onboarding_item()]
-
-
-def uk_data_case() -> Column:
-    return _group_in(V.UK_DATA_GROUP) & F.col("impact").isin(2, 3)
-
-
-def _recruiting_or_course() -> list[Rule]:
-    by_cause = F.col("root_cause").isin(V.COURSE_CAUSES)
-    by_details = F.col("root_cause_details").isin(V.COURSE_CAUSES)
+        attendance = F.lower("grp_process") == V.ATTENDANCE.lower()
+        exempt.append(attendance & people.is_in(F.col("sub_level7"), "attendance_manager"))
+    managed = people.is_in(F.col("req_level5"), "extended_onboarding_manager")
+    audited = F.lower("root_cause").contains("audit") | (F.col("audit_root") > 0)
+    return {
+        "is_managed": extended & managed,
+        "is_audited": _group_in(*V.AUDITED_GROUPS) & audited,
+        "is_exempt": reduce(or_, [F.coalesce(c, F.lit(False)) for c in exempt]),
+    }
+
+
+def impact_conditions() -> dict[str, Column]:
+    impact, tao = F.col("impact"), _group_in(V.TAO_GROUP)
     course = (
         (F.col("category") == V.COURSE_CATEGORY)
         & (F.col("type") == V.COURSE_TYPE)
         & (F.col("item") == V.COURSE_ITEM)
-        & (by_cause | by_details)
+        & (F.col("root_cause").isin(V.COURSE_CAUSES) | F.col("root_cause_details").isin(V.COURSE_CAUSES))
     )
-    return [
-        (_group_in(*V.RECRUITING_GROUPS) & (F.col("impact") == 2), 1),
-        (course, V.COURSE_TARGET_DAYS),
-    ]
+    return {
+        "is_recruiting": _group_in(*V.RECRUITING_GROUPS) & (impact == 2),
+        "is_course": course,
+        "is_uk_data": _group_in(V.UK_DATA_GROUP) & impact.isin(2, 3),
+        "is_tao_one": tao & (impact == 3),
+        "is_tao_two": tao & (impact == 4),
+        "is_one_day": (impact == 3) & ~F.col("grp_location").isin(V.NOT_ONE_DAY_SITES),
+    }
+
+
+def support_order_conditions() -> dict[str, Column]:
+    """Benefit support orders by item and resolution; only resolved cases are asked."""
+    order = F.col("mapped_transaction") == V.SUPPORT_ORDER
+    item, resolution, taken = F.col("item"), F.col("resolution"), F.col("order_us")
+    plain = order & (item == V.SUPPORT_ORDER_ITEM)
+    any_duplicate = V.DUPLICATE_RESOLUTIONS + V.FURTHER_DUPLICATE_RESOLUTIONS
+    return {
+        "so_waiting": order & (item == V.WAITING_ITEM),
+        "so_not_enrolled": order & (item == V.NOT_ENROLLED_ITEM),
+        "so_any_duplicate": resolution.isin(any_duplicate),
+        "so_duplicate": plain & resolution.isin(V.DUPLICATE_RESOLUTIONS),
+        "so_plain": plain,
+        "so_no_enrolment": plain & resolution.isin(V.NO_ENROLMENT_RESOLUTIONS),
+        "so_unexplained": plain & resolution.isNull(),
+        "so_enrolled": plain & resolution.isin(V.ENROLLED_RESOLUTIONS),
+        "so_no_target": plain & resolution.isin(V.NO_TARGET_RESOLUTIONS),
+        "so_enrolled_with_target": plain & resolution.isin(V.ENROLLED_WITH_TARGET),
+        "so_short": taken <= V.SHORT_ORDER_HOURS * HOUR_US,
+        "so_long": taken <= V.LONG_ORDER_HOURS * HOUR_US,
+    }
+
+
+def with_conditions(
+    cases: DataFrame, people: People, options: Options, resolved: bool
+) -> DataFrame:
+    conditions = {
+        **two_stage_conditions(),
+        **exemption_conditions(people, options),
+        **impact_conditions(),
+    }
+    if resolved:
+        conditions |= support_order_conditions()
+    return cases.withColumns(durations(resolved)).withColumns(conditions)
 
 
-def _tao_by_impact() -> list[Rule]:
-    tao = _group_in(V.TAO_GROUP)
-    return [(tao & (F.col("impact") == 3), 1), (tao & (F.col("impact") == 4), 2)]
+def _rules(*pairs: tuple[str, object]) -> list[Rule]:
+    return [(F.col(name), value) for name, value in pairs]
 
 
 def _given(name: str) -> Rule:
     return F.col(name).isNotNull(), F.col(name)
 
 
-def _one_day_site() -> Rule:
-    return (F.col("impact") == 3) & ~F.col("grp_location").isin(V.NOT_ONE_DAY_SITES), 1
-
-
 def effective_target(resolved: bool) -> Column:
     """Target in days that the verdict compares the time to resolve with."""
-    rules = [
-        *_recruiting_or_course(),
-        (uk_data_case(), 1),
-        *_tao_by_impact(),
-        _given("hub_sla_target"),
-        _given("cti_sla_target"),
-        _given("grp_sla_target"),
-    ]
+    rules = _rules(
+        ("is_recruiting", 1),
+        ("is_course", V.COURSE_TARGET_DAYS),
+        ("is_uk_data", 1),
+        ("is_tao_one", 1),
+        ("is_tao_two", 2),
+    )
+    rules += [_given("hub_sla_target"), _given("cti_sla_target"), _given("grp_sla_target")]
     if resolved:
-        rules.append(_one_day_site())
+        rules += _rules(("is_one_day", 1))
     return first_match(rules, V.DEFAULT_TARGET_DAYS)
 
 
-class _SupportOrder:
-    """Conditions of benefit support orders, which only resolved cases are tested for."""
-
-    def __init__(self) -> None:
-        order = F.col("mapped_transaction") == V.SUPPORT_ORDER
-        resolution = F.col("resolution")
-        taken = business_us("create_date", "resolved_date")
-        self.waiting = order & (F.col("item") == V.WAITING_ITEM)
-        self.not_enrolled = order & (F.col("item") == V.NOT_ENROLLED_ITEM)
-        self.order = order & (F.col("item") == V.SUPPORT_ORDER_ITEM)
-        self.within_short = taken <= V.SHORT_ORDER_HOURS * HOUR_US
-        self.within_long = taken <= V.LONG_ORDER_HOURS * HOUR_US
-        self.not_enrolment = self.order & resolution.isin(V.NO_ENROLMENT_RESOLUTIONS)
-        self.unexplained = self.order & resolution.isNull()
-        self.duplicate = resolution.isin(V.DUPLICATE_RESOLUTIONS)
-        self.any_duplicate = resolution.isin(
-            V.DUPLICATE_RESOLUTIONS + V.FURTHER_DUPLICATE_RESOLUTIONS
-        )
-        self.enrolled = self.order & resolution.isin(V.ENROLLED_RESOLUTIONS)
-        self.no_target = self.order & resolution.isin(V.NO_TARGET_RESOLUTIONS)
-        self.enrolled_with_target = self.order & resolution.isin(V.ENROLLED_WITH_TARGET)
-
-
 def support_order_verdict() -> list[Rule]:
-    s = _SupportOrder()
+    short, long = F.col("so_short"), F.col("so_long")
+    in_short = F.col("so_no_enrolment") | F.col("so_unexplained")
     return [
-        (s.waiting, "-"),
-        (s.not_enrolled & s.within_long, "Y"),
-        (s.not_enrolled & s.any_duplicate, "-"),
-        (s.not_enrolment & s.within_short, "Y"),
-        (s.unexplained & s.within_short, "Y"),
-        (s.order & s.duplicate, "-"),
-        (s.enrolled & s.within_long, "Y"),
+        (F.col("so_waiting"), "-"),
+        (F.col("so_not_enrolled") & long, "Y"),
+        (F.col("so_not_enrolled") & F.col("so_any_duplicate"), "-"),
+        (in_short & short, "Y"),
+        (F.col("so_duplicate"), "-"),
+        (F.col("so_enrolled") & long, "Y"),
     ]
 
 
 def support_order_target() -> list[Rule]:
-    s = _SupportOrder()
     return [
-        (s.waiting, V.NO_SLA),
-        (s.not_enrolled, V.LONG_ORDER_TARGET),
-        (s.not_enrolment | s.unexplained, V.SHORT_ORDER_TARGET),
-        (s.order & s.any_duplicate, V.NO_SLA),
-        (s.enrolled, V.LONG_ORDER_TARGET),
+        (F.col("so_waiting"), V.NO_SLA),
+        (F.col("so_not_enrolled"), V.LONG_ORDER_TARGET),
+        (F.col("so_no_enrolment") | F.col("so_unexplained"), V.SHORT_ORDER_TARGET),
+        (F.col("so_plain") & F.col("so_any_duplicate"), V.NO_SLA),
+        (F.col("so_enrolled"), V.LONG_ORDER_TARGET),
     ]
 
 
 def support_order_exists() -> list[Rule]:
-    s = _SupportOrder()
     return [
-        (s.waiting, "N"),
-        (s.not_enrolled | s.not_enrolment, "Y"),
-        (s.unexplained & s.within_short, "Y"),
-        (s.no_target, "N"),
-        (s.enrolled_with_target, "Y"),
+        (F.col("so_waiting"), "N"),
+        (F.col("so_not_enrolled") | F.col("so_no_enrolment"), "Y"),
+        (F.col("so_unexplained") & F.col("so_short"), "Y"),
+        (F.col("so_no_target"), "N"),
+        (F.col("so_enrolled_with_target"), "Y"),
     ]
 
 
-def sla_target_met(people: People, options: Options, resolved: bool) -> Column:
+def sla_target_met(resolved: bool) -> Column:
     """``Y`` or ``N`` by comparing time with target, ``-`` where no SLA applies."""
     over_us = F.col("sla_ttr_us") - effective_target(resolved) * F.lit(DAY_US)
     by_time = F.when(over_us <= 0, "Y").when(over_us > 0, "N")
     rules = support_order_verdict() if resolved else []
-    rules += [
-        (managed_extended_onboarding(people), "-"),
-        (two_stage_unmarked(), "-"),
-        (two_stage_kept(), "Y"),
-        (two_stage_missed(), "N"),
-        (audited(), "-"),
-        (F.col("hub_sla_target") == V.NO_SLA, "-"),
-        (F.col("cti_sla_target") == V.NO_SLA, "-"),
-    ]
-    rules += [(condition, "-") for condition in _exempt(people, options)]
+    rules += _rules(
+        ("is_managed", "-"),
+        ("is_unmarked", "-"),
+        ("is_kept", "Y"),
+        ("is_missed", "N"),
+        ("is_audited", "-"),
+    )
+    no_sla = (F.col("hub_sla_target") == V.NO_SLA) | (F.col("cti_sla_target") == V.NO_SLA)
     no_target_at_all = (
         (F.col("grp_sla_exists") == "N")
         & F.col("cti_sla_target").isNull()
         & F.col("hub_sla_target").isNull()
     )
-    return first_match([*rules, (no_target_at_all, "-")], by_time)
+    rules += [(no_sla, "-"), (F.col("is_exempt"), "-"), (no_target_at_all, "-")]
+    return first_match(rules, by_time)
 
 
-def sla_target_value(people: People, options: Options, resolved: bool) -> Column:
+def sla_target_value(resolved: bool) -> Column:
     """Target in days; -1 without an SLA, -5 for the two-stage one."""
     rules = support_order_target() if resolved else []
+    rules += _rules(
+        ("is_unmarked", V.NO_SLA),
+        ("is_two_stage", V.TWO_STAGE_SLA),
+        ("is_managed", V.NO_SLA),
+        ("is_uk_data", 1),
+        ("is_audited", V.NO_SLA),
+        ("is_exempt", V.NO_SLA),
+        ("is_recruiting", 1),
+        ("is_course", V.COURSE_TARGET_DAYS),
+        ("is_tao_one", 1),
+        ("is_tao_two", 2),
+    )
     rules += [
-        (two_stage_unmarked(), V.NO_SLA),
-        (two_stage(), V.TWO_STAGE_SLA),
-        (managed_extended_onboarding(people), V.NO_SLA),
-        (uk_data_case(), 1),
-        (audited(), V.NO_SLA),
-    ]
-    rules += [(condition, V.NO_SLA) for condition in _exempt(people, options)]
-    rules += [
-        *_recruiting_or_course(),
-        *_tao_by_impact(),
         _given("hub_sla_target"),
         _given("cti_sla_target"),
         (F.col("grp_sla_exists") == "N", V.NO_SLA),
         _given("grp_sla_target"),
     ]
     if resolved:
-        rules.append(_one_day_site())
+        rules += _rules(("is_one_day", 1))
     return first_match(rules, V.DEFAULT_TARGET_DAYS)
 
 
-def sla_target_exists(people: People, options: Options, resolved: bool) -> Column:
+def sla_target_exists(resolved: bool) -> Column:
     """``Y`` when an SLA applies to the case, else ``N``."""
     no_sla = (F.col("cti_sla_target") == V.NO_SLA) | (F.col("hub_sla_target") == V.NO_SLA)
     positive = (F.col("cti_sla_target") > 0) | (F.col("hub_sla_target") > 0)
     rules = support_order_exists() if resolved else []
-    rules += [
-        (two_stage_unmarked(), "N"),
-        (two_stage(), "Y"),
-        (no_sla, "N"),
-        (managed_extended_onboarding(people), "N"),
-        (audited(), "N"),
-    ]
-    rules += [(condition, "N") for condition in _exempt(people, options)]
+    rules += _rules(("is_unmarked", "N"), ("is_two_stage", "Y"))
+    rules.append((no_sla, "N"))
+    rules += _rules(("is_managed", "N"), ("is_audited", "N"), ("is_exempt", "N"))
     return first_match([*rules, (positive, "Y"), (F.col("grp_sla_exists") == "N", "N")], "Y")

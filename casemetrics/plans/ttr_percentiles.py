@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casemetrics.config import fixed_values as V
 from casemetrics.config.options import Options
 from casemetrics.functions.calendar import month_start, week_start
-from casemetrics.functions.clock import END_STATES, as_days, time_to_resolve_us
+from casemetrics.functions.clock import END_STATES, as_days, with_time_to_resolve
 from casemetrics.functions.text import not_in_or_null
 from casemetrics.operators.percentiles import group_percentiles
 from casemetrics.operators.sizing import lookup_join, stored
@@ -43,12 +43,13 @@ def mapped_resolved_cases(tables: CaseTables, options: Options) -> DataFrame:
     calendars = reported_groups(tables.groups).select(
         F.col("resolver_group").alias("assigned_to_group"), "location", "days_week"
     )
-    cases = lookup_join(cases, mapped, ["grouping"], how="left_semi")
-    cases = lookup_join(cases, calendars.distinct(), ["assigned_to_group"])
-    taken = time_to_resolve_us(F.col("resolved_date"), source_zone=options.source_zone)
-    return cases.select(
-        "case_id", "assigned_to_group", "resolved_date", taken.alias("ttr_us")
-    ).distinct()
+    cases = lookup_join(cases, mapped, ["grouping"], tables.fits["transactions"], "left_semi")
+    cases = lookup_join(
+        cases, calendars.distinct(), ["assigned_to_group"], tables.fits["groups"]
+    )
+    end = F.col("resolved_date")
+    cases = with_time_to_resolve(cases, "ttr_us", end, source_zone=options.source_zone)
+    return cases.select("case_id", "assigned_to_group", "resolved_date", "ttr_us").distinct()
 
 
 def _in_days(df: DataFrame, names: list[str]) -> DataFrame:
@@ -72,7 +73,7 @@ def weekly_percentiles(cases: DataFrame, options: Options) -> DataFrame:
 
 def ttr_percentiles(tables: CaseTables, options: Options) -> DataFrame:
     """Every mapped resolved case with the five percentiles of its group and period."""
-    cases = mapped_resolved_cases(tables, options)
+    cases = stored(mapped_resolved_cases(tables, options))
     dated = cases.select(
         "case_id",
         "assigned_to_group",

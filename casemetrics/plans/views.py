@@ -35,7 +35,7 @@ def _positive(name: str) -> Column:
     return F.col(name) > 0
 
 
-def identity(people: People, resolved: bool) -> Named:
+def identity(resolved: bool) -> Named:
     last = _as_is("resolution") if resolved else {"last_modified_type": F.lit("")}
     return {
         **_as_is("case_id", "assigned_to_group"),
@@ -71,11 +71,11 @@ def times(resolved: bool) -> Named:
     }
 
 
-def service_level(people: People, options: Options, resolved: bool) -> Named:
+def service_level(resolved: bool) -> Named:
     return {
-        "sla_target_met": sla.sla_target_met(people, options, resolved),
+        "sla_target_met": sla.sla_target_met(resolved),
         "sla_taget_value": F.col("sla_taget_value"),
-        "sla_target_exists": sla.sla_target_exists(people, options, resolved),
+        "sla_target_exists": sla.sla_target_exists(resolved),
     }
 
 
@@ -144,9 +144,9 @@ def resolution_marks(options: Options) -> Named:
 
 def open_columns(people: People, options: Options) -> Named:
     return {
-        **identity(people, resolved=False),
+        **identity(resolved=False),
         **times(resolved=False),
-        **service_level(people, options, resolved=False),
+        **service_level(resolved=False),
         **delivery(people),
         "sla_days_bucket": as_days(F.col("ttr_us")),
         "sla_age_bucket": as_days(F.col("ttr_us")),
@@ -158,9 +158,9 @@ def open_columns(people: People, options: Options) -> Named:
 
 def resolved_columns(people: People, options: Options) -> Named:
     return {
-        **identity(people, resolved=True),
+        **identity(resolved=True),
         **times(resolved=True),
-        **service_level(people, options, resolved=True),
+        **service_level(resolved=True),
         **delivery(people),
         **contact_flags(),
         **organisation(),
@@ -171,9 +171,12 @@ def resolved_columns(people: People, options: Options) -> Named:
 def view_frame(
     tables: CaseTables, people: People, options: Options, resolved: bool
 ) -> DataFrame:
-    """The joined frame with the target value, which later columns build on."""
+    """The joined frame with the values that several result columns build on."""
     frame = case_frame(tables, people, options, resolved)
-    return frame.withColumn("sla_taget_value", sla.sla_target_value(people, options, resolved))
+    frame = sla.with_conditions(frame, people, options, resolved)
+    if resolved:
+        frame = A.with_lapse_times(frame)
+    return frame.withColumn("sla_taget_value", sla.sla_target_value(resolved))
 
 
 def _view(frame: DataFrame, columns: Named) -> DataFrame:

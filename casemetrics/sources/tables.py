@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casemetrics.operators.sizing import which_fit
 from casemetrics.sources.schemas import SCHEMAS
 
+MAPPINGS = ["groups", "root_causes", "cti_process", "cti_slas", "default_hubs", "transactions"]
+
 
 @dataclass(frozen=True)
 class CaseTables:
@@ -26,6 +30,11 @@ class CaseTables:
     default_hubs: DataFrame
     transactions: DataFrame
 
+    @cached_property
+    def fits(self) -> dict[str, bool]:
+        """For each mapping table, whether its counted size allows a broadcast; one job."""
+        return which_fit({name: getattr(self, name) for name in MAPPINGS})
+
     @classmethod
     def of(cls, **frames: DataFrame) -> CaseTables:
         return cls(**{name: conform(df, name) for name, df in frames.items()})
