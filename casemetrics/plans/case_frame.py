@@ -110,47 +110,66 @@ def in_scope(tickets: DataFrame, tables: CaseTables, options: Options) -> DataFr
     )
 
 
-def with_mappings(cases: DataFrame, tables: CaseTables, resolved: bool) -> DataFrame:
-    """Join the targets, hubs, transaction types and listed root causes."""
-    fits = tables.fits
-    low = {name: f"_{name}" for name in ("category", "type", "item", "assigned_to_group")}
-    cti_slas = tables.cti_slas.select(
-        "category", "type", "item", F.col("sla_target").alias("cti_sla_target")
-    )
+def with_cti_slas(cases: DataFrame, tables: CaseTables) -> DataFrame:
+    """SLA target of category, type and item, as spelled."""
+    keys = ["category", "type", "item"]
+    targets = tables.cti_slas.select(*keys, F.col("sla_target").alias("cti_sla_target"))
+    return lookup_join(cases, targets, keys, tables.fits["cti_slas"])
+
+
+def with_default_hubs(cases: DataFrame, tables: CaseTables) -> DataFrame:
+    """Default hub of category, type, item and group in any case."""
+    keys = {"_category": "category", "_type": "type", "_item": "item", "_group": "assigned_to_group"}
+    sources = {**keys, "_group": "resolver_group"}
     hubs = tables.default_hubs.select(
-        *[F.lower(c).alias(low[c]) for c in ("category", "type", "item")],
-        F.lower("resolver_group").alias(low["assigned_to_group"]),
+        *[F.lower(source).alias(key) for key, source in sources.items()],
         F.col("default_hub").alias("hub_default"),
         F.col("def_hub_group").alias("hub_group"),
         F.col("sla_target").alias("hub_sla_target"),
     )
+    cases = cases.withColumns({key: F.lower(name) for key, name in keys.items()})
+    return lookup_join(cases, hubs, list(keys), tables.fits["default_hubs"]).drop(*keys)
+
+
+def with_transactions(cases: DataFrame, tables: CaseTables) -> DataFrame:
+    """Transaction type of the group as spelled and category, type and item in any case."""
+    keys = {"_category": "category", "_type": "type", "_item": "item"}
     transactions = tables.transactions.select(
         "assigned_to_group",
-        *[F.lower(c).alias(low[c]) for c in ("category", "type", "item")],
+        *[F.lower(name).alias(key) for key, name in keys.items()],
         F.col("transaction_type").alias("mapped_transaction"),
     )
-    cases = cases.withColumns({key: F.lower(name) for name, key in low.items()})
-    cases = lookup_join(cases, cti_slas, ["category", "type", "item"], fits["cti_slas"])
-    cases = lookup_join(cases, hubs, list(low.values()), fits["default_hubs"])
-    keys = ["assigned_to_group", "_category", "_type", "_item"]
-    cases = lookup_join(cases, transactions, keys, fits["transactions"]).drop(*low.values())
-
-    cases = cases.withColumns({"_cause": F.lower("root_cause"), "_resolution": F.lower("resolution")})
-    listed = F.lower("root_cause")
-    name, group = F.col("root_cause"), F.col("root_cause_group")
-    causes = tables.root_causes
-    defects = causes.select(listed.alias("_cause"), name.alias("defect_root_cause"))
-    cases = lookup_join(cases, defects, ["_cause"], fits["root_causes"])
+    cases = cases.withColumns({key: F.lower(name) for key, name in keys.items()})
+    joined = lookup_join(
+        cases, transactions, ["assigned_to_group", *keys], tables.fits["transactions"]
+    )
+    return joined.drop(*keys)
+
+
+def with_listed_cause(
+    cases: DataFrame, tables: CaseTables, column: str, cause: str, group: str | None = None
+) -> DataFrame:
+    """Listed root cause, and if asked its group, that equals a ticket column in any case."""
+    names = [F.col("root_cause").alias(cause)]
+    if group:
+        names.append(F.col("root_cause_group").alias(group))
+    listed = tables.root_causes.select(F.lower("root_cause").alias("_listed"), *names)
+    cases = cases.withColumn("_listed", F.lower(column))
+    return lookup_join(cases, listed, ["_listed"], tables.fits["root_causes"]).drop("_listed")
+
+
+def with_mappings(cases: DataFrame, tables: CaseTables, resolved: bool) -> DataFrame:
+    """Join the targets, hubs, transaction types and listed root causes."""
+    cases = with_cti_slas(cases, tables)
+    cases = with_default_hubs(cases, tables)
+    cases = with_transactions(cases, tables)
+    cases = with_listed_cause(cases, tables, "root_cause", "defect_root_cause")
     if resolved:
-        by_cause = causes.select(
-            listed.alias("_cause"),
-            name.alias("listed_root_cause"),
-            group.alias("listed_root_group"),
+        cases = with_listed_cause(
+            cases, tables, "root_cause", "listed_root_cause", "listed_root_group"
         )
-        by_resolution = causes.select(listed.alias("_resolution"), name.alias("listed_resolution"))
-        cases = lookup_join(cases, by_cause, ["_cause"], fits["root_causes"])
-        cases = lookup_join(cases, by_resolution, ["_resolution"], fits["root_causes"])
-    return cases.drop("_cause", "_resolution")
+        cases = with_listed_cause(cases, tables, "resolution", "listed_resolution")
+    return cases
 
 
 def people_profiles(headcount: DataFrame, people: People, options: Options) -> DataFrame:
