@@ -133,6 +133,20 @@ def salted_left_join(
     return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
 
 
+def left_join_many(
+    cases: DataFrame, many: DataFrame, keys: Sequence[str], hot_rows: int = HOT_KEY_ROWS
+) -> DataFrame:
+    """Left join of unique cases to a side that may hold any number of rows per key.
+
+    The side with many rows drives the join, so the rows of one key can be spread; cases without a
+    row are added by an anti join.
+    """
+    found = cases.withColumn("_found", F.lit(True))
+    linked = salted_left_join(many, found, keys, many.columns, hot_rows).filter("_found")
+    alone = cases.join(many.select(*keys).distinct(), list(keys), "left_anti")
+    return linked.drop("_found").unionByName(alone, allowMissingColumns=True)
+
+
 def lookup_join(
     fact: DataFrame,
     lookup: DataFrame,

@@ -13,7 +13,7 @@ from casemetrics.operators.rollup import (
     last_reopening,
     last_routing,
 )
-from casemetrics.operators.sizing import fits_broadcast, lookup_join, stored
+from casemetrics.operators.sizing import fits_broadcast, left_join_many, lookup_join, stored
 from casemetrics.plans.case_frame import (
     recent_staff,
     with_default_hubs,
@@ -143,13 +143,8 @@ def bridge_logins(tables):
     {"bridge": BRIDGE},
 )
 def join_bridge(tables):
-    bridge = bridge_logins(tables)
-    # The bridge is the side that grows per case, so it drives the join and its rows stay spread;
-    # tickets without a login are added by an anti join.
     cases = tables.tickets.select("case_id")
-    linked = bridge.join(cases, "case_id", "inner")
-    alone = cases.join(bridge.select("case_id").distinct(), "case_id", "left_anti")
-    return linked.unionByName(alone.withColumn("concerning_login", F.lit(None).cast("string")))
+    return left_join_many(cases, bridge_logins(tables), ["case_id"])
 
 
 @query(
@@ -218,7 +213,7 @@ def join_last_routing(tables):
         "case_id", F.col("routed_to").alias("assigned_to_group"), "routed_from", "routed_date"
     )
     cases = tables.tickets.select("case_id", "assigned_to_group")
-    joined = cases.join(routing, ["case_id", "assigned_to_group"], "left")
+    joined = left_join_many(cases, routing, ["case_id", "assigned_to_group"])
     return joined.drop("assigned_to_group")
 
 
@@ -230,7 +225,7 @@ def join_last_routing(tables):
 )
 def join_last_reopening(tables):
     reopening = last_reopening(tables.audit, tables.groups, OPTIONS)
-    return tables.tickets.select("case_id").join(reopening, "case_id", "left")
+    return left_join_many(tables.tickets.select("case_id"), reopening, ["case_id"])
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemetrics.sources.tables import CaseTables
-from workload.roles import ROLE_SQL, case_tables
+from workload.roles import ROLE_SQL, RoleTables
 
 
 @dataclass(frozen=True)
@@ -39,12 +39,12 @@ def with_roles(body: str, named: Mapping[str, str] | None = None) -> str:
     return f"WITH {', '.join(parts)} {body}" if parts else body
 
 
-def query(name: str, sql: str, named: Mapping[str, str] | None = None):
+def query(name: str, sql: str, named: Mapping[str, str] | None = None, tables=RoleTables):
     """Register a function of the role tables under ``name``."""
 
-    def register(build: Callable[[CaseTables], DataFrame]):
+    def register(build: Callable[[CaseTables | RoleTables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return tidy(build(case_tables(spark, sf_dir)))
+            return tidy(build(tables(spark, sf_dir)))
 
         REGISTRY[name] = Entry(run, with_roles(sql, named))
         return build

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casemetrics.config.options import Options
 from casemetrics.config.people import People
-from casemetrics.sources.tables import CaseTables
+from casemetrics.operators.sizing import fits_broadcast
+from casemetrics.sources.tables import CaseTables, conform
 
 GROUPS = [
     "ERC Extended Onboarding",
@@ -366,5 +367,30 @@ def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **sources)
 
 
+class RoleTables:
+    """Role tables and size checks made when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._source = (spark, sf_dir)
+        self.fits = _Fits(self)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in ROLE_SQL:
+            raise AttributeError(name)
+        table = conform(role(*self._source, name), name)
+        setattr(self, name, table)
+        return table
+
+
+class _Fits(dict):
+    def __init__(self, tables: RoleTables) -> None:
+        super().__init__()
+        self._tables = tables
+
+    def __missing__(self, name: str) -> bool:
+        self[name] = fits_broadcast(getattr(self._tables, name))
+        return self[name]
+
+
 def case_tables(spark: SparkSession, sf_dir: str) -> CaseTables:
     return CaseTables.of(**{name: role(spark, sf_dir, name) for name in ROLE_SQL})

@@ -8,15 +8,15 @@ from casemetrics.plans.ttr_percentiles import ttr_percentiles
 from casemetrics.plans.views import open_case_metrics, resolved_case_metrics
 from workload import oracle as O
 from workload.registry import query
-from workload.roles import OPTIONS, PEOPLE
+from workload.roles import OPTIONS, PEOPLE, case_tables
 
 
-@query("k1_open_case_metrics", O.view_sql(False), O.frame(False))
+@query("k1_open_case_metrics", O.view_sql(False), O.frame(False), case_tables)
 def open_cases(tables):
     return open_case_metrics(tables, PEOPLE, OPTIONS)
 
 
-@query("k2_resolved_case_metrics", O.view_sql(True), O.frame(True))
+@query("k2_resolved_case_metrics", O.view_sql(True), O.frame(True), case_tables)
 def resolved_cases(tables):
     return resolved_case_metrics(tables, PEOPLE, OPTIONS)
 
