@@ -168,10 +168,9 @@ def period_percentiles(tables):
 
 @query(
     "f1_top_per_key",
-    """SELECT o_custkey AS customer, case_id, create_date FROM (
-        SELECT requester_login AS o_custkey, case_id, create_date FROM tickets) AS t
-    QUALIFY rank() OVER (PARTITION BY o_custkey ORDER BY create_date DESC NULLS FIRST) = 1""",
+    """SELECT requester_login AS requester, case_id, create_date FROM tickets
+    QUALIFY rank() OVER (PARTITION BY requester_login ORDER BY create_date DESC NULLS FIRST) = 1""",
 )
 def top_per_key(tables):
-    cases = tables.tickets.select(F.col("requester_login").alias("customer"), "case_id", "create_date")
-    return latest_with_ties(cases, ["customer"], "create_date")
+    cases = tables.tickets.select(F.col("requester_login").alias("requester"), "case_id", "create_date")
+    return latest_with_ties(cases, ["requester"], "create_date")
