@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from casemetrics.operators.rules import first_match
 
 # First and last value of each range, with its label.
 CORRESPONDENCE_RANGES = [(0, 4, "1 to 3"), (4, 10, "4 to 10"), (11, 26, "11 to 25")]
@@ -37,18 +38,14 @@ SHORT_AGE_ABOVE = "Above 15"
 def correspondence_bucket(count: Column) -> Column:
     """The first range that holds the count; the ranges overlap at their edges on purpose."""
     edge, above = CORRESPONDENCE_ABOVE
-    label = F.when(count > edge, above)
-    for low, high, name in reversed(CORRESPONDENCE_RANGES):
-        label = F.when(count.between(low, high), name).otherwise(label)
-    return label
+    ranges = [(count.between(low, high), name) for low, high, name in CORRESPONDENCE_RANGES]
+    return first_match([*ranges, (count > edge, above)])
 
 
 def bin_below(value: Column, bins: Sequence[tuple[int, str]], above: str) -> Column:
     """Label of the first bin whose upper edge lies beyond the value; null for null."""
-    label = F.when(value.isNotNull(), above)
-    for edge, name in reversed(bins):
-        label = F.when(value < edge, name).otherwise(label)
-    return label
+    below = [(value < edge, name) for edge, name in bins]
+    return first_match([*below, (value.isNotNull(), above)])
 
 
 def age_bucket(age: Column) -> Column:

@@ -15,11 +15,17 @@ def _value(value) -> Column:
 
 
 def first_match(rules: Sequence[Rule], default=None) -> Column:
-    """Value of the first rule whose condition is true; a null condition counts as not met."""
-    chain = _value(default)
-    for condition, value in reversed(rules):
-        chain = F.when(condition, _value(value)).otherwise(chain)
-    return chain
+    """Value of the first rule whose condition is true; a null condition counts as not met.
+
+    One flat CASE: Spark splits its branches into small compiled methods, which it cannot do for
+    conditions nested in each other.
+    """
+    if not rules:
+        return _value(default)
+    chain = F
+    for condition, value in rules:
+        chain = chain.when(condition, _value(value))
+    return chain.otherwise(_value(default))
 
 
 def flag(condition: Column) -> Column:

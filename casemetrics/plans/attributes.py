@@ -13,18 +13,22 @@ from casemetrics.functions.text import contains_any, is_blank
 from casemetrics.operators.rules import first_match
 
 
-def resolver_country() -> Column:
+def known_country() -> Column:
+    """Country by group, category and type alone; null leaves it to the people."""
     listed = F.lower("assigned_to_group").isin(V.CTI_COUNTRY_GROUPS)
-    known = ["grp_country", "con_country", "req_country"]
     return first_match(
         [
             (listed & F.col("cti_country").isNotNull(), F.col("cti_country")),
             *[(F.col("category") == name, code) for name, code in V.CATEGORY_COUNTRIES.items()],
         ],
-        F.coalesce(*known, F.lit(V.UNMAPPED)),
+        F.col("grp_country"),
     )
 
 
+def resolver_country() -> Column:
+    return F.coalesce("known_country", "con_country", "req_country", F.lit(V.UNMAPPED))
+
+
 def transaction_type(resolved: bool) -> Column:
     mapped = F.coalesce("mapped_transaction", F.lit(V.OTHER))
     if resolved:
@@ -41,7 +45,7 @@ def root_cause_defect() -> Column:
             (out_of_scope | before_launch, V.NOT_DEFECT_SCOPE),
             (is_blank(F.col("root_cause")), V.BLANK),
         ],
-        F.coalesce("defect_root_cause", F.lit(V.OTHER_ROOT_CAUSE)),
+        F.coalesce("_defect_cause", F.lit(V.OTHER_ROOT_CAUSE)),
     )
 
 
@@ -108,25 +112,12 @@ def line_of_business(detail: str) -> Column:
     return F.coalesce(f"con_{detail}", f"req_{detail}", F.lit(V.OPERATIONS_LINE))
 
 
-def with_lapse_times(cases: DataFrame) -> DataFrame:
-    """Calendar time from creation to the last routing and the last reopening."""
-    return cases.withColumns(
-        {
-            "routed_us": business_us("create_date", "routed_date", 7),
-            "reopened_us": business_us("create_date", "last_reopened_date", 7),
-        }
-    )
-
-
-def root_cause_group(options: Options) -> Column:
-    """Resolved cases only, after ``with_lapse_times`` and the target value."""
+def plain_cause_group(options: Options) -> Column:
+    """Root-cause group as far as ticket and lists settle it; null for what is left of the cases
+    without a defect."""
     transfers = F.col("grp_process") == V.TRANSFERS
     no_defect = F.col("root_cause") == V.NO_DEFECT
-    details = F.col("root_cause_details")
-
-    target_us = F.col("sla_taget_value") * F.lit(DAY_US)
-    routed_late = no_defect & (F.col("routed_us") > target_us)
-    reopened_late = no_defect & (F.col("reopened_us") > target_us)
+    details, group = F.col("root_cause_details"), F.col("listed_root_group")
     blank = is_blank(F.col("root_cause"))
     unlisted = F.col("listed_root_cause").isNull()
     if options.covers(V.TRANSFERS):
@@ -139,12 +130,36 @@ def root_cause_group(options: Options) -> Column:
             (unlisted, V.OTHER_ROOT_CAUSE),
             (no_defect & contains_any(details, V.MISSING_INFO_WORDS), V.MISSING_INFO),
             (no_defect & contains_any(details, V.PROCESS_WORDS), V.PROCESS_DEPENDENCY),
-            (routed_late, V.ROUTED_LATE),
+            (no_defect, None),
+            (group.isin(V.HRS_DEFECT, V.NO_DEFECT), V.LIFECYCLE_DEFECT),
+        ],
+        group,
+    )
+
+
+def with_lapse_times(cases: DataFrame) -> DataFrame:
+    """Calendar time from creation to the last routing and the last reopening, where it counts."""
+    no_defect = F.col("root_cause") == V.NO_DEFECT
+    return cases.withColumns(
+        {
+            "routed_us": F.when(no_defect, business_us("create_date", "routed_date", 7)),
+            "reopened_us": F.when(no_defect, business_us("create_date", "last_reopened_date", 7)),
+        }
+    )
+
+
+def root_cause_group() -> Column:
+    """Resolved cases only, after ``with_lapse_times`` and the target value."""
+    no_defect = F.col("root_cause") == V.NO_DEFECT
+    target_us = F.col("sla_taget_value") * F.lit(DAY_US)
+    reopened_late = F.col("reopened_us") > target_us
+    without_defect = first_match(
+        [
+            (F.col("routed_us") > target_us, V.ROUTED_LATE),
             (reopened_late & (F.col("reopened_by_system") == "Y"), V.REOPENED_BY_SYSTEM_LATE),
             (reopened_late & (F.col("reopened_by_system") == "N"), V.REOPENED_BY_PERSON_LATE),
             (no_defect & (F.col("pending") > 0), V.MISSING_INFO),
             (no_defect, V.LIFECYCLE_DEFECT),
-            (F.col("listed_root_group").isin(V.HRS_DEFECT, V.NO_DEFECT), V.LIFECYCLE_DEFECT),
-        ],
-        F.col("listed_root_group"),
+        ]
     )
+    return F.coalesce("plain_cause_group", without_defect)

@@ -1,8 +1,11 @@
-"""The wide frame behind both case views: tickets in scope with everything joined to them.
+"""The frame behind both case views: tickets in scope with everything joined to them.
 
 Order of the joins: first the ones that drop tickets, then lookups on other keys, and the joins on
 ``case_id`` last. The frame therefore ends up partitioned by ``case_id``, and the DISTINCT of the
 views needs no further shuffle.
+
+Every step settles the result columns it can and drops the joined columns that no later step asks
+for. Rows stay narrow in the shuffle, and each step compiles to methods small enough for the JIT.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from casemetrics.operators.employees import employee_view, join_person
 from casemetrics.operators.latest import latest_with_ties
 from casemetrics.operators.rollup import case_history, last_routed_groups, quicklink_texts
 from casemetrics.operators.sizing import fits_broadcast, lookup_join, stored
+from casemetrics.plans import attributes as A
+from casemetrics.plans import sla
 from casemetrics.plans.ttr_percentiles import (
     grouping_key,
     load_time,
@@ -37,14 +42,16 @@ from casemetrics.plans.ttr_percentiles import (
 from casemetrics.sources.tables import CaseTables
 
 PARTS = (
-    "mappings",
+    "times",
+    "targets",
+    "orders",
+    "causes",
     "people",
     "recent",
     "percentile",
     "history",
     "routing",
     "concerned",
-    "times",
 )
 
 GROUP_COLUMNS = {
@@ -158,17 +165,20 @@ def with_listed_cause(
     return lookup_join(cases, listed, ["_listed"], tables.fits["root_causes"]).drop("_listed")
 
 
-def with_mappings(cases: DataFrame, tables: CaseTables, resolved: bool) -> DataFrame:
-    """Join the targets, hubs, transaction types and listed root causes."""
-    cases = with_cti_slas(cases, tables)
-    cases = with_default_hubs(cases, tables)
-    cases = with_transactions(cases, tables)
-    cases = with_listed_cause(cases, tables, "root_cause", "defect_root_cause")
+def with_settled_causes(
+    cases: DataFrame, tables: CaseTables, options: Options, resolved: bool
+) -> DataFrame:
+    """Root-cause columns; the listed causes are joined per column, as a list may repeat a cause."""
+    cases = with_listed_cause(cases, tables, "root_cause", "_defect_cause")
+    defect = A.root_cause_defect()
+    cases = cases.withColumn("root_cause_defect", defect).drop(
+        "_defect_cause", "grp_defect_scope", "grp_defect_launch"
+    )
     if resolved:
-        cases = with_listed_cause(
-            cases, tables, "root_cause", "listed_root_cause", "listed_root_group"
-        )
-        cases = with_listed_cause(cases, tables, "resolution", "listed_resolution")
+        listed = ["listed_root_cause", "listed_root_group", "listed_resolution"]
+        cases = with_listed_cause(cases, tables, "root_cause", *listed[:2])
+        cases = with_listed_cause(cases, tables, "resolution", listed[2])
+        cases = cases.withColumn("plain_cause_group", A.plain_cause_group(options)).drop(*listed)
     return cases
 
 
@@ -194,15 +204,23 @@ def with_people(
 ) -> DataFrame:
     """Requester, assignee, resolver and, where a rule asks, submitter."""
     staff = people.is_in(F.col("level2"), "hr_head")
-    roles = [
-        ("requester_login", "req", ["country", "lob1", "lob2", "level5"], None),
-        ("assigned_to_individual", "asg", ["country", "level5", "level6", "supervisor"], staff),
-        ("resolved_by", "rsv", ["country", "level6"], staff),
-    ]
+    requester = ["country", "lob1", "lob2", "level5"]
+    cases = join_person(cases, profiles, "requester_login", "req", requester, None, fits)
+    cases = sla.with_managed(cases, people)
+    assignee = ["country", "level5", "level6", "supervisor"]
+    cases = join_person(cases, profiles, "assigned_to_individual", "asg", assignee, staff, fits)
+    resolver = ["country", "level6"]
+    cases = join_person(cases, profiles, "resolved_by", "rsv", resolver, staff, fits)
+    if "hub_default" in cases.columns:
+        cases = cases.withColumns(
+            {
+                "delivery_location": A.delivery_location(people),
+                "delivery_group": A.delivery_group(people),
+            }
+        ).drop("hub_default", "hub_group")
+    cases = cases.drop("asg_country", "asg_level5", "asg_level6", "rsv_country", "rsv_level6")
     if options.covers(V.ATTENDANCE):
-        roles.append(("submitted_by", "sub", ["level7"], staff))
-    for login, prefix, columns, where in roles:
-        cases = join_person(cases, profiles, login, prefix, columns, where, fits)
+        cases = join_person(cases, profiles, "submitted_by", "sub", ["level7"], staff, fits)
     return cases
 
 
@@ -266,6 +284,33 @@ def with_times(cases: DataFrame, now: Column, options: Options) -> DataFrame:
     return with_time_to_resolve(cases, "sla_ttr_us", end, BEIJING_SITES, source_zone=zone, **place)
 
 
+def with_history(
+    cases: DataFrame, tables: CaseTables, options: Options, resolved: bool
+) -> DataFrame:
+    """Reductions of the audit trail by case."""
+    groups = tables.groups if resolved else None
+    history = case_history(tables.audit, options, groups, tables.fits["groups"])
+    cases = cases.join(history, "case_id", "left")
+    if not resolved:
+        return cases
+    cases = cases.join(quicklink_texts(tables.audit, options), "case_id", "left")
+    cases = cases.select("*", F.explode_outer("last_reopenings").alias("_reopening"))
+    reopening = {
+        "reopened_by_system": F.col("_reopening.by_system"),
+        "last_reopened_date": F.col("_reopening.at"),
+    }
+    return cases.withColumns(reopening).drop("_reopening", "last_reopenings")
+
+
+def with_routing(cases: DataFrame, tables: CaseTables, options: Options) -> DataFrame:
+    """Last routing time, where the last routing led to the case's own group."""
+    routed = last_routed_groups(tables.audit, tables.groups, options, tables.fits["groups"])
+    cases = cases.join(routed, "case_id", "left")
+    own = F.array_contains("last_routed_to", F.col("assigned_to_group"))
+    cases = cases.withColumn("routed_date", F.when(own, F.col("last_routed_date")))
+    return cases.drop("last_routed_to", "last_routed_date")
+
+
 def case_frame(
     tables: CaseTables,
     people: People,
@@ -273,12 +318,25 @@ def case_frame(
     resolved: bool,
     parts: Collection[str] = PARTS,
 ) -> DataFrame:
-    """Tickets of one view with the named parts joined to them, before the rules."""
+    """Tickets of one view with the named parts joined and settled."""
     select = resolved_tickets if resolved else open_tickets
     cases = in_scope(select(tables.tickets, options), tables, options)
-    few_groups = tables.fits["groups"]
-    if "mappings" in parts:
-        cases = with_mappings(cases, tables, resolved)
+    settled = {"known_country": A.known_country(), "process": A.process()}
+    cases = cases.withColumns(settled).drop("cti_country", "cti_process")
+    if "times" in parts:
+        cases = with_times(cases, load_time(tables), options).drop("grp_days_week")
+    if "targets" in parts:
+        cases = with_default_hubs(with_cti_slas(cases, tables), tables)
+        cases = sla.with_targets(cases, resolved)
+    if "targets" in parts and "times" in parts:
+        cases = sla.with_time_verdict(cases)
+    if "orders" in parts:
+        cases = with_transactions(cases, tables)
+        cases = cases.withColumn("transaction_type", A.transaction_type(resolved))
+        cases = sla.with_support_orders(cases) if resolved else cases
+        cases = cases.drop("mapped_transaction")
+    if "causes" in parts:
+        cases = with_settled_causes(cases, tables, options, resolved)
     if "people" in parts or "concerned" in parts:
         profiles = people_profiles(tables.headcount, people, options)
         few_people = fits_broadcast(profiles)
@@ -287,31 +345,18 @@ def case_frame(
     if "recent" in parts:
         recent = stored(recent_staff(tables.tickets, options))
         cases = lookup_join(cases, recent, ["submitted_by"])
+        cases = sla.with_exemptions(cases, people, options)
     if "percentile" in parts and resolved:
         cases = with_monthly_percentile(cases, tables, options)
     if "history" in parts:
-        groups = tables.groups if resolved else None
-        history = case_history(tables.audit, options, groups, few_groups)
-        cases = cases.join(history, "case_id", "left")
-    if "history" in parts and resolved:
-        cases = cases.join(quicklink_texts(tables.audit, options), "case_id", "left")
-        reopening = F.explode_outer("last_reopenings").alias("_reopening")
-        cases = cases.select("*", reopening).withColumns(
-            {
-                "reopened_by_system": F.col("_reopening.by_system"),
-                "last_reopened_date": F.col("_reopening.at"),
-            }
-        )
+        cases = with_history(cases, tables, options, resolved)
+    if "history" in parts and "targets" in parts:
+        cases = sla.with_stages(cases)
     if "routing" in parts and resolved:
-        routed = last_routed_groups(tables.audit, tables.groups, options, few_groups)
-        cases = cases.join(routed, "case_id", "left")
-        own = F.array_contains("last_routed_to", F.col("assigned_to_group"))
-        cases = cases.withColumn("routed_date", F.when(own, F.col("last_routed_date")))
+        cases = A.with_lapse_times(with_routing(cases, tables, options))
     if "concerned" in parts:
         concerned = concerned_people(tables.concerned, profiles, options, few_people)
         cases = cases.join(concerned, "case_id", "left")
         cases = cases.select("*", F.explode_outer("_concerned").alias("_person"))
-        cases = cases.select("*", "_person.*")
-    if "times" in parts:
-        cases = with_times(cases, load_time(tables), options)
+        cases = cases.select("*", "_person.*").drop("_concerned", "_person")
     return cases

@@ -41,8 +41,8 @@ def identity(resolved: bool) -> Named:
         **_as_is("case_id", "assigned_to_group"),
         "superregion": F.col("grp_super_region"),
         "resolver_country": A.resolver_country(),
-        "transaction_type": A.transaction_type(resolved),
         **_as_is(
+            "transaction_type",
             "category",
             "type",
             "item",
@@ -79,14 +79,12 @@ def service_level(resolved: bool) -> Named:
     }
 
 
-def delivery(people: People) -> Named:
+def delivery() -> Named:
     return {
         "year_month": closed_month("resolved_date"),
         "root_cause_details": F.col("root_cause_details"),
         "total_case_count": F.coalesce("case_count", F.lit(1)),
-        "root_cause_defect": A.root_cause_defect(),
-        "delivery_location": A.delivery_location(people),
-        "delivery_group": A.delivery_group(people),
+        **_as_is("root_cause_defect", "delivery_location", "delivery_group"),
     }
 
 
@@ -102,7 +100,7 @@ def contact_flags() -> Named:
 
 def organisation() -> Named:
     return {
-        "process": A.process(),
+        "process": F.col("process"),
         "lob1": A.line_of_business("lob1"),
         "lob2": A.line_of_business("lob2"),
         "country": F.col("grp_country"),
@@ -127,7 +125,7 @@ def open_ages(options: Options) -> Named:
     }
 
 
-def resolution_marks(options: Options) -> Named:
+def resolution_marks() -> Named:
     return {
         "escalated": flag(_positive("escalated")),
         "hrs_supervisor": F.col("asg_supervisor"),
@@ -135,19 +133,19 @@ def resolution_marks(options: Options) -> Named:
         "4r": flag(_positive("four_r")),
         "4c": flag(_positive("four_c")),
         "4f": flag(_positive("four_f")),
-        "root_cause_group": A.root_cause_group(options),
+        "root_cause_group": A.root_cause_group(),
         "created_from_quicklink": flag(_positive("created_from_quicklink")),
         "quicklink_id": strip_leading(F.col("quicklink_text"), V.QUICKLINK_PREFIX_CHARACTERS),
         "defect": F.when(F.col("root_cause") == V.NO_DEFECT, "N").otherwise("Y"),
     }
 
 
-def open_columns(people: People, options: Options) -> Named:
+def open_columns(options: Options) -> Named:
     return {
         **identity(resolved=False),
         **times(resolved=False),
         **service_level(resolved=False),
-        **delivery(people),
+        **delivery(),
         "sla_days_bucket": as_days(F.col("ttr_us")),
         "sla_age_bucket": as_days(F.col("ttr_us")),
         **contact_flags(),
@@ -156,26 +154,23 @@ def open_columns(people: People, options: Options) -> Named:
     }
 
 
-def resolved_columns(people: People, options: Options) -> Named:
+def resolved_columns() -> Named:
     return {
         **identity(resolved=True),
         **times(resolved=True),
         **service_level(resolved=True),
-        **delivery(people),
+        **delivery(),
         **contact_flags(),
         **organisation(),
-        **resolution_marks(options),
+        **resolution_marks(),
     }
 
 
 def view_frame(
     tables: CaseTables, people: People, options: Options, resolved: bool
 ) -> DataFrame:
-    """The joined frame with the values that several result columns build on."""
+    """The settled frame with the target value, which the root-cause group builds on."""
     frame = case_frame(tables, people, options, resolved)
-    frame = sla.with_conditions(frame, people, options, resolved)
-    if resolved:
-        frame = A.with_lapse_times(frame)
     return frame.withColumn("sla_taget_value", sla.sla_target_value(resolved))
 
 
@@ -186,10 +181,10 @@ def _view(frame: DataFrame, columns: Named) -> DataFrame:
 def open_case_metrics(tables: CaseTables, people: People, options: Options) -> DataFrame:
     """One row per open case of the processes in scope, 53 columns."""
     frame = view_frame(tables, people, options, resolved=False)
-    return _view(frame, open_columns(people, options))
+    return _view(frame, open_columns(options))
 
 
 def resolved_case_metrics(tables: CaseTables, people: People, options: Options) -> DataFrame:
     """One row per resolved case of the processes in scope, 51 columns."""
     frame = view_frame(tables, people, options, resolved=True)
-    return _view(frame, resolved_columns(people, options))
+    return _view(frame, resolved_columns())

@@ -6,7 +6,8 @@ process take part as well.
 
 from __future__ import annotations
 
-from casemetrics.operators.rules import first_match
+from pyspark.sql import functions as F
+
 from casemetrics.plans import attributes as A
 from casemetrics.plans import sla
 from casemetrics.plans.case_frame import case_frame
@@ -14,101 +15,20 @@ from workload import oracle as O
 from workload.registry import query
 from workload.roles import PEOPLE, WIDE_OPTIONS
 
-SLA_PARTS = ("mappings", "people", "recent", "history", "times")
-
-
-def rule_frame(tables, resolved, parts):
-    return case_frame(tables, PEOPLE, WIDE_OPTIONS, resolved, parts)
-
-
-def sla_frame(tables, resolved, parts=SLA_PARTS):
-    frame = rule_frame(tables, resolved, parts)
-    return sla.with_conditions(frame, PEOPLE, WIDE_OPTIONS, resolved)
+SLA_PARTS = ["times", "targets", "orders", "people", "recent", "history"]
 
 
-def register(name, resolved, build, *columns, sql=None):
-    """``build`` gives a frame and the columns by name; the result is distinct per case."""
-    text = sql or O.view_sql(resolved, list(columns))
+def register(name, resolved, parts, column, build=None, sql=None):
+    """The case and one column, distinct, over the frame with the given parts."""
+    text = sql or O.view_sql(resolved, [column])
 
     @query(name, text, O.frame(resolved, WIDE_OPTIONS.scope))
     def run(tables):
-        frame, found = build(tables)
-        return frame.select("case_id", *[c.alias(n) for n, c in found.items()]).distinct()
-
-
-def country(tables):
-    frame = rule_frame(tables, True, ["people", "concerned"])
-    return frame, {"resolver_country": A.resolver_country()}
-
-
-def transaction(tables):
-    return rule_frame(tables, False, ["mappings"]), {"transaction_type": A.transaction_type(False)}
-
-
-def verdict(tables):
-    return sla_frame(tables, False), {"sla_target_met": sla.sla_target_met(False)}
-
-
-def resolved_verdict(tables):
-    return sla_frame(tables, True), {"sla_target_met": sla.sla_target_met(True)}
-
-
-def support_orders(tables):
-    frame = sla_frame(tables, True)
-    return frame, {"order_verdict": first_match(sla.support_order_verdict())}
-
-
-def value(tables):
-    return sla_frame(tables, False), {"sla_taget_value": sla.sla_target_value(False)}
-
-
-def resolved_value(tables):
-    return sla_frame(tables, True), {"sla_taget_value": sla.sla_target_value(True)}
-
-
-def exists(tables):
-    return sla_frame(tables, False), {"sla_target_exists": sla.sla_target_exists(False)}
-
-
-def resolved_exists(tables):
-    return sla_frame(tables, True), {"sla_target_exists": sla.sla_target_exists(True)}
-
-
-def effective(tables):
-    return sla_frame(tables, True), {"effective": sla.effective_target(True)}
-
-
-def defect(tables):
-    frame = rule_frame(tables, True, ["mappings"])
-    return frame, {"root_cause_defect": A.root_cause_defect()}
-
-
-def location(tables):
-    frame = rule_frame(tables, True, ["mappings", "people"])
-    return frame, {"delivery_location": A.delivery_location(PEOPLE)}
-
-
-def group(tables):
-    frame = rule_frame(tables, True, ["mappings", "people"])
-    return frame, {"delivery_group": A.delivery_group(PEOPLE)}
-
-
-def process(tables):
-    return rule_frame(tables, True, []), {"process": A.process()}
-
-
-def broad(tables):
-    return rule_frame(tables, True, ["people", "concerned"]), {"lob1": A.line_of_business("lob1")}
-
-
-def detailed(tables):
-    return rule_frame(tables, True, ["people", "concerned"]), {"lob2": A.line_of_business("lob2")}
-
-
-def cause_group(tables):
-    frame = sla_frame(tables, True, [*SLA_PARTS, "routing"])
-    frame = A.with_lapse_times(frame.withColumn("sla_taget_value", sla.sla_target_value(True)))
-    return frame, {"root_cause_group": A.root_cause_group(WIDE_OPTIONS)}
+        frame = case_frame(tables, PEOPLE, WIDE_OPTIONS, resolved, parts)
+        if "routing" in parts:
+            frame = frame.withColumn("sla_taget_value", sla.sla_target_value(resolved))
+        found = build() if build else F.col(column)
+        return frame.select("case_id", found.alias(column)).distinct()
 
 
 ORDER_SQL = """SELECT DISTINCT case_id, CASE WHEN waiting THEN '-'
@@ -116,22 +36,46 @@ ORDER_SQL = """SELECT DISTINCT case_id, CASE WHEN waiting THEN '-'
     WHEN plain_order AND short_order AND (without_enrolment OR resolution IS NULL) THEN 'Y'
     WHEN plain_order AND twice THEN '-' WHEN plain_order AND enrolled AND long_order THEN 'Y' END
     AS order_verdict FROM flagged"""
-EFFECTIVE_SQL = "SELECT DISTINCT case_id, effective FROM judged"
-
-register("j1_resolver_country", True, country, "resolver_country")
-register("j2_transaction_type", False, transaction, "transaction_type")
-register("j3_sla_target_met", False, verdict, "sla_target_met")
-register("j3_sla_target_met_resolved", True, resolved_verdict, "sla_target_met")
-register("j3b_support_order_verdict", True, support_orders, sql=ORDER_SQL)
-register("j4_sla_target_value", False, value, "sla_taget_value")
-register("j4_sla_target_value_resolved", True, resolved_value, "sla_taget_value")
-register("j5_sla_target_exists", False, exists, "sla_target_exists")
-register("j5_sla_target_exists_resolved", True, resolved_exists, "sla_target_exists")
-register("j6_effective_target", True, effective, sql=EFFECTIVE_SQL)
-register("j7_root_cause_defect", True, defect, "root_cause_defect")
-register("j8_delivery_location", True, location, "delivery_location")
-register("j9_delivery_group", True, group, "delivery_group")
-register("j10_process", True, process, "process")
-register("j11_lob1", True, broad, "lob1")
-register("j12_lob2", True, detailed, "lob2")
-register("j13_root_cause_group", True, cause_group, "root_cause_group")
+EFFECTIVE_SQL = "SELECT DISTINCT case_id, effective AS effective_target FROM judged"
+
+PEOPLE_PARTS = ["people", "concerned"]
+PLACE_PARTS = ["targets", "people"]
+
+register("j1_resolver_country", True, PEOPLE_PARTS, "resolver_country", lambda: A.resolver_country())
+register("j2_transaction_type", False, ["orders"], "transaction_type")
+for _resolved, _suffix in ((False, ""), (True, "_resolved")):
+    register(
+        f"j3_sla_target_met{_suffix}",
+        _resolved,
+        SLA_PARTS,
+        "sla_target_met",
+        lambda resolved=_resolved: sla.sla_target_met(resolved),
+    )
+    register(
+        f"j4_sla_target_value{_suffix}",
+        _resolved,
+        SLA_PARTS,
+        "sla_taget_value",
+        lambda resolved=_resolved: sla.sla_target_value(resolved),
+    )
+    register(
+        f"j5_sla_target_exists{_suffix}",
+        _resolved,
+        SLA_PARTS,
+        "sla_target_exists",
+        lambda resolved=_resolved: sla.sla_target_exists(resolved),
+    )
+register("j3b_support_order_verdict", True, ["orders"], "order_verdict", sql=ORDER_SQL)
+register("j6_effective_target", True, ["targets"], "effective_target", sql=EFFECTIVE_SQL)
+register("j7_root_cause_defect", True, ["causes"], "root_cause_defect")
+register("j8_delivery_location", True, PLACE_PARTS, "delivery_location")
+register("j9_delivery_group", True, PLACE_PARTS, "delivery_group")
+register("j10_process", True, [], "process")
+register("j11_lob1", True, PEOPLE_PARTS, "lob1", lambda: A.line_of_business("lob1"))
+register("j12_lob2", True, PEOPLE_PARTS, "lob2", lambda: A.line_of_business("lob2"))
+register(
+    "j13_root_cause_group",
+    True,
+    [*SLA_PARTS, "causes", "routing"],
+    "root_cause_group", lambda: A.root_cause_group(),
+)
