@@ -52,11 +52,16 @@ def join_person(
     columns: Sequence[str],
     where: Column | None = None,
     fits: bool | None = None,
+    hot_source: DataFrame | None = None,
 ) -> DataFrame:
-    """Left join the person behind ``login``, any case, as ``prefix_<column>``."""
+    """Left join the person behind ``login``, any case, as ``prefix_<column>``.
+
+    ``hot_source`` is the table that ``login`` comes from, in case the join must spread hot logins.
+    """
     key = f"_{prefix}_login"
+    hot = None if hot_source is None else hot_source.select(F.lower(login).alias(key))
     side = people if where is None else people.filter(where)
     side = side.select(
         F.col("login").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in columns]
     )
-    return lookup_join(df.withColumn(key, F.lower(login)), side, [key], fits).drop(key)
+    return lookup_join(df.withColumn(key, F.lower(login)), side, [key], fits, hot_source=hot).drop(key)

@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemetrics.operators.sizing import HOT_KEY_ROWS, SALTS, hot_key_hashes
+from casemetrics.operators.sizing import HOT_KEY_ROWS, SALTS, hot_key_hashes, is_hot
 
 
 def latest_with_ties(
@@ -26,27 +26,30 @@ def latest_with_ties(
     rows are dropped at the scan and its ties are ranked in salted parts.
     """
     hot = hot_key_hashes(df, keys, hot_rows, keep_null=True)
-    key_hash = F.xxhash64(*keys)
+    if not hot:
+        return _rank_one(df, keys, order).select(*df.columns)
+    of_hot_key = is_hot(keys, hot)
     best = (
-        df.withColumn("_key", key_hash)
-        .join(F.broadcast(hot), "_key")
+        df.filter(of_hot_key)
         .groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys])
         .agg(F.max(order).alias("_best"), F.max(F.col(order).isNull()).alias("_best_is_null"))
     )
     same_key = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
-    is_hot = F.col("_best_is_null").isNotNull()
     is_best = F.when(F.col("_best_is_null"), F.col(order).isNull()).otherwise(
         F.col(order) == F.col("_best")
     )
     spread = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
     candidates = (
         df.join(F.broadcast(best), same_key, "left")
-        .filter(~is_hot | is_best)
-        .withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
+        .filter(F.col("_best_is_null").isNull() | is_best)
+        .withColumn("_salt", F.when(of_hot_key, spread).otherwise(F.lit(0)))
     )
-    best_first = Window.partitionBy(*keys, "_salt").orderBy(F.desc_nulls_first(order))
-    ranked = candidates.withColumn("_rank", F.rank().over(best_first))
-    return ranked.filter("_rank = 1").select(*df.columns)
+    return _rank_one(candidates, [*keys, "_salt"], order).select(*df.columns)
+
+
+def _rank_one(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    best_first = Window.partitionBy(*keys).orderBy(F.desc_nulls_first(order))
+    return df.withColumn("_rank", F.rank().over(best_first)).filter("_rank = 1")
 
 
 def latest_one(

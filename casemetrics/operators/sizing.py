@@ -9,14 +9,14 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BROADCAST_ROWS = 2_000_000
-MAX_BROADCAST_BYTES = 128 * 1024 * 1024
+MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEY_ROWS = 1_000_000
 HOT_KEYS_TRACKED = 1_000
 SALTS = 64
@@ -54,45 +54,44 @@ def _size_row(df: DataFrame, name: str) -> DataFrame:
 
 
 def which_fit(
-    frames: Mapping[str, DataFrame],
-    max_rows: int = MAX_BROADCAST_ROWS,
-    max_bytes: int = MAX_BROADCAST_BYTES,
+    frames: Mapping[str, DataFrame], max_rows: int | None = None, max_bytes: int | None = None
 ) -> dict[str, bool]:
     """Count rows and value bytes of several frames in one job; two numbers per frame come back."""
+    max_rows = MAX_BROADCAST_ROWS if max_rows is None else max_rows
+    max_bytes = MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
     sizes = reduce(DataFrame.unionAll, [_size_row(df, name) for name, df in frames.items()])
     return {row["name"]: row["n"] <= max_rows and row["b"] <= max_bytes for row in sizes.collect()}
 
 
 def fits_broadcast(
-    df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
+    df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None
 ) -> bool:
     return which_fit({"side": df}, max_rows, max_bytes)["side"]
 
 
 def hot_key_hashes(
     df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_KEY_ROWS, keep_null: bool = False
-) -> DataFrame:
+) -> list[int]:
     """Hashes of the keys that hold at least ``hot_rows`` rows, by a frequent-items sketch.
 
-    The sketch is one small buffer per task, so no key list is shuffled, and the result never has
-    more than ``HOT_KEYS_TRACKED`` rows. It only decides where rows travel: a key it misses, or a
-    hash two keys share, changes no result.
+    The sketch is one small buffer per task, so no key list is shuffled, and at most
+    ``HOT_KEYS_TRACKED`` hashes come back. It only decides where rows travel: a key it misses, or a
+    hash two keys share, changes no result. Looking first keeps the plan plain where nothing is hot.
     """
     sketch = f"approx_top_k(_key, {HOT_KEYS_TRACKED}, {HOT_KEYS_TRACKED * 10})"
     rows = df if keep_null else df.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))
-    return (
-        rows.select(F.xxhash64(*keys).alias("_key"))
-        .agg(F.expr(sketch).alias("_top"))
-        .select(F.explode("_top").alias("_hot"))
-        .filter(F.col("_hot.count") >= hot_rows)
-        .select(F.col("_hot.item").alias("_key"))
-    )
+    top = rows.select(F.xxhash64(*keys).alias("_key")).agg(F.expr(sketch)).first()[0]
+    return sorted(entry["item"] for entry in top or [] if entry["count"] >= hot_rows)
+
+
+def is_hot(keys: Sequence[str], hot: Sequence[int]) -> Column:
+    return F.xxhash64(*keys).isin(list(hot)) if hot else F.lit(False)
 
 
 def with_salt(
     df: DataFrame,
     keys: Sequence[str],
-    hot: DataFrame,
+    hot: Sequence[int],
     spread_by: Sequence[str],
     salts: int = SALTS,
 ) -> DataFrame:
@@ -101,14 +100,8 @@ def with_salt(
     The salt follows from the row alone, so a rerun task gives every row its place again.
     """
     spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    marked = hot.select("_key", F.lit(True).alias("_is_hot"))
-    return (
-        df.withColumn("_key", F.xxhash64(*keys))
-        .join(F.broadcast(marked), "_key", "left")
-        .withColumn("_salt", F.when(any_null | F.col("_is_hot"), spread).otherwise(F.lit(0)))
-        .drop("_key", "_is_hot")
-    )
+    any_null = reduce(or_, [F.col(k).isNull() for k in keys])
+    return df.withColumn("_salt", F.when(any_null | is_hot(keys, hot), spread).otherwise(0))
 
 
 def salted_left_join(
@@ -118,17 +111,17 @@ def salted_left_join(
     spread_by: Sequence[str],
     hot_rows: int = HOT_KEY_ROWS,
     salts: int = SALTS,
+    hot_source: DataFrame | None = None,
 ) -> DataFrame:
-    """Left join by shuffle; lookup rows of hot keys are repeated once per salt, no others."""
-    hot = hot_key_hashes(fact, keys, hot_rows)
-    marked = hot.select("_key", F.lit(True).alias("_is_hot"))
+    """Left join by shuffle; lookup rows of hot keys are repeated once per salt, no others.
+
+    ``hot_source`` holds the same key columns closer to a stored table, so that looking for hot
+    keys does not run the joins behind ``fact``.
+    """
+    hot = hot_key_hashes(fact if hot_source is None else hot_source, keys, hot_rows)
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    repeated = (
-        lookup.withColumn("_key", F.xxhash64(*keys))
-        .join(F.broadcast(marked), "_key", "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_is_hot"), every_salt).otherwise(F.array(F.lit(0)))))
-        .drop("_key", "_is_hot")
-    )
+    salts_of_key = F.when(is_hot(keys, hot), every_salt).otherwise(F.array(F.lit(0)))
+    repeated = lookup.withColumn("_salt", F.explode(salts_of_key))
     salted = with_salt(fact, keys, hot, spread_by, salts)
     return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
 
@@ -154,19 +147,22 @@ def lookup_join(
     fits: bool | None = None,
     how: str = "left",
     spread_by: Sequence[str] | None = None,
+    hot_source: DataFrame | None = None,
 ) -> DataFrame:
     """Join a lookup on equal key names: broadcast when its counted size allows, else salted.
 
     ``fits`` passes on a check already made, of this side or of a table it is a part of.
     ``spread_by`` names the columns that tell rows of one hot key apart; all columns by default.
+    ``hot_source``: see ``salted_left_join``.
     """
     keys = list(keys)
     if fits_broadcast(lookup) if fits is None else fits:
         return fact.join(F.broadcast(lookup), keys, how)
     spread_by = list(spread_by or fact.columns)
     if how == "left":
-        return salted_left_join(fact, lookup, keys, spread_by)
+        return salted_left_join(fact, lookup, keys, spread_by, hot_source=hot_source)
     if how == "left_semi":
         lookup = lookup.select(*keys).distinct()
-    found = salted_left_join(fact, lookup.withColumn("_found", F.lit(True)), keys, spread_by)
+    marked = lookup.withColumn("_found", F.lit(True))
+    found = salted_left_join(fact, marked, keys, spread_by, hot_source=hot_source)
     return found.filter("_found").drop("_found")

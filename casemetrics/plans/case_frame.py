@@ -109,8 +109,13 @@ def in_scope(tickets: DataFrame, tables: CaseTables, options: Options) -> DataFr
         F.col("country").alias("cti_country"),
         F.col("global_process").alias("cti_process"),
     )
-    cases = lookup_join(tickets, groups, ["assigned_to_group"], tables.fits["groups"], "inner")
-    cases = lookup_join(cases, cti, ["category", "type"], tables.fits["cti_process"])
+    every = tables.tickets
+    cases = lookup_join(
+        tickets, groups, ["assigned_to_group"], tables.fits["groups"], "inner", hot_source=every
+    )
+    cases = lookup_join(
+        cases, cti, ["category", "type"], tables.fits["cti_process"], hot_source=every
+    )
     process = F.lower("grp_process")
     return cases.filter(
         process.isin(scope) | ((process == shared) & F.lower("cti_process").isin(scope))
@@ -121,7 +126,8 @@ def with_cti_slas(cases: DataFrame, tables: CaseTables) -> DataFrame:
     """SLA target of category, type and item, as spelled."""
     keys = ["category", "type", "item"]
     targets = tables.cti_slas.select(*keys, F.col("sla_target").alias("cti_sla_target"))
-    return lookup_join(cases, targets, keys, tables.fits["cti_slas"])
+    fits = tables.fits["cti_slas"]
+    return lookup_join(cases, targets, keys, fits, hot_source=tables.tickets)
 
 
 def with_default_hubs(cases: DataFrame, tables: CaseTables) -> DataFrame:
@@ -134,8 +140,10 @@ def with_default_hubs(cases: DataFrame, tables: CaseTables) -> DataFrame:
         F.col("def_hub_group").alias("hub_group"),
         F.col("sla_target").alias("hub_sla_target"),
     )
-    cases = cases.withColumns({key: F.lower(name) for key, name in keys.items()})
-    return lookup_join(cases, hubs, list(keys), tables.fits["default_hubs"]).drop(*keys)
+    lowered = {key: F.lower(name) for key, name in keys.items()}
+    fits, every = tables.fits["default_hubs"], tables.tickets.withColumns(lowered)
+    cases = cases.withColumns(lowered)
+    return lookup_join(cases, hubs, list(keys), fits, hot_source=every).drop(*keys)
 
 
 def with_transactions(cases: DataFrame, tables: CaseTables) -> DataFrame:
@@ -146,11 +154,10 @@ def with_transactions(cases: DataFrame, tables: CaseTables) -> DataFrame:
         *[F.lower(name).alias(key) for key, name in keys.items()],
         F.col("transaction_type").alias("mapped_transaction"),
     )
-    cases = cases.withColumns({key: F.lower(name) for key, name in keys.items()})
-    joined = lookup_join(
-        cases, transactions, ["assigned_to_group", *keys], tables.fits["transactions"]
-    )
-    return joined.drop(*keys)
+    lowered = {key: F.lower(name) for key, name in keys.items()}
+    fits, every = tables.fits["transactions"], tables.tickets.withColumns(lowered)
+    cases, all_keys = cases.withColumns(lowered), ["assigned_to_group", *keys]
+    return lookup_join(cases, transactions, all_keys, fits, hot_source=every).drop(*keys)
 
 
 def with_listed_cause(
@@ -162,7 +169,9 @@ def with_listed_cause(
         names.append(F.col("root_cause_group").alias(group))
     listed = tables.root_causes.select(F.lower("root_cause").alias("_listed"), *names)
     cases = cases.withColumn("_listed", F.lower(column))
-    return lookup_join(cases, listed, ["_listed"], tables.fits["root_causes"]).drop("_listed")
+    every = tables.tickets.withColumn("_listed", F.lower(column))
+    fits = tables.fits["root_causes"]
+    return lookup_join(cases, listed, ["_listed"], fits, hot_source=every).drop("_listed")
 
 
 def with_settled_causes(
@@ -200,17 +209,25 @@ def people_profiles(headcount: DataFrame, people: People, options: Options) -> D
 
 
 def with_people(
-    cases: DataFrame, profiles: DataFrame, people: People, options: Options, fits: bool
+    cases: DataFrame,
+    tickets: DataFrame,
+    profiles: DataFrame,
+    people: People,
+    options: Options,
+    fits: bool,
 ) -> DataFrame:
     """Requester, assignee, resolver and, where a rule asks, submitter."""
     staff = people.is_in(F.col("level2"), "hr_head")
+
+    def join(login: str, prefix: str, columns: list[str], where: Column | None) -> DataFrame:
+        return join_person(cases, profiles, login, prefix, columns, where, fits, tickets)
+
     requester = ["country", "lob1", "lob2", "level5"]
-    cases = join_person(cases, profiles, "requester_login", "req", requester, None, fits)
+    cases = join("requester_login", "req", requester, None)
     cases = sla.with_managed(cases, people)
     assignee = ["country", "level5", "level6", "supervisor"]
-    cases = join_person(cases, profiles, "assigned_to_individual", "asg", assignee, staff, fits)
-    resolver = ["country", "level6"]
-    cases = join_person(cases, profiles, "resolved_by", "rsv", resolver, staff, fits)
+    cases = join("assigned_to_individual", "asg", assignee, staff)
+    cases = join("resolved_by", "rsv", ["country", "level6"], staff)
     if "hub_default" in cases.columns:
         cases = cases.withColumns(
             {
@@ -220,7 +237,7 @@ def with_people(
         ).drop("hub_default", "hub_group")
     cases = cases.drop("asg_country", "asg_level5", "asg_level6", "rsv_country", "rsv_level6")
     if options.covers(V.ATTENDANCE):
-        cases = join_person(cases, profiles, "submitted_by", "sub", ["level7"], staff, fits)
+        cases = join("submitted_by", "sub", ["level7"], staff)
     return cases
 
 
@@ -239,7 +256,9 @@ def concerned_people(
         & (F.lower(login) != "none")
     ).select(F.col("ticket_case_id").alias("case_id"), "concerning_login")
     columns = ["country", "lob1", "lob2"]
-    known = join_person(bridge, profiles, "concerning_login", "con", columns, None, fits)
+    known = join_person(
+        bridge, profiles, "concerning_login", "con", columns, None, fits, concerned
+    )
     values = F.struct("con_country", "con_lob1", "con_lob2")
     return known.groupBy("case_id").agg(F.collect_set(values).alias("_concerned"))
 
@@ -266,9 +285,13 @@ def with_monthly_percentile(cases: DataFrame, tables: CaseTables, options: Optio
     timed = stored(mapped_resolved_cases(tables, options))
     months = stored(monthly_percentiles(timed, options))
     mapped = tables.transactions.select("grouping", F.lit(True).alias("_mapped")).distinct()
-    cases = cases.withColumns({"grouping": grouping_key(), "resolved_month": month_start("resolved_date")})
-    cases = lookup_join(cases, mapped, ["grouping"], tables.fits["transactions"])
-    cases = lookup_join(cases, months, ["assigned_to_group", "resolved_month"])
+    keys = {"grouping": grouping_key(), "resolved_month": month_start("resolved_date")}
+    cases, every = cases.withColumns(keys), tables.tickets.withColumns(keys)
+    cases = lookup_join(
+        cases, mapped, ["grouping"], tables.fits["transactions"], hot_source=every
+    )
+    period = ["assigned_to_group", "resolved_month"]
+    cases = lookup_join(cases, months, period, hot_source=every)
     took_part = F.col("_mapped") & (F.col("resolved_date") >= options.timestamp("percentiles_from"))
     return cases.withColumn("tp90onttr", F.when(took_part, F.col("tp90onttr"))).drop(
         "grouping", "resolved_month", "_mapped"
@@ -341,10 +364,10 @@ def case_frame(
         profiles = people_profiles(tables.headcount, people, options)
         few_people = fits_broadcast(profiles)
     if "people" in parts:
-        cases = with_people(cases, profiles, people, options, few_people)
+        cases = with_people(cases, tables.tickets, profiles, people, options, few_people)
     if "recent" in parts:
         recent = stored(recent_staff(tables.tickets, options))
-        cases = lookup_join(cases, recent, ["submitted_by"])
+        cases = lookup_join(cases, recent, ["submitted_by"], hot_source=tables.tickets)
         cases = sla.with_exemptions(cases, people, options)
     if "percentile" in parts and resolved:
         cases = with_monthly_percentile(cases, tables, options)

@@ -43,9 +43,13 @@ def mapped_resolved_cases(tables: CaseTables, options: Options) -> DataFrame:
     calendars = reported_groups(tables.groups).select(
         F.col("resolver_group").alias("assigned_to_group"), "location", "days_week"
     )
-    cases = lookup_join(cases, mapped, ["grouping"], tables.fits["transactions"], "left_semi")
+    every = tables.tickets.withColumn("grouping", grouping_key())
+    fits = tables.fits
     cases = lookup_join(
-        cases, calendars.distinct(), ["assigned_to_group"], tables.fits["groups"]
+        cases, mapped, ["grouping"], fits["transactions"], "left_semi", hot_source=every
+    )
+    cases = lookup_join(
+        cases, calendars.distinct(), ["assigned_to_group"], fits["groups"], hot_source=every
     )
     end = F.col("resolved_date")
     cases = with_time_to_resolve(cases, "ttr_us", end, source_zone=options.source_zone)

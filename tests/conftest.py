@@ -14,6 +14,7 @@ def spark():
         .appName("casemetrics-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

@@ -3,12 +3,17 @@
 import pytest
 
 import __spark_entry__
+from casemetrics.config.options import Options
+from casemetrics.config.people import People
+from casemetrics.operators import sizing
+from casemetrics.plans.ttr_percentiles import ttr_percentiles
+from casemetrics.plans.views import open_case_metrics, resolved_case_metrics
 from casemetrics.sources import publish_table, publish_view, read_tables
 from casemetrics.sources.schemas import SCHEMAS
 from casemetrics.sources.tables import conform
 from workload import roles
 from workload.check import compare, database
-from workload.registry import REGISTRY
+from workload.registry import REGISTRY, Entry, tidy
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -43,10 +48,56 @@ def test_sources_and_sinks(spark, tmp_path):
 
 
 def test_conform_reads_event_types_from_text(spark):
-    columns = ", ".join(
-        f"cast(null as {f.dataType.simpleString()}) as {f.name}" for f in SCHEMAS["audit"].fields if f.name != "type"
-    )
+    others = [f for f in SCHEMAS["audit"].fields if f.name != "type"]
+    columns = ", ".join(f"cast(null as {f.dataType.simpleString()}) as {f.name}" for f in others)
     df = spark.sql(f"select {columns}, explode(array('261', 'x')) as type")
     assert [r.type for r in conform(df, "audit").collect()] == [261, None]
     with pytest.raises(ValueError, match="case_id"):
         conform(df.drop("case_id"), "audit")
+
+
+HOT = Options(dates=roles.DATES, as_of=roles.OPTIONS.as_of, hot_rows=20)
+
+
+@pytest.mark.parametrize(
+    "name,build",
+    [
+        ("k2_resolved_case_metrics", lambda t: resolved_case_metrics(t, roles.PEOPLE, HOT)),
+        ("k3_ttr_percentiles", lambda t: ttr_percentiles(t, HOT)),
+    ],
+)
+def test_hot_paths_equal_sql(spark, connection, monkeypatch, name, build):
+    """The same results when nearly every group and key counts as hot."""
+    entry = REGISTRY[name]
+
+    def run(session, folder):
+        return tidy(build(roles.case_tables(session, folder)))
+
+    monkeypatch.setitem(REGISTRY, name, Entry(run, entry.sql))
+    assert compare(spark, connection, FOLDER, name) is None
+
+
+def test_views_without_any_broadcast(spark, connection, monkeypatch):
+    """The same result when no lookup passes the size check."""
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", -1)
+    name = "k1_open_case_metrics"
+    entry = REGISTRY[name]
+
+    def run(session, folder):
+        tables = roles.case_tables(session, folder)
+        assert not any(tables.fits.values())
+        return tidy(open_case_metrics(tables, roles.PEOPLE, roles.OPTIONS))
+
+    monkeypatch.setitem(REGISTRY, name, Entry(run, entry.sql))
+    assert compare(spark, connection, FOLDER, name) is None
+
+
+def test_people_come_from_a_table(spark):
+    df = spark.createDataFrame(
+        [("hr_head", "h", None), ("corporate_leader", "c", "LINE")], "role string, login string, label string"
+    )
+    assert People.from_table(df).managers("hr_head") == ["H"]
+    with pytest.raises(ValueError, match="unknown"):
+        People.of([("nobody", "x", None)])
+    with pytest.raises(ValueError, match="label"):
+        People.of([("corporate_leader", "x", None)])

@@ -32,7 +32,8 @@ def test_lookup_join_beyond_the_limit(sides, how):
     found = S.lookup_join(fact, lookup, ["k"], fits=False, how=how)
     plain = fact.join(lookup, "k", how)
     assert sorted(map(str, found.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
-    assert "rightHint=(strategy=broadcast)" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+    top_join = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+    assert "rightHint=(strategy=broadcast)" not in top_join
 
 
 def test_hot_rows_spread_over_salts(sides):

@@ -109,10 +109,24 @@ MAPPINGS = {
         {"root_cause": "Bad form", "root_cause_group": "HRS Defect"},
     ],
     "default_hubs": [
-        {"category": "CAT", "type": "typ", "item": "hub", "resolver_group": "SHARED", "default_hub": "H1", "def_hub_group": "HG"}
+        {
+            "category": "CAT",
+            "type": "typ",
+            "item": "hub",
+            "resolver_group": "SHARED",
+            "default_hub": "H1",
+            "def_hub_group": "HG",
+        }
     ],
     "transactions": [
-        {"assigned_to_group": "Desk", "category": "cat", "type": "TYP", "item": "itm", "grouping": "DeskCatTypItm", "transaction_type": "Claims"}
+        {
+            "assigned_to_group": "Desk",
+            "category": "cat",
+            "type": "TYP",
+            "item": "itm",
+            "grouping": "DeskCatTypItm",
+            "transaction_type": "Claims",
+        }
     ],
 }
 

@@ -246,7 +246,8 @@ def left_join_as_inner(tables):
         (F.col("type") == V.ROOT_CAUSE_MARK)
         & (F.col("create_day") >= OPTIONS.date("concerned_from"))
     )
-    return marks.join(resolved, "case_id").select("case_id", "to_string", "modified_date")
+    joined = lookup_join(marks, resolved, ["case_id"], how="inner", hot_source=tables.audit)
+    return joined.select("case_id", "to_string", "modified_date")
 
 
 @query(

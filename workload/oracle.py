@@ -207,7 +207,8 @@ LEFT JOIN cti_slas AS cts ON (t.category, t.type, t.item) = (cts.category, cts.t
 LEFT JOIN default_hubs AS dh ON lower(concat_ws('~', t.category, t.type, t.item, t.assigned_to_group))
     = lower(concat_ws('~', dh.category, dh.type, dh.item, dh.resolver_group))
 LEFT JOIN transactions AS tt ON t.assigned_to_group = tt.assigned_to_group
-    AND lower(concat_ws('~', t.category, t.type, t.item)) = lower(concat_ws('~', tt.category, tt.type, tt.item))
+    AND lower(concat_ws('~', t.category, t.type, t.item))
+        = lower(concat_ws('~', tt.category, tt.type, tt.item))
 LEFT JOIN root_causes AS cause ON lower(t.root_cause) = lower(cause.root_cause)
 LEFT JOIN root_causes AS again ON lower(t.root_cause) = lower(again.root_cause)
 LEFT JOIN root_causes AS reason ON lower(t.resolution) = lower(reason.root_cause)

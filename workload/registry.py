@@ -17,6 +17,7 @@ from workload.roles import ROLE_SQL, RoleTables
 class Entry:
     run: Callable[[SparkSession, str], DataFrame]
     sql: str
+    build: Callable[[CaseTables | RoleTables], DataFrame] | None = None
 
 
 REGISTRY: dict[str, Entry] = {}
@@ -46,7 +47,7 @@ def query(name: str, sql: str, named: Mapping[str, str] | None = None, tables=Ro
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return tidy(build(tables(spark, sf_dir)))
 
-        REGISTRY[name] = Entry(run, with_roles(sql, named))
+        REGISTRY[name] = Entry(run, with_roles(sql, named), build)
         return build
 
     return register

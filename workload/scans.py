@@ -14,6 +14,7 @@ from casemetrics.functions.clock import END_STATES
 from casemetrics.functions.text import contains_any, not_in_or_null
 from casemetrics.operators.employees import employee_view
 from casemetrics.operators.rollup import correspondence_counts
+from casemetrics.operators.sizing import lookup_join
 from casemetrics.plans.case_frame import in_scope, open_tickets, resolved_tickets
 from casemetrics.plans.ttr_percentiles import load_time, reported_groups
 from casemetrics.sources import publish_view
@@ -50,11 +51,11 @@ def table_scans(tables):
     },
 )
 def named_intermediates(tables):
-    reported = F.broadcast(reported_groups(tables.groups)) if tables.fits["groups"] else reported_groups(tables.groups)
+    reported = reported_groups(tables.groups).withColumnRenamed("resolver_group", "assigned_to_group")
     opened = open_tickets(tables.tickets, OPTIONS)
-    joined = opened.join(reported, opened.assigned_to_group == reported.resolver_group)
+    joined = lookup_join(opened, reported, ["assigned_to_group"], tables.fits["groups"], "inner")
     return joined.groupBy("super_region").agg(
-        F.count("*").alias("tickets"), F.countDistinct("resolver_group").alias("groups")
+        F.count("*").alias("tickets"), F.countDistinct("assigned_to_group").alias("groups")
     )
 
 
