@@ -4,7 +4,7 @@ Texts are lower-cased words. The CGK embedding walks through a text and, step by
 the word it stands on and moves on or stays by a random bit of step and word. Two texts that differ
 by few edits walk alike again soon after each edit, so edit distance becomes Hamming distance. From
 every word of a document walks an item-sized window; the words written at a few sampled steps are its
-keys in several hash tables. An item enters with walks from its start and from two later words, and
+keys in several hash tables. An item enters with walks from its start and from some later words, and
 only with steps that stay inside it. Where keys meet, the words of item and window are compared by
 exact edit distance with free window ends.
 
@@ -31,28 +31,35 @@ from casemetrics.llm.text import mix, words
 
 MAX_EDITS = 0.2
 WALKS = 2
-TABLES = 3
+TABLES = 2
 SAMPLES = 4
-STEPS = 32
+STEPS = 16
+BEGINS = 5
 ITEMS_PER_BLOCK = 2048
 BLOCK_BYTES = 1 << 20
 _LEAKS = "array<struct<item_id:long,start:int,edits:int>>"
 
 
-def _bits(walk: int, step: int) -> np.uint64:
-    return np.uint64(int(mix(np.array([walk * 4096 + step + 1], np.uint64))[0]) | 1)
+def _bits(walk: int, step: int) -> np.uint32:
+    return np.uint32(int(mix(np.array([walk * 4096 + step + 1], np.uint64))[0] >> np.uint64(32)) | 1)
 
 
 def _tables(size: int) -> list[tuple[int, int, np.ndarray]]:
-    """(walk, table, sampled steps) for windows that walk ``size`` steps."""
+    """(walk, table, sampled steps) for windows that walk ``size`` steps, one step of each stretch."""
     random = np.random.default_rng(size)
     n = min(SAMPLES, size)
-    return [(w, t, np.sort(random.choice(size, n, replace=False))) for w in range(WALKS) for t in range(TABLES)]
+    edges = np.linspace(0, size, n + 1).astype(int)
+    return [
+        (w, t, np.array([random.integers(a, b) for a, b in zip(edges, edges[1:], strict=False)]))
+        for w in range(WALKS)
+        for t in range(TABLES)
+    ]
 
 
 def walk_keys(hashes: np.ndarray, starts: np.ndarray, sizes: list[int]) -> dict[tuple[int, int, int], np.ndarray]:
     """Keys of the walks from each start, by (steps, walk, table); past the end stands no word."""
     padded = np.append(hashes, np.zeros(STEPS + 1, np.uint64))
+    short = (padded >> np.uint64(32)).astype(np.uint32)
     keys = {(s, w, t): np.full(len(starts), np.uint64(s * 64 + w * 8 + t)) for s in sizes for w, t, _ in _tables(s)}
     wanted: dict[tuple[int, int], list] = {}
     for s in sizes:
@@ -60,15 +67,15 @@ def walk_keys(hashes: np.ndarray, starts: np.ndarray, sizes: list[int]) -> dict[
             for step in steps:
                 wanted.setdefault((w, int(step)), []).append((s, w, t))
     for walk in range(WALKS):
-        at = starts.astype(np.int64)
+        at = starts.astype(np.int32)
         last = max((step for w, step in wanted if w == walk), default=-1)
         for step in range(last + 1):
             if (walk, step) in wanted:
                 word = padded[at]
                 for key in wanted[walk, step]:
                     keys[key] = (keys[key] ^ word) * np.uint64(0x9E3779B97F4A7C15)
-            at += ((padded * _bits(walk, step)) >> np.uint64(63)).astype(np.int64)[at]
-    return {k: mix(v) for k, v in keys.items()}
+            at += ((short * _bits(walk, step)) >> np.uint32(31)).view(np.int32)[at]
+    return keys
 
 
 class Items:
@@ -83,9 +90,9 @@ class Items:
         self.words = [hashes[a:b] for a, b in zip(first, first[1:])]
         found: dict[tuple[int, int, int], list] = {}
         for number, own in enumerate(self.words):
-            for begin in sorted({0, len(own) // 3, 2 * len(own) // 3}):
+            for begin in sorted({len(own) * i // BEGINS for i in range(BEGINS)}):
                 left = len(own) - begin
-                if left < 1 or (begin and left < 8):
+                if left < 1 or (begin and left < STEPS):
                     continue
                 size = min(STEPS, 1 << (left.bit_length() - 1))
                 for key, value in walk_keys(own, np.array([begin]), [size]).items():
