@@ -5,9 +5,11 @@ single shingle, one without words is empty and linked with nothing. Two document
 the exact similarity of their sets reaches the threshold, and grouped with all they reach.
 
 Texts with equal sets are one class, found by a hash of the whole set, so copies meet once. Classes
-that share a band of their signatures are compared with leaders of that bucket, never all with all:
-first with its smallest member, then, where a bucket still holds members of several components, with
-more and more of the others, until every pair of different components is decided. No bucket, link or
+that share a band of their signatures are compared with the smallest member of that bucket, never
+all with all. Where a bucket then still holds several components, its members are dealt anew by the
+rare shingles of which two linked sets must share one: with shingles ordered from rare to frequent,
+sets of n that share 85 % agree in one of their first n - 0.85 n + 1. There they are compared with
+more and more leaders, until every pair of different components is decided. No bucket, link or
 component passes through one task or the driver.
 
 A null text is empty. Rows that repeat a doc_id stay separate documents; a row without one comes
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemetrics.llm.common import blocks, keyed, ship, stored, utf8
@@ -58,7 +60,7 @@ def super_minhash(elements: np.ndarray, owner: np.ndarray, n_sets: int, size: in
     for level in range(size):
         if not len(elements):
             break
-        random = mix(elements + np.uint64(0x9E3779B97F4A7C15) * np.uint64(level + 1))
+        random = mix(elements + np.uint64(0x9E3779B97F4A7C15 * (level + 1) % 2**64))
         fraction = (random >> np.uint64(24)).astype(np.float64) * 2.0**-40
         pick = level + ((random & np.uint64(0xFFFFFF)) * np.uint64(size - level) >> np.uint64(24)).astype(np.int32)
         component = value_at(pick)
@@ -152,11 +154,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
     return both.filter(F.lit(100) * F.col("_shared") >= F.lit(min_percent) * union).select("a", "b")
 
 
-def _pairs(live: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Each member with each leader of its bucket that lies in another component."""
-    named = leaders.select("band", "hash", F.col("_key").alias("_leader"), F.col("component").alias("_of"))
-    met = live.join(named, ["band", "hash"]).filter("component <> _of")
-    return met.select(F.greatest("_key", "_leader").alias("a"), F.least("_key", "_leader").alias("b")).distinct()
+def _pairs(live: DataFrame, leaders: DataFrame, min_percent: int) -> DataFrame:
+    """Each member with each leader of its group that lies in another component and is near in size."""
+    named = leaders.select("group", *[F.col(c).alias(f"_{c}") for c in ("key", "component", "size")])
+    near = F.least("size", "_size") * 100 >= F.greatest("size", "_size") * min_percent
+    met = live.join(named, "group").filter((F.col("component") != F.col("_component")) & near)
+    return met.select(F.greatest("key", "_key").alias("a"), F.least("key", "_key").alias("b")).distinct()
+
+
+def _leaders(live: DataFrame, parts: int) -> DataFrame:
+    """The smallest member of each of the parts that a group is dealt to by hash."""
+    part = F.pmod(F.xxhash64("key", F.lit(parts)), F.lit(parts)).alias("part")
+    smallest = live.groupBy("group", part).agg(F.min(F.struct("key", "component", "size")).alias("l"))
+    return smallest.select("group", "l.*")
+
+
+def _with_components(members: DataFrame, grouped: DataFrame) -> DataFrame:
+    named = members.drop("component").join(grouped.withColumnRenamed("node", "key"), "key", "left")
+    return named.withColumn("component", F.coalesce("component", "key"))
+
+
+def _undecided(members: DataFrame) -> DataFrame:
+    """Members of groups that hold several components."""
+    ends = members.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    return members.join(ends.filter("x <> y").select("group"), "group")
+
+
+def _rare_groups(members: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
+    """Members by those of their rarest shingles of which linked sets share at least one."""
+    held = sets.join(members.select("key").distinct(), F.col("_key") == F.col("key")).select("key", F.explode("shingles").alias("group"))
+    often = held.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("key"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "group")) + alone
+    sizes = members.select("key", "size", "component").distinct()
+    needed = F.floor((F.col("size") * min_percent + 99) / 100)
+    ranked = held.join(often, "group").join(sizes, "key").withColumn("_rank", rank)
+    return ranked.filter(F.col("_rank") <= F.col("size") - needed + 1).select("group", "key", "size", "component")
 
 
 def near_duplicates(
@@ -176,31 +209,30 @@ def near_duplicates(
     signed = stored(signatures(docs, bands, band_rows, shingle_words))
     classes = signed.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("_key").alias("class"))
     one_each = signed.join(classes, F.col("_key") == F.col("class"), "left_semi")
-    banded = one_each.select("_key", F.posexplode("bands").alias("band", "hash"))
-    several = banded.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    live = stored(banded.join(several, ["band", "hash"]).withColumn("component", F.col("_key")))
-    involved = live.select("_key").distinct()
+    banded = one_each.select(
+        F.col("_key").alias("key"), F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "hash")
+    ).select("key", "size", F.xxhash64("band", "hash").alias("group"), F.col("key").alias("component"))
+    live = stored(_undecided(banded))
+    involved = live.select(F.col("key").alias("_key")).distinct()
     if fits_broadcast(involved):
         involved = F.broadcast(involved)
     sets = stored(shingle_sets(docs.join(involved, "_key", "left_semi"), shingle_words))
-    links, decided, parts, round_ = None, None, 1, 0
-    while True:
-        leaders = live.groupBy("band", "hash", F.pmod(F.xxhash64("_key", F.lit(round_)), F.lit(parts)).alias("part"))
-        leaders = leaders.agg(F.min(F.struct("_key", "component")).alias("l")).select("band", "hash", "l.*")
-        pairs = _pairs(live, leaders)
-        pairs = stored(pairs if decided is None else pairs.join(decided, ["a", "b"], "left_anti"))
+    decided = stored(_pairs(live, _leaders(live, 1), min_percent))
+    links = stored(_verified(decided, sets, min_percent))
+    grouped = components(links)
+    live = stored(_undecided(_with_components(live, grouped)))
+    if not live.isEmpty():
+        live, parts = stored(_undecided(_rare_groups(live, sets, min_percent))), 1
+    while not live.isEmpty():
+        leaders = _leaders(live, parts)
+        pairs = stored(_pairs(live, leaders, min_percent).join(decided, ["a", "b"], "left_anti"))
         found = stored(_verified(pairs, sets, min_percent))
-        links = found if links is None else links.unionByName(found)
-        decided = pairs if decided is None else decided.unionByName(pairs)
-        grouped = stored(components(links))
-        rest = live.drop("component").join(leaders.select("band", "hash", "_key"), ["band", "hash", "_key"], "left_anti")
-        named = rest.join(grouped.withColumnRenamed("node", "_key"), "_key", "left")
-        rest = named.withColumn("component", F.coalesce("component", "_key"))
-        mixed = rest.groupBy("band", "hash").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        live = stored(rest.join(mixed.filter("x <> y").select("band", "hash"), ["band", "hash"]))
-        if live.isEmpty():
-            break
-        parts, round_ = parts * MORE_LEADERS, round_ + 1
+        decided = decided.unionByName(pairs)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            grouped = components(links)
+        rest = live.join(leaders.select("group", "key"), ["group", "key"], "left_anti")
+        live, parts = stored(_undecided(_with_components(rest, grouped))), parts * MORE_LEADERS
     return _result(signed, classes, grouped)
 
 
