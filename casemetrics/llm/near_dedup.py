@@ -5,8 +5,9 @@ single shingle, one without words is empty and linked with nothing. Two document
 the exact similarity of their sets reaches the threshold, and grouped with all they reach.
 
 Texts with equal sets are one class, found by a hash of the whole set, so copies meet once. Classes
-that share a band of their signatures are compared with the smallest member of that bucket, never
-all with all. Where a bucket then still holds several components, its members are dealt anew by the
+that share a band of their signatures are compared with the most central member of that bucket, the
+one that meets most others over all its bands, never all with all: copies of one original are nearer
+to it, or to the copy least changed, than to each other. Where a bucket then still holds several components, its members are dealt anew by the
 rare shingles of which two linked sets must share one: with shingles ordered from rare to frequent,
 sets of n that share 85 % agree in one of their first n - 0.85 n + 1. There they are compared with
 more and more leaders, until every pair of different components is decided. No bucket, link or
@@ -35,7 +36,7 @@ BAND_ROWS = 5
 SHINGLE_WORDS = 5
 MIN_PERCENT = 85
 BLOCK_BYTES = 1 << 20
-MORE_LEADERS = 16
+MORE_LEADERS = 4
 
 
 def super_minhash(elements: np.ndarray, owner: np.ndarray, n_sets: int, size: int) -> np.ndarray:
@@ -163,10 +164,10 @@ def _pairs(live: DataFrame, leaders: DataFrame, min_percent: int) -> DataFrame:
 
 
 def _leaders(live: DataFrame, parts: int) -> DataFrame:
-    """The smallest member of each of the parts that a group is dealt to by hash."""
+    """The most central member of each of the parts that a group is dealt to by hash."""
     part = F.pmod(F.xxhash64("key", F.lit(parts)), F.lit(parts)).alias("part")
-    smallest = live.groupBy("group", part).agg(F.min(F.struct("key", "component", "size")).alias("l"))
-    return smallest.select("group", "l.*")
+    best = F.min(F.struct((-F.col("central")).alias("_far"), "key", "component", "size"))
+    return live.groupBy("group", part).agg(best.alias("l")).select("group", "l.key", "l.component", "l.size")
 
 
 def _with_components(members: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -182,14 +183,17 @@ def _undecided(members: DataFrame) -> DataFrame:
 
 def _rare_groups(members: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
     """Members by those of their rarest shingles of which linked sets share at least one."""
-    held = sets.join(members.select("key").distinct(), F.col("_key") == F.col("key")).select("key", F.explode("shingles").alias("group"))
+    some = members.select(F.col("key").alias("_key")).distinct()
+    held = sets.join(some, "_key").select(F.col("_key").alias("key"), F.explode("shingles").alias("group"))
     often = held.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
     alone = F.col("size") - F.count("*").over(Window.partitionBy("key"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "group")) + alone
-    sizes = members.select("key", "size", "component").distinct()
+    sizes = members.select("key", "size", "component", "central").distinct()
     needed = F.floor((F.col("size") * min_percent + 99) / 100)
     ranked = held.join(often, "group").join(sizes, "key").withColumn("_rank", rank)
-    return ranked.filter(F.col("_rank") <= F.col("size") - needed + 1).select("group", "key", "size", "component")
+    return ranked.filter(F.col("_rank") <= F.col("size") - needed + 1).select(
+        "group", "key", "size", "component", "central"
+    )
 
 
 def near_duplicates(
@@ -212,7 +216,10 @@ def near_duplicates(
     banded = one_each.select(
         F.col("_key").alias("key"), F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "hash")
     ).select("key", "size", F.xxhash64("band", "hash").alias("group"), F.col("key").alias("component"))
-    live = stored(_undecided(banded))
+    several = banded.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
+    live = banded.join(several, "group")
+    central = live.groupBy("key").agg(F.sum("n").alias("central"))
+    live = stored(live.drop("n").join(central, "key"))
     involved = live.select(F.col("key").alias("_key")).distinct()
     if fits_broadcast(involved):
         involved = F.broadcast(involved)
