@@ -22,6 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casemetrics.llm.common import stored
 from casemetrics.operators.sizing import fits_broadcast
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -128,16 +129,18 @@ def _near(text: Column, span: Column, words: int = NEAR_WORDS) -> Column:
 
 
 def disclosing(docs: DataFrame, min_share: float = DISCLOSURE, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(entity, term) pairs where the term gives the entity away; an entity is its hash.
+    """The terms of each text (by ``_row``) that give one of its entities away.
 
-    ``docs`` has ``_text`` and ``_base``. Pairs are counted map-side; the documents of a term are
+    ``docs`` has ``_text``, its hash ``_row`` and ``_base``. What stands near entities is stored once. Pairs are counted map-side; the documents of a term are
     counted only for terms that stand near entities.
     """
     total = docs.count()
     held = docs.filter(F.size("_base") > 0)
     met = held.select(
-        F.transform("_base", lambda s: F.struct(F.xxhash64(s["text"]).alias("entity"), _near(F.col("_text"), s).alias("terms"))).alias("m")
+        "_row",
+        F.transform("_base", lambda s: F.struct(F.xxhash64(s["text"]).alias("entity"), _near(F.col("_text"), s).alias("terms"))).alias("m"),
     )
+    met = stored(met)
     entities = met.select(F.explode(F.array_distinct(F.transform("m", lambda x: x["entity"]))).alias("entity"))
     entities = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = met.select(F.explode(F.array_distinct(F.flatten(F.transform("m", lambda x: F.transform(x["terms"], lambda t: F.struct(x["entity"].alias("entity"), t.alias("term"))))))).alias("p"))
@@ -150,17 +153,15 @@ def disclosing(docs: DataFrame, min_share: float = DISCLOSURE, min_documents: in
     joined = pairs.join(entities, "entity").join(often, "term")
     shared = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     content = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    return joined.filter((content > 0) & (shared >= F.lit(min_share) * content)).select("entity", "term")
+    told = joined.filter((content > 0) & (shared >= F.lit(min_share) * content)).select("entity", "term")
+    mentions = met.select("_row", F.explode(F.array_distinct(F.transform("m", lambda x: x["entity"]))).alias("entity"))
+    return mentions.distinct().join(told, "entity").groupBy("_row").agg(F.collect_set("term").alias("_terms"))
 
 
 def find(docs: DataFrame, min_share: float = DISCLOSURE, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """All rows and columns with ``_text``, ``_base`` and ``_added`` (spans of disclosing terms)."""
     based = with_base(docs).withColumn("_row", F.xxhash64("_text"))
-    told = disclosing(based, min_share, min_documents)
-    mentions = based.filter(F.size("_base") > 0).select(
-        "_row", F.explode(F.array_distinct(F.transform("_base", lambda s: F.xxhash64(s["text"])))).alias("entity")
-    )
-    terms = mentions.distinct().join(told, "entity").groupBy("_row").agg(F.collect_set("term").alias("_terms"))
+    terms = stored(disclosing(based, min_share, min_documents))
     if fits_broadcast(terms.select("_row", F.array_join("_terms", " "))):
         terms = F.broadcast(terms)
     joined = based.join(terms, "_row", "left")
