@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEY_ROWS = 1_000_000
-HOT_KEYS_TRACKED = 1_000
 SALTS = 64
 
 
@@ -72,16 +71,15 @@ def fits_broadcast(
 def hot_key_hashes(
     df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_KEY_ROWS, keep_null: bool = False
 ) -> list[int]:
-    """Hashes of the keys that hold at least ``hot_rows`` rows, by a frequent-items sketch.
+    """Hashes of all keys that hold at least ``hot_rows`` rows, by a count that is combined map-side.
 
-    The sketch is one small buffer per task, so no key list is shuffled, and at most
-    ``HOT_KEYS_TRACKED`` hashes come back. It only decides where rows travel: a key it misses, or a
-    hash two keys share, changes no result. Looking first keeps the plan plain where nothing is hot.
+    There are at most as many as the rows divided by ``hot_rows``. The list only decides where rows
+    travel: a hash two keys share changes no result. Looking first keeps the plan plain where
+    nothing is hot.
     """
-    sketch = f"approx_top_k(_key, {HOT_KEYS_TRACKED}, {HOT_KEYS_TRACKED * 10})"
     rows = df if keep_null else df.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))
-    top = rows.select(F.xxhash64(*keys).alias("_key")).agg(F.expr(sketch)).first()[0]
-    return sorted(entry["item"] for entry in top or [] if entry["count"] >= hot_rows)
+    counts = rows.select(F.xxhash64(*keys).alias("_key")).groupBy("_key").agg(F.count("*").alias("_n"))
+    return sorted(row["_key"] for row in counts.filter(F.col("_n") >= hot_rows).select("_key").collect())
 
 
 def is_hot(keys: Sequence[str], hot: Sequence[int]) -> Column:

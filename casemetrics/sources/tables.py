@@ -44,7 +44,8 @@ def conform(df: DataFrame, role: str) -> DataFrame:
     """Select the role's columns in its types.
 
     The audit event type arrives as text in some extracts and as a number in others; it becomes
-    an int here, once, and text that is no number becomes null.
+    an int here, once, and text that is no number becomes null. Every other column is cast strictly:
+    a value that cannot be read, such as a date, is an error and no silent null.
     """
     present = {field.name.lower(): field for field in df.schema.fields}
     missing = [f.name for f in SCHEMAS[role].fields if f.name not in present]
@@ -54,8 +55,10 @@ def conform(df: DataFrame, role: str) -> DataFrame:
     for field in SCHEMAS[role].fields:
         if present[field.name].dataType == field.dataType:
             columns.append(F.col(field.name))
-        else:
+        elif (role, field.name) == ("audit", "type"):
             columns.append(F.col(field.name).try_cast(field.dataType).alias(field.name))
+        else:
+            columns.append(F.col(field.name).cast(field.dataType).alias(field.name))
     return df.select(*columns)
 
 

@@ -70,3 +70,8 @@ def test_checkpoint_folder_is_the_sessions(spark):
     assert S.stored(spark.range(3)).count() == 3
     if named:
         assert spark.sparkContext.getCheckpointDir() == before
+
+
+def test_every_hot_key_is_found(spark):
+    df = spark.range(3_000 * 20).selectExpr("id % 3000 as k", "id")
+    assert len(S.hot_key_hashes(df, ["k"], 20)) == 3_000
