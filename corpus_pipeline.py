@@ -63,7 +63,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: The learned stages cannot be expressed in SQL; tests compare each stage with a plain version.
+#: The learned stages cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
