@@ -10,7 +10,8 @@ one that meets most others over all its bands, never all with all: copies of one
 to it, or to the copy least changed, than to each other. Where a bucket then still holds several components, its members are dealt anew by the
 rare shingles of which two linked sets must share one: with shingles ordered from rare to frequent,
 sets of n that share 85 % agree in one of their first n - 0.85 n + 1. There they are compared with
-more and more leaders, until every pair of different components is decided. No bucket, link or
+more and more leaders, until every pair of different components is decided; a parity sketch of the
+sets bounds their difference from below and settles most pairs before the sets meet. No bucket, link or
 component passes through one task or the driver.
 
 A null text is empty. Rows that repeat a doc_id stay separate documents; a row without one comes
@@ -37,6 +38,7 @@ SHINGLE_WORDS = 5
 MIN_PERCENT = 85
 BLOCK_BYTES = 1 << 20
 MORE_LEADERS = 4
+PARITY_WORDS = 32
 
 
 def super_minhash(elements: np.ndarray, owner: np.ndarray, n_sets: int, size: int) -> np.ndarray:
@@ -124,7 +126,7 @@ def signatures(docs: DataFrame, bands: int, band_rows: int, shingle_words: int)
 
 
 def shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """Per document the sorted hashes of its shingles."""
+    """Per document the sorted hashes of its shingles and their parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,12 +139,22 @@ def shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
                     [
                         batch.column("_key").slice(first, last - first),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(made.view(np.int64))),
+                        _parity(made, owner, last - first),
                     ],
-                    names=["_key", "shingles"],
+                    names=["_key", "shingles", "parity"],
                 )
 
     ship(docs.sparkSession)
-    return docs.select("_key", "text").mapInArrow(run, "_key long, shingles array<long>")
+    return docs.select("_key", "text").mapInArrow(run, "_key long, shingles array<long>, parity array<long>")
+
+
+def _parity(made: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """Per set, for each of ``64 * PARITY_WORDS`` cells, whether an odd number of elements falls there."""
+    cell = mix(made ^ np.uint64(0x9A217)) % np.uint64(64 * PARITY_WORDS)
+    sketch = np.zeros(n * PARITY_WORDS, np.uint64)
+    np.bitwise_xor.at(sketch, owner * PARITY_WORDS + (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+    ends = np.arange(n + 1, dtype=np.int32) * PARITY_WORDS
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(sketch.view(np.int64)))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
@@ -156,9 +168,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
 
 
 def _pairs(live: DataFrame, leaders: DataFrame, min_percent: int) -> DataFrame:
-    """Each member with each leader of its group that lies in another component and is near in size."""
-    named = leaders.select("group", *[F.col(c).alias(f"_{c}") for c in ("key", "component", "size")])
+    """Each member with each leader of its group that lies in another component and can be near enough.
+
+    Cells whose parities differ are no more than the elements that only one of two sets holds, so a
+    pair with too many of them is not linked, whatever the elements are; no linked pair is lost.
+    The first element that linked sets share, in the order of the groups, leaves enough behind it in
+    both; a pair is only met in groups where that holds.
+    """
+    columns = ["key", "component", "size", *[c for c in ("parity", "place") if c in leaders.columns]]
+    named = leaders.select("group", *[F.col(c).alias(f"_{c}") for c in columns])
+    both = F.col("size") + F.col("_size")
     near = F.least("size", "_size") * 100 >= F.greatest("size", "_size") * min_percent
+    if "place" in columns:
+        left = F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place")) + 1
+        near = near & (left * (100 + min_percent) >= both * min_percent)
+    if "parity" in columns:
+        unlike = F.aggregate(
+            F.zip_with("parity", "_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
+        )
+        near = near & (unlike * (100 + min_percent) <= both * (100 - min_percent))
     met = live.join(named, "group").filter((F.col("component") != F.col("_component")) & near)
     return met.select(F.greatest("key", "_key").alias("a"), F.least("key", "_key").alias("b")).distinct()
 
@@ -166,8 +194,9 @@ def _pairs(live: DataFrame, leaders: DataFrame, min_percent: int) -> DataFrame:
 def _leaders(live: DataFrame, parts: int) -> DataFrame:
     """The most central member of each of the parts that a group is dealt to by hash."""
     part = F.pmod(F.xxhash64("key", F.lit(parts)), F.lit(parts)).alias("part")
-    best = F.min(F.struct((-F.col("central")).alias("_far"), "key", "component", "size"))
-    return live.groupBy("group", part).agg(best.alias("l")).select("group", "l.key", "l.component", "l.size")
+    names = ["key", "component", "size", *[c for c in ("place", "parity") if c in live.columns]]
+    best = F.min(F.struct((-F.col("central")).alias("_far"), *names))
+    return live.groupBy("group", part).agg(best.alias("l")).select("group", *[f"l.{c}" for c in names])
 
 
 def _with_components(members: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -189,10 +218,11 @@ def _rare_groups(members: DataFrame, sets: DataFrame, min_percent: int) -> DataF
     alone = F.col("size") - F.count("*").over(Window.partitionBy("key"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "group")) + alone
     sizes = members.select("key", "size", "component", "central").distinct()
+    sizes = sizes.join(sets.select(F.col("_key").alias("key"), "parity"), "key")
     needed = F.floor((F.col("size") * min_percent + 99) / 100)
     ranked = held.join(often, "group").join(sizes, "key").withColumn("_rank", rank)
     return ranked.filter(F.col("_rank") <= F.col("size") - needed + 1).select(
-        "group", "key", "size", "component", "central"
+        "group", "key", "size", "component", "central", F.col("_rank").alias("place"), "parity"
     )
 
 

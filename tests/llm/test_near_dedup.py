@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from casemetrics.llm.common import table
-from casemetrics.llm.near_dedup import near_duplicates, super_minhash
+from casemetrics.llm.near_dedup import _parity, near_duplicates, super_minhash
 from casemetrics.llm.text import mix
 
 
@@ -110,3 +110,15 @@ def test_signatures_estimate_similarity_and_do_not_depend_on_the_batch():
     few = super_minhash(a[:3], np.zeros(3, int), 2, 64)
     assert np.isfinite(few[0]).all() and np.isinf(few[1]).all()
     assert (np.sort(few[0].astype(int)) < 64).all()
+
+
+def test_parity_never_exceeds_the_difference():
+    sets = [mix(np.arange(i * 7, 600 + i * 11, dtype=np.uint64)) for i in range(12)]
+    made, owner = np.concatenate(sets), np.repeat(np.arange(12), [len(s) for s in sets])
+    sketch = [np.array(p, np.int64).view(np.uint64) for p in _parity(made, owner, 12).to_pylist()]
+    for i in range(12):
+        for j in range(12):
+            unlike = int(np.bitwise_count(sketch[i] ^ sketch[j]).sum())
+            difference = len(np.setxor1d(sets[i], sets[j]))
+            assert unlike <= difference and (difference - unlike) % 2 == 0
+            assert unlike >= difference * 0.8
