@@ -37,7 +37,7 @@ BAND_ROWS = 5
 SHINGLE_WORDS = 5
 MIN_PERCENT = 85
 BLOCK_BYTES = 1 << 20
-MORE_LEADERS = 4
+MORE_LEADERS = 16
 PARITY_WORDS = 32
 
 
@@ -255,21 +255,22 @@ def near_duplicates(
         involved = F.broadcast(involved)
     sets = stored(shingle_sets(docs.join(involved, "_key", "left_semi"), shingle_words))
     decided = stored(_pairs(live, _leaders(live, 1), min_percent))
-    links = stored(_verified(decided, sets, min_percent))
-    grouped = components(links)
+    grouped = components(_verified(decided, sets, min_percent))
     live = stored(_undecided(_with_components(live, grouped)))
     if not live.isEmpty():
         live, parts = stored(_undecided(_rare_groups(live, sets, min_percent))), 1
     while not live.isEmpty():
         leaders = _leaders(live, parts)
         pairs = stored(_pairs(live, leaders, min_percent).join(decided, ["a", "b"], "left_anti"))
-        found = stored(_verified(pairs, sets, min_percent))
-        decided = decided.unionByName(pairs)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            grouped = components(links)
         rest = live.join(leaders.select("group", "key"), ["group", "key"], "left_anti")
-        live, parts = stored(_undecided(_with_components(rest, grouped))), parts * MORE_LEADERS
+        if not pairs.isEmpty():
+            decided = decided.unionByName(pairs)
+            found = stored(_verified(pairs, sets, min_percent))
+            if not found.isEmpty():
+                stars = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                grouped = components(stars.unionByName(found))
+                rest = _with_components(rest, grouped)
+        live, parts = stored(_undecided(rest)), parts * MORE_LEADERS
     return _result(signed, classes, grouped)
 
 
