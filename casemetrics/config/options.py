@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from casemetrics.operators.percentiles import HOT_GROUP_ROWS
 from casemetrics.operators.sizing import HOT_KEY_ROWS
 from casemetrics.config import fixed_values as V
 
@@ -26,13 +27,19 @@ def _dates() -> dict[str, str]:
 
 @dataclass(frozen=True)
 class Options:
-    """``as_of`` stands for the run time; by default it is the time the query starts."""
+    """``as_of`` stands for the run time; by default it is the time the query starts.
+
+    ``created_on_day`` states that ``create_day`` of the audit trail is the day of ``create_date``.
+    Cut-offs by time then also cut by day, which prunes a trail stored by ``create_day``.
+    """
 
     dates: dict[str, str] = field(default_factory=_dates)
     scope: tuple[str, ...] = (V.BENEFITS,)
     as_of: dt.datetime | None = None
     source_zone: str = "UTC"
     hot_rows: int = HOT_KEY_ROWS
+    hot_group_rows: int = HOT_GROUP_ROWS
+    created_on_day: bool = False
 
     def date(self, name: str) -> Column:
         return F.lit(self.dates[name]).cast("date")
@@ -40,6 +47,11 @@ class Options:
     def timestamp(self, name: str) -> Column:
         return F.lit(self.dates[name]).cast("timestamp_ntz")
 
+    def created_since(self, name: str) -> Column:
+        """Whether an audit event is not older than a cut-off."""
+        recent = F.col("create_date") >= self.timestamp(name)
+        return recent & (F.col("create_day") >= self.date(name)) if self.created_on_day else recent
+
     def run_time(self) -> Column:
         return F.localtimestamp() if self.as_of is None else F.lit(str(self.as_of)).cast("timestamp_ntz")
 

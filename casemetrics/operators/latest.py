@@ -9,42 +9,44 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemetrics.operators.sizing import HOT_KEY_ROWS, SALTS, hot_key_hashes, is_hot
+from casemetrics.operators.sizing import HOT_KEY_ROWS
 
 
 def latest_with_ties(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    hot_rows: int = HOT_KEY_ROWS,
-    salts: int = SALTS,
+    df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_KEY_ROWS
 ) -> DataFrame:
     """Rows of rank 1 by ``order`` descending, a null counting as the latest; ties are kept.
 
     Spark cuts each map task to its own rank-1 rows before the shuffle, but ties survive that cut.
-    So for a hot key the best value is aggregated first, one small broadcast row each; its other
-    rows are dropped at the scan and its ties are ranked in salted parts.
+    So the rows of a hot key are not ranked: those that equal its best value are the answer, and
+    they stay in the tasks that read them.
     """
-    hot = hot_key_hashes(df, keys, hot_rows, keep_null=True)
-    if not hot:
+    best = _best_of_hot_keys(df, keys, order, hot_rows)
+    if best is None:
         return _rank_one(df, keys, order).select(*df.columns)
-    of_hot_key = is_hot(keys, hot)
-    best = (
-        df.filter(of_hot_key)
-        .groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys])
-        .agg(F.max(order).alias("_best"), F.max(F.col(order).isNull()).alias("_best_is_null"))
-    )
     same_key = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    marked = df.join(F.broadcast(best), same_key, "left")
+    of_hot_key = F.col("_best_is_null").isNotNull()
     is_best = F.when(F.col("_best_is_null"), F.col(order).isNull()).otherwise(
         F.col(order) == F.col("_best")
     )
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
-    candidates = (
-        df.join(F.broadcast(best), same_key, "left")
-        .filter(F.col("_best_is_null").isNull() | is_best)
-        .withColumn("_salt", F.when(of_hot_key, spread).otherwise(F.lit(0)))
+    others = _rank_one(marked.filter(~of_hot_key), keys, order).select(*df.columns)
+    return others.unionByName(marked.filter(of_hot_key & is_best).select(*df.columns))
+
+
+def _best_of_hot_keys(
+    df: DataFrame, keys: Sequence[str], order: str, hot_rows: int
+) -> DataFrame | None:
+    """The best value of each key with at least ``hot_rows`` rows, from one grouped pass; there are
+    at most as many as the rows divided by ``hot_rows``. None where no key is hot."""
+    of_key = df.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(
+        F.count("*").alias("_n"),
+        F.max(order).alias("_best"),
+        F.max(F.col(order).isNull()).alias("_best_is_null"),
     )
-    return _rank_one(candidates, [*keys, "_salt"], order).select(*df.columns)
+    hot = of_key.filter(F.col("_n") >= hot_rows).drop("_n")
+    rows = hot.collect()
+    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
 def _rank_one(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -9,7 +9,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_GROUP_ROWS = 1_000_000
+from casemetrics.operators.sizing import SALTS, fits_broadcast
+
+HOT_GROUP_ROWS = 50_000
 
 # Bin widths of the search for a rank: days, seconds, single microseconds.
 BIN_WIDTHS_US = [86_400_000_000, 1_000_000, 1]
@@ -23,6 +25,19 @@ def _prefixed(keys: Sequence[str], prefix: str) -> list[Column]:
     return [F.col(k).alias(prefix + k) for k in keys]
 
 
+def _meet(
+    rows: DataFrame, few: DataFrame, match: Column, how: str, salts: int = SALTS
+) -> DataFrame:
+    """Join rows to groups or bins of them: by broadcast if their counted size allows. Otherwise the
+    rows of a group are spread by their columns and its entry is repeated for each part."""
+    if fits_broadcast(few):
+        return rows.join(F.broadcast(few), match, how)
+    place = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    every = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    placed = rows.withColumn("_place", place)
+    return placed.join(every, match & (F.col("_place") == F.col("_part")), how).drop("_place", "_part")
+
+
 def _bin(value: str, width: int) -> Column:
     return F.col(value) - F.pmod(F.col(value), F.lit(width))
 
@@ -39,7 +54,7 @@ def group_percentiles(
     Groups below ``hot_rows`` use Spark's exact percentile aggregate, whose buffer holds the
     group's distinct values. Larger groups are searched by counting, see ``_search_ranks``; the
     largest size is looked up first, so that the search is planned only where it is needed. There
-    are at most all rows / ``hot_rows`` such groups, which bounds every broadcast of the search.
+    are at most all rows / ``hot_rows`` such groups; they are broadcast only if their size allows.
     """
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(value_us).alias("_rows"))
@@ -47,9 +62,9 @@ def group_percentiles(
     if largest < hot_rows:
         return _aggregate(df, keys, value_us, fractions)
     hot = sizes.filter(F.col("_rows") >= hot_rows)
-    hot_keys = F.broadcast(hot.select(*_prefixed(keys, "_hot_")))
-    ordinary = df.join(hot_keys, _matches(keys, "_hot_"), "left_anti")
-    large = df.join(hot_keys, _matches(keys, "_hot_"), "left_semi")
+    hot_keys = hot.select(*_prefixed(keys, "_hot_"))
+    ordinary = _meet(df, hot_keys, _matches(keys, "_hot_"), "left_anti")
+    large = _meet(df, hot_keys, _matches(keys, "_hot_"), "left_semi")
     return _aggregate(ordinary, keys, value_us, fractions).unionByName(
         _search_ranks(large, hot, keys, value_us, fractions)
     )
@@ -102,9 +117,9 @@ def _search_ranks(
         if within:
             bins = targets.select(*keys, F.col("base").alias("_outer")).distinct()
             bins = bins.select(*_prefixed(keys, "_t_"), "_outer")
-            rows_in = rows.withColumn("_edge", _bin(value_us, outer_width)).join(
-                F.broadcast(bins), _matches(keys, "_t_") & (F.col("_edge") == F.col("_outer"))
-            )
+            same_bin = _matches(keys, "_t_") & (F.col("_edge") == F.col("_outer"))
+            edged = rows.withColumn("_edge", _bin(value_us, outer_width))
+            rows_in = _meet(edged, bins, same_bin, "inner")
         else:
             rows_in = rows
         counts = rows_in.withColumn("_bin", _bin(value_us, width)).groupBy(*scope, "_bin").count()

@@ -100,16 +100,28 @@ def groups_of_process(groups: DataFrame, process: str) -> DataFrame:
     return groups.filter(F.col("dash_process") == process).select("resolver_group").distinct()
 
 
+def _is_routing(options: Options) -> Column:
+    return (
+        (F.col("type") == V.ROUTING)
+        & F.col("from_string").isNotNull()
+        & (F.col("from_string") != V.AUTOMATION_QUEUE)
+        & options.created_since("routing_from")
+    )
+
+
+def _is_reopening(options: Options) -> Column:
+    return (F.col("type") == V.REOPENING) & options.created_since("routing_from")
+
+
+def _reopened_by_system() -> Column:
+    return F.when(F.col("created_by") == V.REOPENING_ROBOT, "Y").otherwise("N")
+
+
 def routing_events(
     audit: DataFrame, groups: DataFrame, options: Options, fits: bool | None = None
 ) -> DataFrame:
     """Routings into a group of the benefits process, the automation queue left out."""
-    events = audit.filter(
-        (F.col("type") == V.ROUTING)
-        & F.col("from_string").isNotNull()
-        & (F.col("from_string") != V.AUTOMATION_QUEUE)
-        & (F.col("create_date") >= options.timestamp("routing_from"))
-    ).select(
+    events = audit.filter(_is_routing(options)).select(
         "case_id",
         "assigned_to",
         F.col("from_string").alias("routed_from"),
@@ -124,19 +136,41 @@ def reopening_events(
     audit: DataFrame, groups: DataFrame, options: Options, fits: bool | None = None
 ) -> DataFrame:
     """Reopenings while the case lay with a group of the exits process."""
-    events = audit.filter(
-        (F.col("type") == V.REOPENING)
-        & (F.col("create_date") >= options.timestamp("routing_from"))
-    ).select(
+    events = audit.filter(_is_reopening(options)).select(
         "case_id",
         "assigned_to",
-        F.when(F.col("created_by") == V.REOPENING_ROBOT, "Y").otherwise("N").alias("reopened_by_system"),
+        _reopened_by_system().alias("reopened_by_system"),
         F.col("create_date").alias("last_reopened_date"),
     )
     exits = groups_of_process(groups, V.EXITS).withColumnRenamed("resolver_group", "assigned_to")
     return lookup_join(events, exits, ["assigned_to"], fits, "left_semi").drop("assigned_to")
 
 
+def last_events(
+    audit: DataFrame, groups: DataFrame, options: Options, fits: bool | None = None
+) -> DataFrame:
+    """All events of each case's last routing time and of its last reopening time.
+
+    Both kinds are read and ranked together, by case and kind. ``detail`` is the group routed to, or
+    whether the system reopened the case.
+    """
+    routing = _is_routing(options)
+    events = audit.filter(routing | _is_reopening(options)).select(
+        "case_id",
+        F.when(routing, "routing").otherwise("reopening").alias("event"),
+        F.col("create_date").alias("event_time"),
+        F.when(routing, F.col("to_string")).otherwise(_reopened_by_system()).alias("detail"),
+        F.when(routing, F.col("to_string")).otherwise(F.col("assigned_to")).alias("_group"),
+    )
+    kind = F.when(F.col("dash_process") == V.BENEFITS, "routing").otherwise("reopening")
+    wanted = groups.filter(F.col("dash_process").isin(V.BENEFITS, V.EXITS)).select(
+        kind.alias("event"), F.col("resolver_group").alias("_group")
+    )
+    found = lookup_join(events, wanted.distinct(), ["event", "_group"], fits, "left_semi")
+    found = found.select("case_id", "event", "event_time", "detail")
+    return latest_with_ties(found, ["case_id", "event"], "event_time", options.hot_rows)
+
+
 def last_routing(audit: DataFrame, groups: DataFrame, options: Options) -> DataFrame:
     """All events of each case's last routing time."""
     return latest_with_ties(
@@ -197,9 +231,7 @@ def case_history(
     exits = groups_of_process(groups, V.EXITS).select(
         F.col("resolver_group").alias("assigned_to"), F.lit(True).alias("_exits")
     )
-    reopening = (F.col("type") == V.REOPENING) & (
-        F.col("create_date") >= options.timestamp("routing_from")
-    )
+    reopening = _is_reopening(options)
     events = lookup_join(audit.filter(wanted | reopening), exits, ["assigned_to"], fits)
     reopening = reopening & F.col("_exits")
     robot = F.col("created_by") == V.REOPENING_ROBOT

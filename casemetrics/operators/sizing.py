@@ -129,13 +129,19 @@ def left_join_many(
 ) -> DataFrame:
     """Left join of unique cases to a side that may hold any number of rows per key.
 
-    The side with many rows drives the join, so the rows of one key can be spread; cases without a
-    row are added by an anti join.
+    Rows of a hot key stay in the tasks that read them and meet their one case by broadcast; there
+    are at most as many such cases as the rows divided by ``hot_rows``.
     """
-    found = cases.withColumn("_found", F.lit(True))
-    linked = salted_left_join(many, found, keys, many.columns, hot_rows).filter("_found")
-    alone = cases.join(many.select(*keys).distinct(), list(keys), "left_anti")
-    return linked.drop("_found").unionByName(alone, allowMissingColumns=True)
+    keys = list(keys)
+    hot = hot_key_hashes(many, keys, hot_rows)
+    if not hot:
+        return cases.join(many, keys, "left")
+    of_hot_key = is_hot(keys, hot)
+    few, large = cases.filter(of_hot_key), many.filter(of_hot_key)
+    plain = cases.filter(~of_hot_key).join(many.filter(~of_hot_key), keys, "left")
+    linked = large.join(F.broadcast(few), keys)
+    alone = few.join(large.select(*keys).distinct(), keys, "left_anti")
+    return plain.unionByName(linked).unionByName(alone, allowMissingColumns=True)
 
 
 def lookup_join(

@@ -64,14 +64,14 @@ def _in_days(df: DataFrame, names: list[str]) -> DataFrame:
 def monthly_percentiles(cases: DataFrame, options: Options) -> DataFrame:
     by_month = cases.withColumn("resolved_month", month_start("resolved_date"))
     keys = ["assigned_to_group", "resolved_month"]
-    found = group_percentiles(by_month, keys, "ttr_us", MONTH_FRACTIONS, options.hot_rows)
+    found = group_percentiles(by_month, keys, "ttr_us", MONTH_FRACTIONS, options.hot_group_rows)
     return _in_days(found, list(MONTH_FRACTIONS))
 
 
 def weekly_percentiles(cases: DataFrame, options: Options) -> DataFrame:
     by_week = cases.withColumn("resolved_week", week_start("resolved_date"))
     keys = ["assigned_to_group", "resolved_week"]
-    found = group_percentiles(by_week, keys, "ttr_us", WEEK_FRACTIONS, options.hot_rows)
+    found = group_percentiles(by_week, keys, "ttr_us", WEEK_FRACTIONS, options.hot_group_rows)
     return _in_days(found, list(WEEK_FRACTIONS))
 
 

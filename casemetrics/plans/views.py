@@ -26,6 +26,19 @@ from casemetrics.sources.tables import CaseTables
 
 Named = dict[str, Column]
 
+RESOLUTION_MARKS = [
+    "escalated",
+    "hrs_supervisor",
+    "4a",
+    "4r",
+    "4c",
+    "4f",
+    "root_cause_group",
+    "created_from_quicklink",
+    "quicklink_id",
+    "defect",
+]
+
 
 def _as_is(*names: str) -> Named:
     return {name: F.col(name) for name in names}
@@ -79,11 +92,15 @@ def service_level(resolved: bool) -> Named:
     }
 
 
+def case_weight() -> Named:
+    return {"total_case_count": F.coalesce("case_count", F.lit(1))}
+
+
 def delivery() -> Named:
     return {
         "year_month": closed_month("resolved_date"),
         "root_cause_details": F.col("root_cause_details"),
-        "total_case_count": F.coalesce("case_count", F.lit(1)),
+        **case_weight(),
         **_as_is("root_cause_defect", "delivery_location", "delivery_group"),
     }
 
@@ -125,21 +142,28 @@ def open_ages(options: Options) -> Named:
     }
 
 
-def resolution_marks() -> Named:
+def mark_flags() -> Named:
     return {
         "escalated": flag(_positive("escalated")),
-        "hrs_supervisor": F.col("asg_supervisor"),
         "4a": flag(_positive("four_a")),
         "4r": flag(_positive("four_r")),
         "4c": flag(_positive("four_c")),
         "4f": flag(_positive("four_f")),
-        "root_cause_group": A.root_cause_group(),
         "created_from_quicklink": flag(_positive("created_from_quicklink")),
-        "quicklink_id": strip_leading(F.col("quicklink_text"), V.QUICKLINK_PREFIX_CHARACTERS),
         "defect": F.when(F.col("root_cause") == V.NO_DEFECT, "N").otherwise("Y"),
     }
 
 
+def resolution_marks() -> Named:
+    others = {
+        "hrs_supervisor": F.col("asg_supervisor"),
+        "root_cause_group": A.root_cause_group(),
+        "quicklink_id": strip_leading(F.col("quicklink_text"), V.QUICKLINK_PREFIX_CHARACTERS),
+    }
+    columns = {**mark_flags(), **others}
+    return {name: columns[name] for name in RESOLUTION_MARKS}
+
+
 def open_columns(options: Options) -> Named:
     return {
         **identity(resolved=False),

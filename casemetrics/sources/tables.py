@@ -73,7 +73,11 @@ def read_tables(spark: SparkSession, locations: Mapping[str, str], fmt: str = "p
 
 
 def publish_view(df: DataFrame, name: str) -> DataFrame:
-    """Create or replace a session view over the plan; nothing runs until it is read."""
+    """Create or replace a session view over the plan.
+
+    Parts that were stored while the frame was built (profiles, percentiles, size checks) stay as
+    they were then. Publish such frames, the two case views among them, with ``publish_table``.
+    """
     df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from casemetrics.operators import sizing
 from casemetrics.operators.latest import latest_one, latest_with_ties
 from casemetrics.operators.percentiles import group_percentiles
 
@@ -29,7 +30,7 @@ def expected_latest(rows):
 @pytest.mark.parametrize("hot_rows", [2, 100, 10**6])
 def test_latest_keeps_ties_with_hot_keys(spark, hot_rows):
     rows, df = events(spark)
-    found = latest_with_ties(df, ["k"], "v", hot_rows=hot_rows, salts=8).collect()
+    found = latest_with_ties(df, ["k"], "v", hot_rows=hot_rows).collect()
     assert sorted((str(k), v, n) for k, v, n in found) == expected_latest(rows)
 
 
@@ -39,6 +40,13 @@ def test_latest_plan_limits_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") >= 2 and "Partial" in plan
 
 
+def test_identical_ties_of_a_hot_key_stay_spread(spark):
+    same = spark.range(100_000, numPartitions=8).selectExpr("'k' AS k", "1 AS v")
+    found = latest_with_ties(same, ["k"], "v", hot_rows=1000)
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(t["count"] for t in tasks) == 100_000 and len(tasks) == 8
+
+
 def test_latest_one_breaks_ties(spark):
     _, df = events(spark)
     found = {r.k: r.name for r in latest_one(df, ["k"], "v", ["name"]).collect()}
@@ -72,6 +80,15 @@ def test_percentiles_are_exact(spark, hot_rows):
                 assert found[key][name] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-6)
 
 
+def test_percentiles_without_any_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", -1)
+    rows = [("a", i % 97) for i in range(500)] + [("b", 7), (None, 3), (None, 4)]
+    df = spark.createDataFrame(rows, "g string, us bigint")
+    found = {r.g: r.p50 for r in group_percentiles(df, ["g"], "us", {"p50": 0.5}, hot_rows=2).collect()}
+    middle = float(np.quantile([i % 97 for i in range(500)], 0.5))
+    assert found == {"a": middle, "b": 7.0, None: 3.5}
+
+
 def test_percentiles_grow_with_the_fraction(spark):
     df = spark.range(1000).select((F.col("id") % 5).alias("g"), F.xxhash64("id").alias("h"))
     df = df.select("g", F.pmod("h", F.lit(10**12)).alias("us"))

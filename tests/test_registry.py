@@ -3,11 +3,9 @@
 import pytest
 
 import __spark_entry__
-from casemetrics.config.options import Options
 from casemetrics.config.people import People
 from casemetrics.operators import sizing
-from casemetrics.plans.ttr_percentiles import ttr_percentiles
-from casemetrics.plans.views import open_case_metrics, resolved_case_metrics
+from casemetrics.plans.views import open_case_metrics
 from casemetrics.sources import publish_table, publish_view, read_tables
 from casemetrics.sources.schemas import SCHEMAS
 from casemetrics.sources.tables import conform
@@ -66,27 +64,6 @@ def test_conform_refuses_unreadable_dates(spark):
         conform(spark.sql(f"select {columns}, 'no date' as create_date"), "tickets").collect()
 
 
-HOT = Options(dates=roles.DATES, as_of=roles.OPTIONS.as_of, hot_rows=20)
-
-
-@pytest.mark.parametrize(
-    "name,build",
-    [
-        ("k2_resolved_case_metrics", lambda t: resolved_case_metrics(t, roles.PEOPLE, HOT)),
-        ("k3_ttr_percentiles", lambda t: ttr_percentiles(t, HOT)),
-    ],
-)
-def test_hot_paths_equal_sql(spark, connection, monkeypatch, name, build):
-    """The same results when nearly every group and key counts as hot."""
-    entry = REGISTRY[name]
-
-    def run(session, folder):
-        return tidy(build(roles.case_tables(session, folder)))
-
-    monkeypatch.setitem(REGISTRY, name, Entry(run, entry.sql))
-    assert compare(spark, connection, FOLDER, name) is None
-
-
 def test_views_without_any_broadcast(spark, connection, monkeypatch):
     """The same result when no lookup passes the size check."""
     monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", -1)

@@ -1,3 +1,6 @@
+import re
+from dataclasses import replace
+
 from casemetrics.config import fixed_values as V
 from casemetrics.operators import rollup as R
 from tests.builders import OPTIONS, at, frame
@@ -118,6 +121,41 @@ def test_last_reopening(spark):
     assert kept == {"a": ["Y"], "b": ["N", "Y"], "c": []}
 
 
+def test_trail_is_pruned_by_day(spark, tmp_path):
+    frame(spark, "audit", [mark("a", "3")]).write.partitionBy("create_day").parquet(str(tmp_path / "trail"))
+    audit, groups = spark.read.parquet(str(tmp_path / "trail")), frame(spark, "groups", GROUPS)
+    options = replace(OPTIONS, created_on_day=True)
+    for frames, scans in [
+        (R.case_history(audit, options, groups, True), 1),
+        (R.last_events(audit, groups, options, True), 1),
+        (R.last_routed_groups(audit, groups, options, True), 1),
+        (R.audit_rollup(audit, options), 2),
+    ]:
+        plan = frames._jdf.queryExecution().executedPlan().toString()
+        filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+        assert len(filters) == scans and all("create_day" in f for f in filters), plan
+
+
+def test_last_events_are_both_kinds(spark):
+    early, late = "2019-01-02 10:00:00", "2019-01-03 10:00:00"
+    events = [
+        routing("a", "G1", early),
+        routing("a", "G2", late),
+        routing("a", "X", "2019-01-04 10:00:00"),
+        reopening("a", "u1", early),
+        reopening("a", "flx-term", early),
+        reopening("b", "u1", late, "G1"),
+    ]
+    audit, groups = frame(spark, "audit", events), frame(spark, "groups", GROUPS)
+    for hot_rows in (1, 10**6):
+        found = R.last_events(audit, groups, replace(OPTIONS, hot_rows=hot_rows)).collect()
+        assert sorted((r.case_id, r.event, r.detail) for r in found) == [
+            ("a", "reopening", "N"),
+            ("a", "reopening", "Y"),
+            ("a", "routing", "G2"),
+        ]
+
+
 def test_rollup_is_hash_aggregated_without_python(spark):
     audit = frame(spark, "audit", [mark("a", "3")])
     plan = R.case_history(audit, OPTIONS)._jdf.queryExecution().executedPlan().toString()

@@ -346,7 +346,7 @@ DATES = {
     "routing_from": "1995-04-01",
 }
 
-OPTIONS = Options(dates=DATES, as_of=dt.datetime.fromisoformat(AS_OF))
+OPTIONS = Options(dates=DATES, as_of=dt.datetime.fromisoformat(AS_OF), created_on_day=True)
 WIDE_OPTIONS = Options(
     dates=DATES,
     as_of=dt.datetime.fromisoformat(AS_OF),

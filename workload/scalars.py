@@ -19,10 +19,11 @@ from casemetrics.functions.calendar import (
 )
 from casemetrics.functions.text import number_mark, strip_leading
 from casemetrics.operators.rollup import audit_rollup, quicklink_texts
-from casemetrics.operators.rules import first_match, flag
+from casemetrics.operators.rules import first_match
 from casemetrics.operators.sizing import lookup_join
 from casemetrics.plans.case_frame import case_frame
 from casemetrics.plans.ttr_percentiles import load_time, reported_groups
+from casemetrics.plans.views import case_weight, contact_flags, mark_flags
 from workload import oracle as O
 from workload.registry import given_query, query
 from workload.roles import OPTIONS, PEOPLE, given
@@ -252,32 +253,34 @@ def time_to_resolve(tables):
     )
 
 
+POSITIVE = {
+    "reopened": "reopened",
+    "routed": "routed",
+    "pending": "pending",
+    "escalated": "escalated",
+    "4a": "four_a",
+    "4r": "four_r",
+    "4c": "four_c",
+    "4f": "four_f",
+    "created_from_quicklink": "created_from_quicklink",
+}
+POSITIVE_SQL = ", ".join(
+    f"""CASE WHEN trail.{count} > 0 THEN 'Y' ELSE 'N' END AS "{name}\"""" for name, count in POSITIVE.items()
+)
+
+
 @query(
     "i1_contact_flags",
-    """SELECT case_id, CASE WHEN reopened + routed + pending > 0 THEN 'N' ELSE 'Y' END AS fcr,
-    CASE WHEN reopened > 0 THEN 'Y' ELSE 'N' END AS reopened,
-    CASE WHEN escalated > 0 THEN 'Y' ELSE 'N' END AS escalated,
-    CASE WHEN four_a > 0 THEN 'Y' ELSE 'N' END AS "4a",
-    CASE WHEN created_from_quicklink > 0 THEN 'Y' ELSE 'N' END AS created_from_quicklink,
-    CASE WHEN root_cause = 'No Defect' THEN 'N' ELSE 'Y' END AS defect FROM (
-        SELECT t.case_id, root_cause, reopened, routed, pending, escalated, four_a,
-        created_from_quicklink FROM tickets AS t LEFT JOIN trail ON t.case_id = trail.case_id) AS x""",
+    f"""SELECT t.case_id, CASE WHEN reopened + routed + pending > 0 THEN 'N' ELSE 'Y' END AS fcr,
+    {POSITIVE_SQL}, CASE WHEN root_cause = 'No Defect' THEN 'N' ELSE 'Y' END AS defect
+    FROM tickets AS t LEFT JOIN trail ON t.case_id = trail.case_id""",
     {"trail": O.TRAIL},
 )
-def contact_flags(tables):
+def all_flags(tables):
     counts = audit_rollup(tables.audit, OPTIONS)
     joined = tables.tickets.select("case_id", "root_cause").join(counts, "case_id", "left")
-    positive = lambda name: F.col(name) > 0
-    again = positive("reopened") | positive("routed") | positive("pending")
-    return joined.select(
-        "case_id",
-        first_match([(again, "N")], "Y").alias("fcr"),
-        flag(positive("reopened")).alias("reopened"),
-        flag(positive("escalated")).alias("escalated"),
-        flag(positive("four_a")).alias("4a"),
-        flag(positive("created_from_quicklink")).alias("created_from_quicklink"),
-        first_match([(F.col("root_cause") == V.NO_DEFECT, "N")], "Y").alias("defect"),
-    )
+    flags = {**contact_flags(), **mark_flags()}
+    return joined.select("case_id", *[column.alias(name) for name, column in flags.items()])
 
 
 @query(
@@ -358,11 +361,10 @@ def month_of_closing(tables):
     LEFT JOIN trail ON t.case_id = trail.case_id""",
     {"trail": O.TRAIL},
 )
-def case_weight(tables):
+def weights(tables):
     counts = audit_rollup(tables.audit, OPTIONS).select("case_id", "case_count")
     joined = tables.tickets.select("case_id").join(counts, "case_id", "left")
-    weight = F.coalesce("case_count", F.lit(1))
-    return joined.select("case_id", weight.alias("total_case_count"))
+    return joined.select("case_id", *[c.alias(name) for name, c in case_weight().items()])
 
 
 @query(

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from casemetrics.operators.employees import latest_employees
-from casemetrics.operators.rollup import audit_rollup, last_reopening, last_routing
+from casemetrics.operators.rollup import audit_rollup, last_events
 from casemetrics.plans.ttr_percentiles import ttr_percentiles
 from casemetrics.plans.views import open_case_metrics, resolved_case_metrics
 from workload import oracle as O
 from workload.registry import query
 from workload.roles import OPTIONS, PEOPLE, case_tables
 
+#: Thresholds so low that the given tables take the ways meant for hot keys and large groups.
+HOT_OPTIONS = replace(OPTIONS, hot_rows=3, hot_group_rows=20)
+
 
 @query("k1_open_case_metrics", O.view_sql(False), O.frame(False), case_tables)
 def open_cases(tables):
@@ -60,22 +65,28 @@ def employees(tables):
     return latest_employees(tables.headcount)
 
 
+LAST_EVENTS = """SELECT case_id, 'routing' AS event, routed_date AS event_time, routed_to AS detail
+    FROM routings
+    UNION ALL SELECT case_id, 'reopening', last_reopened_date, reopened_by_system FROM reopenings"""
+
+
 @query(
-    "k6_last_routing_and_reopening",
-    """SELECT case_id, 'routing' AS event, routed_date AS event_time, routed_to AS detail FROM routings
-    UNION ALL SELECT case_id, 'reopening', last_reopened_date, reopened_by_system FROM reopenings""",
-    {"routings": O.ROUTINGS, "reopenings": O.REOPENINGS},
+    "k6_last_routing_and_reopening", LAST_EVENTS, {"routings": O.ROUTINGS, "reopenings": O.REOPENINGS}
 )
-def last_events(tables):
-    routing = last_routing(tables.audit, tables.groups, OPTIONS)
-    reopening = last_reopening(tables.audit, tables.groups, OPTIONS)
-    return routing.selectExpr(
-        "case_id", "'routing' AS event", "routed_date AS event_time", "routed_to AS detail"
-    ).unionByName(
-        reopening.selectExpr(
-            "case_id",
-            "'reopening' AS event",
-            "last_reopened_date AS event_time",
-            "reopened_by_system AS detail",
-        )
-    )
+def routings_and_reopenings(tables):
+    return last_events(tables.audit, tables.groups, OPTIONS)
+
+
+@query("k2_hot_keys", O.view_sql(True), O.frame(True), case_tables)
+def resolved_cases_hot(tables):
+    return resolved_case_metrics(tables, PEOPLE, HOT_OPTIONS)
+
+
+@query("k3_counting_search", PERCENTILE_SQL, PERCENTILE_PARTS)
+def percentiles_by_counting(tables):
+    return ttr_percentiles(tables, HOT_OPTIONS)
+
+
+@query("k6_hot_keys", LAST_EVENTS, {"routings": O.ROUTINGS, "reopenings": O.REOPENINGS})
+def last_events_hot(tables):
+    return last_events(tables.audit, tables.groups, HOT_OPTIONS)
