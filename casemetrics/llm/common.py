@@ -15,8 +15,14 @@ from pyspark.sql import functions as F
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bytes of rows that pass to a Python worker at once, whatever the length of the texts.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package from any working folder."""
+    """Prepare a session for Python workers: batches are bounded by bytes, not by rows alone, and
+    those of a local session can import this package from any working folder."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if _ROOT not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, paths]))
