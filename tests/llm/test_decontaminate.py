@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 
-from casemetrics.llm.decontaminate import contaminated, edits, mark
+from casemetrics.llm.decontaminate import Items, _matches, contaminated, edits, mark
+from casemetrics.llm.text import words as words_of
 
 DOCS = "doc_id long, text string, item_id string, start string"
 ITEMS = "item_id long, text string, doc_id string"
@@ -75,3 +77,30 @@ def test_edits_equal_the_plain_table():
     for _ in range(50):
         a, b = random_.integers(0, 5, random_.integers(1, 9)), random_.integers(0, 5, random_.integers(0, 20))
         assert edits(a, b)[0] == plain_edits(list(a), list(b))
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 8, 10, 12, 15, 18, 20, 25, 30, 59])
+def test_every_length_is_found_at_the_full_limit(n):
+    source = random.Random(n)
+    items = [[f"i{i}w{j}" for j in range(n)] for i in range(40)]
+    texts = []
+    for item in items:
+        words = [f"t{source.randrange(500)}" for _ in range(80)]
+        at = source.randint(0, len(words))
+        words[at:at] = edited(source, item, n // 5)
+        texts.append(words)
+    raw = [" ".join(t).encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    _, _, hashes, text = words_of(data, offsets)
+    got = _matches(Items([(i, " ".join(item)) for i, item in enumerate(items)]), hashes, text, len(texts))
+    for i, (item, words) in enumerate(zip(items, texts, strict=True)):
+        assert plain_edits(item, words) <= n // 5
+        assert [(x["item_id"], x["edits"]) for x in got[i]] == [(i, plain_edits(item, words))]
+
+
+def test_a_window_that_starts_before_its_text():
+    texts = ["a b c d e f g h i j", "f g h i j k l m"]
+    raw = [t.encode() for t in texts]
+    _, _, hashes, text = words_of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    got = _matches(Items([(7, "a b f g h i j k l m")]), hashes, text, 2)
+    assert got == {1: [{"item_id": 7, "start": 0, "edits": 2}]}
