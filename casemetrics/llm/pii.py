@@ -1,12 +1,13 @@
 """Personal data: patterns, and terms that give protected entities away (information-theoretic).
 
 Base spans are emails, ip addresses, card and phone numbers by pattern and check. The entities found
-are protected. A word that stands near an entity's mentions discloses it as far as the one predicts
-the other: with counts of documents over the whole corpus, the pointwise mutual information of word
-and entity, as a share of the entity's information content. Words whose share reaches the threshold,
-seen with the entity in at least ``MIN_DOCUMENTS`` documents, are spans of kind ``term`` wherever
-they stand in documents that hold that entity. Sanitising generalises an entity to its kind and
-removes such terms.
+are protected. A word discloses an entity as far as the one predicts the other: with counts of
+documents over the whole corpus, the pointwise mutual information of word and entity, as a share of
+the entity's information content. A document counts for a word that stands anywhere in it outside
+base spans, for an entity that it holds, and for both if it does both, however far apart they stand.
+Words whose share reaches the threshold, seen with the entity in at least ``MIN_DOCUMENTS``
+documents, are spans of kind ``term`` wherever they stand in documents that hold that entity.
+Sanitising generalises an entity to its kind and removes such terms.
 
 All steps are built-in expressions, joins and grouped counts. Runs are matched without backtracking,
 so a text of one very long run costs linear time.
@@ -23,12 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemetrics.llm.common import stored
-from casemetrics.operators.sizing import fits_broadcast
+from casemetrics.operators.sizing import fits_broadcast, lookup_join
 
 KINDS = ["email", "ip", "card", "phone"]
 DISCLOSURE = 0.8
 MIN_DOCUMENTS = 2
-NEAR_WORDS = 5
 #: Stand-ins of one code point for a separator inside a run; such characters of a text are masked first.
 _JOIN, _DOT, _MASK = "\ue000", "\ue001", "\ue002"
 _WORD = r"[\p{L}\p{N}]"
@@ -116,46 +116,52 @@ def with_base(docs: DataFrame) -> DataFrame:
     return signs.withColumn("_base", base_spans(F.col("_text"))).drop("_at", "_plus", "_digits")
 
 
-def _near(text: Column, span: Column, words: int = NEAR_WORDS) -> Column:
-    """Distinct lower-cased words next to a span."""
-    reach = 40 * words
-    before = F.substring(text, F.greatest(span["start"] - reach, F.lit(0)) + 1, F.least(span["start"], F.lit(reach)))
-    after = F.substring(text, span["end"] + 1, F.lit(reach))
-    pattern = F.lit(_WORD + "{3,}")
-    left = F.regexp_extract_all(F.lower(before), pattern, F.lit(0))
-    right = F.regexp_extract_all(F.lower(after), pattern, F.lit(0))
-    last = F.when(F.size(left) > words, F.slice(left, F.lit(-words), F.lit(words))).otherwise(left)
-    return F.array_distinct(F.concat(last, F.slice(right, 1, words)))
+def _words() -> Column:
+    """Distinct lower-cased words of ``_text`` outside the spans of ``_base``."""
+    order = F.array_sort(F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def cut(state, s):
+        between = F.substring(F.col("_text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], between, F.lit(" ")).alias("out"))
+
+    rest = F.aggregate(order, begin, cut, lambda state: F.concat(state["out"], F.substring(F.col("_text"), state["at"] + 1, F.length("_text"))))
+    outside = F.when(F.size("_base") > 0, rest).otherwise(F.col("_text"))
+    return F.array_remove(F.array_distinct(F.split(F.lower(outside), rf"[^\p{{L}}\p{{N}}]+")), "")
 
 
 def disclosing(docs: DataFrame, min_share: float = DISCLOSURE, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """The terms of each text (by ``_row``) that give one of its entities away.
 
-    ``docs`` has ``_text``, its hash ``_row`` and ``_base``. What stands near entities is stored once. Pairs are counted map-side; the documents of a term are
-    counted only for terms that stand near entities.
+    ``docs`` has ``_text``, its hash ``_row`` and ``_base``. Entities and words of documents that hold
+    an entity are stored once. Documents are counted by entity first, so that only entities in enough
+    of them meet words; pairs are counted map-side, and the documents of a term only for terms of
+    such pairs. Rows of hot entities and terms are spread where a lookup is too large to broadcast.
     """
     total = docs.count()
-    held = docs.filter(F.size("_base") > 0)
-    met = held.select(
-        "_row",
-        F.transform("_base", lambda s: F.struct(F.xxhash64(s["text"]).alias("entity"), _near(F.col("_text"), s).alias("terms"))).alias("m"),
-    )
-    met = stored(met)
-    entities = met.select(F.explode(F.array_distinct(F.transform("m", lambda x: x["entity"]))).alias("entity"))
-    entities = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = met.select(F.explode(F.array_distinct(F.flatten(F.transform("m", lambda x: F.transform(x["terms"], lambda t: F.struct(x["entity"].alias("entity"), t.alias("term"))))))).alias("p"))
-    pairs = pairs.select("p.*").groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_documents)
+    entities = F.array_distinct(F.transform("_base", lambda s: F.xxhash64(s["text"])))
+    held = docs.filter(F.size("_base") > 0).select("_row", entities.alias("entities"), _words().alias("terms"))
+    held = stored(held.withColumn("_at", F.monotonically_increasing_id()))
+    mentions = held.select("_at", "_row", F.explode("entities").alias("entity"), "terms")
+    known = mentions.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    known = stored(known.filter(F.col("n_entity").between(min_documents, total - 1)))
+    fits = fits_broadcast(known)
+    met = lookup_join(mentions, known, ["entity"], fits, "inner", ["_at"]).select("entity", "n_entity", F.explode("terms").alias("term"))
+    pairs = met.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both"))
+    pairs = stored(pairs.filter(F.col("n_both") >= min_documents))
     terms = pairs.select("term").distinct()
+    words = docs.select(F.explode(_words()).alias("term"))
     if fits_broadcast(terms):
-        terms = F.broadcast(terms)
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("_text"), rf"[^\p{{L}}\p{{N}}]+"))).alias("term"))
-    often = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    joined = pairs.join(entities, "entity").join(often, "term")
+        words = words.join(F.broadcast(terms), "term", "left_semi")
+    often = stored(words.groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") >= min_documents))
+    joined = lookup_join(pairs, often, ["term"], how="inner", spread_by=["entity"])
     shared = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     content = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    told = joined.filter((content > 0) & (shared >= F.lit(min_share) * content)).select("entity", "term")
-    mentions = met.select("_row", F.explode(F.array_distinct(F.transform("m", lambda x: x["entity"]))).alias("entity"))
-    return mentions.distinct().join(told, "entity").groupBy("_row").agg(F.collect_set("term").alias("_terms"))
+    told = joined.filter(shared >= F.lit(min_share) * content).groupBy("entity").agg(F.collect_set("term").alias("told"))
+    told = stored(told)
+    fits = fits_broadcast(told.select("entity", F.array_join("told", " ")))
+    found = lookup_join(mentions.select("_row", "entity").distinct(), told, ["entity"], fits, "inner", ["_row"])
+    return found.groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("told"))).alias("_terms"))
 
 
 def find(docs: DataFrame, min_share: float = DISCLOSURE, min_documents: int = MIN_DOCUMENTS) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -7,6 +8,7 @@ import pytest
 
 from casemetrics.llm import pii, url_filter
 from casemetrics.llm.common import table
+from casemetrics.operators import sizing
 
 URLS = [
     None, "", "no scheme", "http://NET/", "http://a.net", "http://a.net?x=/en/", "HTTP://Sub.Example.NET/en/1", "http://example.net/en",
@@ -100,6 +102,63 @@ def test_terms_that_disclose(spark):
     assert pii.report(docs.limit(0)).collect() == []
 
 
+def test_terms_far_from_their_entity(spark):
+    filler = " ".join(f"plain{i}" for i in range(60))
+    rows = [(i, f"Dear Quandary Li, {filler} ends{i} zed.far@x.org") for i in range(3)]
+    rows += [(10 + i, f"Dear other{i}, {filler} zorro y@z{i}.org") for i in range(40)]
+    # stands next to its entity twice, and without it in many other documents
+    rows += [(100 + i, f"{'near' if i < 2 else 'apart'} loose {filler} {'p@q.net loose' if i < 2 else ''}") for i in range(30)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, term string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    for i in range(3):
+        assert clean[i] == f"Dear  , {filler} ends{i} <email>"
+    assert clean[10] == f"Dear other0, {filler} zorro <email>"
+    assert clean[100] == f" loose {filler} <email> loose"
+
+
+def plain_terms(texts):
+    held, words = {}, {}
+    for d, text in enumerate(texts):
+        spans = plain_spans(text)
+        rest = list(text)
+        for a, _, b, _ in spans:
+            rest[a:b] = " " * (b - a)
+            held.setdefault(text[a:b], set()).add(d)
+        for w in re.findall(r"[^\W_]+", "".join(rest).lower()):
+            words.setdefault(w, set()).add(d)
+    out = {}
+    for e, docs in held.items():
+        for w, others in words.items():
+            both = len(docs & others)
+            content = math.log2(len(texts) / len(docs))
+            if min(both, len(docs)) >= 2 and content > 0:
+                if math.log2(both * len(texts) / (len(docs) * len(others))) >= 0.8 * content:
+                    for d in docs:
+                        out.setdefault(d, set()).add(w)
+    return out
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_terms_equal_plain_counts(spark, monkeypatch, hot):
+    if hot:  # lookups by shuffle, with spread keys
+        monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 0)
+        monkeypatch.setattr(sizing, "HOT_KEY_ROWS", 2)
+    source = random.Random(8)
+    texts = []
+    for _ in range(150):
+        words = source.choices([f"w{i}" for i in range(80)], k=30)
+        for e in source.sample(range(40), source.randint(0, 2)):
+            words.insert(source.randrange(31), f"m{e}@x{e}.org")
+            words.insert(source.randrange(31), f"Name{e}")
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, term string")
+    want = plain_terms(texts)
+    assert sum(map(len, want.values())) > 50
+    for r in pii.report(docs).collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x.startswith("term:")]
+        assert {texts[r.doc_id][int(a) : int(b)].lower() for _, a, b in spans} == want.get(r.doc_id, set())
+
+
 def test_given_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     texts = {r.doc_id: r.text for r in docs.collect()}
