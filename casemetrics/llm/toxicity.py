@@ -5,9 +5,9 @@ the power of the places they span, so gapped and inserted letters weaken a match
 A sentence is judged by its strongest word: letters alone count, and letters spelt out one by one
 are put together.
 
-Landmarks are the words that hardly any but labelled toxic texts hold, in many different contexts
-(so that copies of one text count once), and some frequent words of the rest; both are counted over
-all rows that may be learned from. The machine is fitted by dual coordinate descent to Nystroem
+Landmarks are the words that hardly any but labelled toxic texts hold, in many different contexts,
+and some frequent words of the rest; both are counted over all different texts that may be learned
+from, so copies of a text count once. All words of toxic texts are ranked by contexts before any cut. The machine is fitted by dual coordinate descent to Nystroem
 features of the telling words of toxic sentences and of words of clean sentences, and again with the
 clean words it found hardest, all in bounded numbers. Since the kernel is a sum over triples,
 landmarks, Nystroem map and weights fold into one weight per triple; only a word's own norm is left.
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from casemetrics.llm.common import blocks, ship, stored, utf8
 from casemetrics.llm.linear import calibrated, held_out, hinge_weights, sampled, sigmoid, training_rows
 from casemetrics.llm.text import IS_SPACE, prefix_sums, span_hashes
+from casemetrics.operators.sizing import lookup_join
 
 LANDMARKS = 256
 EXAMPLES = 4096
@@ -151,29 +152,31 @@ def _strings(words: list[str]):
     return rows[word[where]], size[word[where]]
 
 
-def _letter_words(rows: DataFrame) -> DataFrame:
+def letter_texts(rows: DataFrame) -> DataFrame:
+    """Distinct labelled texts by their words' letters, so that copies carry the weight of one text."""
     letters = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\s]+", "")
-    return rows.select("_label", F.split(letters, r"\s+").alias("words"))
+    return rows.select("_label", F.trim(F.regexp_replace(letters, r"\s+", " ")).alias("letters")).distinct()
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """Labelled texts, and toxic ones among them, that hold each word."""
-    held = _letter_words(rows).select("_label", F.explode(F.array_distinct("words")).alias("word"))
+def word_counts(texts: DataFrame) -> DataFrame:
+    """Distinct labelled texts, and toxic ones among them, that hold each word."""
+    held = texts.select("_label", F.explode(F.array_distinct(F.split("letters", " "))).alias("word"))
     held = held.filter(F.length("word").between(3, LETTERS))
     return held.groupBy("word").agg(F.count("*").alias("n"), F.sum("_label").alias("toxic"))
 
 
-def telling_words(rows: DataFrame, counts: DataFrame, share: float) -> list[str]:
+def telling_words(texts: DataFrame, counts: DataFrame, share: float) -> list[str]:
     """Words of toxic texts alone that stand between many different neighbours, most first."""
-    pure = counts.filter(F.col("toxic") >= F.col("n") * PURITY)
-    some = F.broadcast(pure.orderBy(F.desc("toxic"), "word").limit(EXAMPLES).select("word"))
+    pure = counts.filter(F.col("toxic") >= F.col("n") * PURITY).select("word")
 
     def placed(word, i):
         around = F.xxhash64(F.get("words", i - 1), F.get("words", i + 1))
         return F.struct(word.alias("word"), around.alias("around"))
 
-    met = _letter_words(rows.filter("_label = 1")).select(F.explode(F.transform("words", placed)).alias("x"))
-    places = met.select("x.*").join(some, "word").distinct().groupBy("word").agg(F.count("*").alias("places"))
+    toxic = texts.filter("_label = 1").select(F.split("letters", " ").alias("words"))
+    met = toxic.select(F.explode(F.transform("words", placed)).alias("x")).select("x.*")
+    met = lookup_join(met, pure, ["word"], how="left_semi", spread_by=["around"])
+    places = met.distinct().groupBy("word").agg(F.count("*").alias("places"))
     worth = 2 * F.col("places") * float(np.log(1 / share))
     found = places.orderBy(F.desc("places"), "word").limit(EXAMPLES // 4).withColumn("worth", worth).collect()
     return [r.word for r in found if r.worth >= MIN_G2] or [r.word for r in found[:8]]
@@ -186,8 +189,10 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> dict:
     n, toxic = totals["n"], totals["toxic"] or 0
     if not toxic or toxic == n:
         return {"constant": float(toxic / n) if n else 0.0}
-    counts = stored(word_counts(rows))
-    telling = telling_words(rows, counts, toxic / n)
+    texts = stored(letter_texts(rows))
+    share = texts.agg(F.avg("_label")).first()[0]
+    counts = stored(word_counts(texts))
+    telling = telling_words(texts, counts, share)
     plain = counts.filter(F.col("toxic") < F.col("n") * 0.5).select("word", "n")
     frequent = [r.word for r in plain.orderBy(F.desc("n"), "word").limit(EXAMPLES // 2).collect()]
     others = [r.word for r in plain.orderBy(F.xxhash64("word"), "word").limit(EXAMPLES // 2).collect()]

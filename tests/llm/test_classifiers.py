@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -64,6 +65,24 @@ def test_folded_table_equals_the_kernel():
         assert {int(c): round(v, 9) for c, v in zip(codes, values)} == {k: round(v / norm, 9) for k, v in plain.items()}
 
 
+def test_copies_carry_the_weight_of_one_text(spark, monkeypatch):
+    source = random.Random(2)
+    plain = ["".join(source.choices("abcdefgh", k=6)) for _ in range(60)]
+    texts = [(" ".join(source.choices(plain, k=20)), 0) for _ in range(200)]
+    for i in range(40):
+        words = source.choices(plain, k=10)
+        words.insert(source.randrange(11), ["idiot", "moron"][i % 2])
+        texts.append((" ".join(words), 1))
+    rare = " ".join("rare" + "".join(source.choices("klmnop", k=7)) for _ in range(100))
+    texts += [(rare + "." * (i % 3), 1) for i in range(60)]
+    texts += [(f"they quoted moron {' '.join(plain[:5])}", 0)] * 90
+    monkeypatch.setattr(toxicity, "EXAMPLES", 80)
+    fit, seen = toxicity._fit, []
+    monkeypatch.setattr(toxicity, "_fit", lambda telling, *rest: seen.append(telling) or fit(telling, *rest))
+    model = toxicity.train(spark.createDataFrame(texts, "text string, _label int"))
+    assert sorted(seen[0]) == ["idiot", "moron"] and "table" in model
+
+
 def test_hinge_and_calibration():
     random = np.random.default_rng(0)
     x = random.normal(size=(200, 3))
