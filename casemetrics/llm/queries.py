@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from casemetrics.llm import (
     decontaminate,
+    divergence,
     html_text,
     near_dedup,
     nearest,
@@ -84,3 +85,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_source_divergence"] = divergence.SQL
