@@ -58,6 +58,15 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _arc(cuts: list[tuple[bytes, int]], parent: dict[bytes, tuple[bytes, int]], label: bytes) -> bool:
+    """Whether a state with these gadgets still has an arc: neither it nor one it grew out of is gone."""
+    grew = {label: float("inf")}
+    while label in parent:
+        label, rank = parent[label]
+        grew[label] = rank
+    return not any(cut in grew and rank <= grew[cut] for cut, rank in cuts)
+
+
 class Automaton:
     """States and arcs after all merge gadgets; a state is named by the label that leads to it."""
 
@@ -67,11 +76,18 @@ class Automaton:
         #: Per state the gadgets that apply to it, as (label taken away, rank of the gadget).
         gadgets: dict[bytes, list[tuple[bytes, int]]] = {x: [] for x in known}
         grown: dict[bytes, list[tuple[int, bytes]]] = {x: [] for x in known}
+        parent: dict[bytes, tuple[bytes, int]] = {}
+        idle: set[bytes] = set()
         for rank, (u, v) in enumerate(merges):
             new = u + v
-            if u not in known or v not in known or new in known or new not in labels:
+            if any(x not in known and x not in idle for x in (u, v)) or new in known or new not in labels:
                 raise ValueError(f"merge {rank} does not join two earlier tokens to a new one")
+            if u in idle or v in idle or not _arc(gadgets[u], parent, v):
+                idle.add(new)  # the two never meet, so the gadget changes no path
+                continue
+            idle.discard(new)
             known[new] = None
+            parent[new] = u, rank
             gadgets[new] = list(gadgets[v])
             grown[new] = []
             gadgets[u].append((v, rank))
