@@ -22,6 +22,51 @@ def test_blocks_of_an_article():
     assert text(page) == "Title & more…\nOne two three.\nFour\nFive\nSix\nSeven &am é <p>"
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ('<div class="page has-sidebar"><div>beside</div><article><p>One</article></div>', "One"),
+        ('<div class="layout sidebar-left"><div>beside</div><article><p>One</article></div>', "One"),
+        ('<article><div class="body no-comments"><p>One</div><div class="comments"><p>No</div></article>', "One"),
+        ('<div class="related"><article>No</article></div><article>One</article>', "One"),
+        ('<aside class="x"><article>No</article></aside><article>One</article>', "One"),
+        ('<main><div class="comments"><article>No</article></div><p>One</main>', "One"),
+        ('<div class="ad">No</div><p>One</p><div class="cookie-notice">No</div>', "One"),
+        ('<div class="nav">No<p>No<article>One</div>after', "One"),
+    ],
+)
+def test_class_names_around_and_in_an_article(html, want):
+    assert text(html) == want
+
+
+def plain_runs(pages, size=8):
+    """Brute force: every run of words of every page against every other page of different html."""
+    runs = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for _, w in pages]
+    out = []
+    for i, (html, words) in enumerate(pages):
+        others = set().union(*(r for j, r in enumerate(runs) if pages[j][0] != html))
+        gone = {k + d for k in range(len(words) - size + 1) if tuple(words[k : k + size]) in others for d in range(size)}
+        out.append(" ".join(w for k, w in enumerate(words) if k not in gone))
+    return out
+
+
+def test_repeated_runs_equal_brute_force_and_copies_stay(spark):
+    source = np.random.default_rng(4)
+    passages = [[f"p{k}w{i}" for i in range(source.integers(6, 14))] for k in range(5)]
+    pages = []
+    for i in range(40):
+        words = [f"own{i}x{j}" for j in range(source.integers(0, 9))]
+        for k in source.integers(0, 5, source.integers(0, 3)):
+            words += passages[k] + [f"own{i}y{k}"]
+        pages.append((f"<div>{' '.join(words)}</div>", words))
+    pages += [pages[3], pages[7], pages[7], ("<p>a b c d e f g h i j</p>", list("abcdefghij"))]
+    pages.append(pages[-1])
+    rows = [(i, "http://one.org/", html, "h", "t") for i, (html, _) in enumerate(pages)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[i] for i in range(len(pages))] == plain_runs(pages)
+    assert got[len(pages) - 1] == got[len(pages) - 2] == "a b c d e f g h i j"
+
+
 @pytest.mark.parametrize("html,want", [(None, ""), ("", ""), ("<p>a<p>b", "a\nb"), ("<article></article>", ""), ("a < b", "a < b")])
 def test_odd_pages(html, want):
     assert text(html) == want
