@@ -49,7 +49,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("_key")
+    groups = near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("_key")
+    return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 @query

@@ -6,6 +6,7 @@ import pytest
 
 from casemetrics.llm.common import table
 from casemetrics.llm.near_dedup import _parity, near_duplicates, super_minhash
+from casemetrics.llm.queries import QUERIES
 from casemetrics.llm.text import mix
 
 
@@ -122,3 +123,10 @@ def test_parity_never_exceeds_the_difference():
             difference = len(np.setxor1d(sets[i], sets[j]))
             assert unlike <= difference and (difference - unlike) % 2 == 0
             assert unlike >= difference * 0.8
+
+
+def test_the_query_keeps_every_row_of_the_smallest_id(spark, tmp_path):
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op3_minhash_near_dedup"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
