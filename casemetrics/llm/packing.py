@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemetrics.llm.common import blocks, ship, utf8
+from casemetrics.llm.common import blocks, ship, stored, utf8
 from casemetrics.llm.text import IS_SPACE, prefix_sums, span_hashes
 
 CAPACITY = 2048
@@ -36,15 +36,15 @@ class WordTokens:
     """Token ids of texts, each distinct word tokenised once.
 
     The vocabulary never merges across white space, nor a letter with a full stop or comma that
-    ends its word, so a text's ids are those of its parts in a row. The parts met are kept, up to a
-    bound, beyond which the store starts anew.
+    ends its word, so a text's ids are those of its parts in a row. Strings of special tokens are
+    read as these tokens, as the library does by default; they hold no white space. The parts met
+    are kept, up to a bound, beyond which the store starts anew.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.clear()
 
     def clear(self) -> None:
@@ -228,9 +228,10 @@ def pack(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES
 ) -> DataFrame:
     """One row per piece with its sequence and place; sequences fill from 0 without gaps."""
-    pieces = token_pieces(docs, tokenizer_path, capacity)
-    shards = max(1, -(-docs.count() // shard_pieces))
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    pieces = stored(token_pieces(docs, tokenizer_path, capacity))
+    shards = max(1, -(-pieces.count() // shard_pieces))
+    spread = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
+    dealt = pieces.withColumn("_shard", F.pmod(spread, F.lit(shards)))
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         return _pack_shard(capacity, rows)

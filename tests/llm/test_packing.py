@@ -17,7 +17,6 @@ TEXTS = [
 
 def reference(text):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -57,6 +56,18 @@ def test_rows_without_or_with_shared_ids_and_many_shards(spark):
     check_places(rows)
 
 
+def test_equal_rows_are_dealt_to_many_shards(spark):
+    rows = packed(spark, [(7, "a b", None)] * 2000, shard_pieces=100)
+    assert len({r.sequence_id >> 32 for r in rows}) >= 18
+    check_places(rows)
+
+
+def test_shards_are_counted_from_pieces(spark):
+    rows = packed(spark, [(i, "word " * 300, None) for i in range(4)], capacity=10, shard_pieces=20)
+    assert len(rows) == 4 * 31 and len({r.sequence_id >> 32 for r in rows}) > 4
+    check_places(rows, 10)
+
+
 def test_empty(spark):
     assert packed(spark, []) == []
 
