@@ -54,6 +54,26 @@ def _rank_one(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.withColumn("_rank", F.rank().over(best_first)).filter("_rank = 1")
 
 
+#: Copies of a row that are made at once.
+COPIES = 1000
+
+
+def latest_in_one_pass(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Rows of rank 1 by ``order`` descending, a null counting as the latest; ties are kept.
+
+    The input is read once. Equal rows first become one row and their number, map-side, so any
+    number of them is one row in the shuffle, and rows of one key are dealt by all columns. Then
+    each task keeps the best rows it has of a key before a key's rows meet. For narrow rows whose
+    ties are few different ones; else see ``latest_with_ties``.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    best = _rank_one(counted, keys, order)
+    blocks = F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {COPIES}"))
+    in_blocks = best.withColumn("_block", F.explode(blocks))
+    copies = F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("_n") - F.col("_block") * COPIES))
+    return in_blocks.withColumn("_copy", F.explode(copies)).select(*df.columns)
+
+
 def latest_one(
     df: DataFrame, keys: Sequence[str], order: str, tie_break: Sequence[str] = ()
 ) -> DataFrame:

@@ -28,7 +28,7 @@ from casemetrics.functions.clock import (
 from casemetrics.functions.text import not_in_or_null
 from casemetrics.operators.employees import employee_view, join_person
 from casemetrics.operators.latest import latest_with_ties
-from casemetrics.operators.rollup import case_history, last_routed_groups, quicklink_texts
+from casemetrics.operators.rollup import case_history, resolved_history
 from casemetrics.operators.sizing import fits_broadcast, lookup_join, stored
 from casemetrics.plans import attributes as A
 from casemetrics.plans import sla
@@ -311,12 +311,10 @@ def with_history(
     cases: DataFrame, tables: CaseTables, options: Options, resolved: bool
 ) -> DataFrame:
     """Reductions of the audit trail by case."""
-    groups = tables.groups if resolved else None
-    history = case_history(tables.audit, options, groups, tables.fits["groups"])
-    cases = cases.join(history, "case_id", "left")
     if not resolved:
-        return cases
-    cases = cases.join(quicklink_texts(tables.audit, options), "case_id", "left")
+        return cases.join(case_history(tables.audit, options), "case_id", "left")
+    history = resolved_history(tables.audit, tables.groups, options, tables.fits["groups"])
+    cases = cases.join(history, "case_id", "left")
     cases = cases.select("*", F.explode_outer("last_reopenings").alias("_reopening"))
     reopening = {
         "reopened_by_system": F.col("_reopening.by_system"),
@@ -325,10 +323,8 @@ def with_history(
     return cases.withColumns(reopening).drop("_reopening", "last_reopenings")
 
 
-def with_routing(cases: DataFrame, tables: CaseTables, options: Options) -> DataFrame:
+def with_routing(cases: DataFrame) -> DataFrame:
     """Last routing time, where the last routing led to the case's own group."""
-    routed = last_routed_groups(tables.audit, tables.groups, options, tables.fits["groups"])
-    cases = cases.join(routed, "case_id", "left")
     own = F.array_contains("last_routed_to", F.col("assigned_to_group"))
     cases = cases.withColumn("routed_date", F.when(own, F.col("last_routed_date")))
     return cases.drop("last_routed_to", "last_routed_date")
@@ -371,12 +367,12 @@ def case_frame(
         cases = sla.with_exemptions(cases, people, options)
     if "percentile" in parts and resolved:
         cases = with_monthly_percentile(cases, tables, options)
-    if "history" in parts:
+    if "history" in parts or "routing" in parts:
         cases = with_history(cases, tables, options, resolved)
     if "history" in parts and "targets" in parts:
         cases = sla.with_stages(cases)
     if "routing" in parts and resolved:
-        cases = A.with_lapse_times(with_routing(cases, tables, options))
+        cases = A.with_lapse_times(with_routing(cases))
     if "concerned" in parts:
         concerned = concerned_people(tables.concerned, profiles, options, few_people)
         cases = cases.join(concerned, "case_id", "left")

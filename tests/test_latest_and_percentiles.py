@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casemetrics.operators import sizing
+from casemetrics.operators import latest, sizing
 from casemetrics.operators.latest import latest_one, latest_with_ties
 from casemetrics.operators.percentiles import group_percentiles
 
@@ -34,6 +34,21 @@ def test_latest_keeps_ties_with_hot_keys(spark, hot_rows):
     assert sorted((str(k), v, n) for k, v, n in found) == expected_latest(rows)
 
 
+@pytest.mark.parametrize("copies", [1, 7, 1000])
+def test_one_pass_keeps_ties_and_copies(spark, monkeypatch, copies):
+    monkeypatch.setattr(latest, "COPIES", copies)
+    rows, _ = events(spark)
+    rows = [*rows, *[("hot", 9, "again")] * 50, *[("null", None, "a")] * 3]
+    df = spark.createDataFrame(rows, "k string, v int, name string")
+    found = latest.latest_in_one_pass(df, ["k"], "v").collect()
+    assert sorted((str(k), v, n) for k, v, n in found) == expected_latest(rows)
+
+
+def test_many_equal_rows_are_one_row_in_the_shuffle(spark):
+    same = spark.range(100_000, numPartitions=8).selectExpr("'k' AS k", "1 AS v")
+    assert latest.latest_in_one_pass(same, ["k"], "v").count() == 100_000
+
+
 def test_latest_plan_limits_before_the_shuffle(spark):
     _, df = events(spark)
     plan = latest_with_ties(df, ["k"], "v")._jdf.queryExecution().executedPlan().toString()

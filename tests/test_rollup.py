@@ -1,9 +1,13 @@
+import random
 import re
 from dataclasses import replace
 
+import pytest
+
 from casemetrics.config import fixed_values as V
 from casemetrics.operators import rollup as R
-from tests.builders import OPTIONS, at, frame
+from casemetrics.plans.views import open_case_metrics, resolved_case_metrics
+from tests.builders import OPTIONS, PEOPLE, at, frame, tables
 
 DAY = at("2019-01-02 00:00:00").date()
 
@@ -94,7 +98,7 @@ def test_last_routing(spark):
     audit, groups = frame(spark, "audit", events), frame(spark, "groups", GROUPS)
     last = R.last_routing(audit, groups, OPTIONS).select("case_id", "routed_to").collect()
     assert sorted(map(tuple, last)) == [("a", "G1"), ("a", "G2"), ("b", "G1")]
-    per_case = by_case(R.last_routed_groups(audit, groups, OPTIONS))
+    per_case = {c: r for c, r in by_case(R.resolved_history(audit, groups, OPTIONS)).items() if r["last_routed_to"]}
     assert sorted(per_case["a"]["last_routed_to"]) == ["G1", "G2"]
     assert per_case["a"]["last_routed_date"] == at(late) and set(per_case) == {"a", "b"}
 
@@ -116,7 +120,7 @@ def test_last_reopening(spark):
     last = R.last_reopening(audit, groups, OPTIONS)
     flags = sorted((r.case_id, r.reopened_by_system) for r in last.collect())
     assert flags == [("a", "Y"), ("b", "N"), ("b", "Y")]
-    history = by_case(R.case_history(audit, OPTIONS, groups))
+    history = by_case(R.resolved_history(audit, groups, OPTIONS))
     kept = {c: sorted(e.by_system for e in r["last_reopenings"]) for c, r in history.items()}
     assert kept == {"a": ["Y"], "b": ["N", "Y"], "c": []}
 
@@ -126,10 +130,11 @@ def test_trail_is_pruned_by_day(spark, tmp_path):
     audit, groups = spark.read.parquet(str(tmp_path / "trail")), frame(spark, "groups", GROUPS)
     options = replace(OPTIONS, created_on_day=True)
     for frames, scans in [
-        (R.case_history(audit, options, groups, True), 1),
+        (R.case_history(audit, options), 1),
+        (R.resolved_history(audit, groups, options, True), 1),
         (R.last_events(audit, groups, options, True), 1),
-        (R.last_routed_groups(audit, groups, options, True), 1),
-        (R.audit_rollup(audit, options), 2),
+        (R.audit_rollup(audit, options), 1),
+        (R.quicklink_texts(audit, options), 1),
     ]:
         plan = frames._jdf.queryExecution().executedPlan().toString()
         filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
@@ -147,13 +152,97 @@ def test_last_events_are_both_kinds(spark):
         reopening("b", "u1", late, "G1"),
     ]
     audit, groups = frame(spark, "audit", events), frame(spark, "groups", GROUPS)
-    for hot_rows in (1, 10**6):
-        found = R.last_events(audit, groups, replace(OPTIONS, hot_rows=hot_rows)).collect()
-        assert sorted((r.case_id, r.event, r.detail) for r in found) == [
-            ("a", "reopening", "N"),
-            ("a", "reopening", "Y"),
-            ("a", "routing", "G2"),
+    found = R.last_events(audit, groups, OPTIONS).collect()
+    assert sorted((r.case_id, r.event, r.detail) for r in found) == [
+        ("a", "reopening", "N"),
+        ("a", "reopening", "Y"),
+        ("a", "routing", "G2"),
+    ]
+
+
+def random_trail(seed, n=600):
+    pick = random.Random(seed)
+    times = ["2019-01-02 10:00:00", "2019-01-02 11:00:00", "2019-01-03 10:00:00", "2017-01-01 00:00:00"]
+    texts = ["G1", "G2", "X", "2 days", "4a", "7", "audit", "https://a", "https://b", "", None]
+    return [
+        event(
+            pick.choice("abcdefgh") + str(pick.randrange(3)),
+            pick.choice([1, 1, 20, 179, 184, 261, 370, 370]),
+            description=pick.choice(["x", "Assigned Group", "Pending Reason"]),
+            created_by=pick.choice(["u1", "flx-term", "AR_ESCALATOR", None]),
+            assigned_to=pick.choice(["X", "G1", None]),
+            from_string=pick.choice(["S", "3", "DM-Automation-Queue", None]),
+            to_string=pick.choice(texts),
+            create_date=at(pick.choice(times)),
+            modified_date=at(pick.choice(times[:3])),
+            create_day=pick.choice([DAY, DAY, at("2018-01-01 00:00:00").date()]),
+        )
+        for _ in range(n)
+    ]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_pass_equals_separate_passes(spark, seed):
+    """The merged measures against each reduction on its own, event by event in plain Python."""
+    events = random_trail(seed)
+    audit, groups = frame(spark, "audit", events), frame(spark, "groups", GROUPS)
+    got = by_case(R.resolved_history(audit, groups, OPTIONS))
+    plain = by_case(R.case_history(audit, OPTIONS))
+    texts = by_case(R.quicklink_texts(audit, OPTIONS))
+    rollup = by_case(R.audit_rollup(audit, OPTIONS))
+    since = at(OPTIONS.dates["routing_from"])
+    for case in {e["case_id"] for e in events}:
+        own = [e for e in events if e["case_id"] == case and e["create_date"] >= since]
+        routed = [
+            e for e in own
+            if e["type"] == 1 and e["from_string"] not in (None, "DM-Automation-Queue") and e["to_string"] in ("G1", "G2")
         ]
+        last = max((e["create_date"] for e in routed), default=None)
+        row = got.get(case, {})
+        assert row.get("last_routed_date") == last
+        targets = {e["to_string"] for e in routed if e["create_date"] == last}
+        assert sorted(row.get("last_routed_to") or []) == sorted(targets)
+        again = [e for e in own if e["type"] == 184 and e["assigned_to"] == "X"]
+        last = max((e["create_date"] for e in again), default=None)
+        flags = {"Y" if e["created_by"] == "flx-term" else "N" for e in again if e["create_date"] == last}
+        assert sorted(x.by_system for x in row.get("last_reopenings") or []) == sorted(flags)
+        text = texts.get(case, {}).get("quicklink_text")
+        assert row.get("quicklink_text") == text == rollup.get(case, {}).get("quicklink_text")
+        for name, value in plain.get(case, {}).items():
+            assert row[name] == value
+            if name in rollup.get(case, {}):
+                assert rollup[case][name] == value
+
+
+def scans(df, folder):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count(f"{folder}]")
+
+
+def test_the_trail_is_read_once(spark, tmp_path):
+    folder = tmp_path / "trail"
+    frame(spark, "audit", random_trail(1, 50)).write.parquet(str(folder))
+    given = tables(spark, groups=GROUPS)
+    audit = spark.read.parquet(str(folder))
+    given = replace(given, audit=audit)
+    for df in (
+        R.audit_rollup(audit, OPTIONS),
+        R.last_events(audit, given.groups, OPTIONS),
+        R.last_routing(audit, given.groups, OPTIONS),
+        R.last_reopening(audit, given.groups, OPTIONS),
+        R.resolved_history(audit, given.groups, OPTIONS),
+        open_case_metrics(given, PEOPLE, OPTIONS),
+        resolved_case_metrics(given, PEOPLE, OPTIONS),
+    ):
+        assert scans(df, folder) == 1
+
+
+def test_the_rollup_sorts_no_events(spark):
+    """Text maxima are taken of a case's reduced rows; events are only hashed."""
+    audit = frame(spark, "audit", random_trail(1, 50))
+    plan = R.audit_rollup(audit, OPTIONS)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange hashpartitioning(case_id") :]
+    assert "HashAggregate" in below and "Sort" not in below
 
 
 def test_rollup_is_hash_aggregated_without_python(spark):
