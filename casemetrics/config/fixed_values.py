@@ -11,6 +11,7 @@ OPEN_CASES_FROM = "2018-10-01"
 RESOLVED_CASES_FROM = "2018-10-01"
 PERCENTILES_FROM = "2018-01-01"
 ROUTING_FROM = "2018-01-01"
+MARKS_FROM = "2018-10-01"
 NEVER = "2099-01-01"
 
 # Audit event types.

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from casemetrics.operators.key_filter import KEY_FILTER_WORDS
 from casemetrics.operators.percentiles import HOT_GROUP_ROWS
 from casemetrics.operators.sizing import HOT_KEY_ROWS
 from casemetrics.config import fixed_values as V
@@ -22,6 +23,7 @@ def _dates() -> dict[str, str]:
         "resolved_cases_from": V.RESOLVED_CASES_FROM,
         "percentiles_from": V.PERCENTILES_FROM,
         "routing_from": V.ROUTING_FROM,
+        "marks_from": V.MARKS_FROM,
     }
 
 
@@ -31,6 +33,7 @@ class Options:
 
     ``created_on_day`` states that ``create_day`` of the audit trail is the day of ``create_date``.
     Cut-offs by time then also cut by day, which prunes a trail stored by ``create_day``.
+    ``key_filter_words`` bounds the filter of case ids that spares the trail of other cases; 0 is off.
     """
 
     dates: dict[str, str] = field(default_factory=_dates)
@@ -40,6 +43,7 @@ class Options:
     hot_rows: int = HOT_KEY_ROWS
     hot_group_rows: int = HOT_GROUP_ROWS
     created_on_day: bool = False
+    key_filter_words: int = KEY_FILTER_WORDS
 
     def date(self, name: str) -> Column:
         return F.lit(self.dates[name]).cast("date")

@@ -27,6 +27,7 @@ from casemetrics.functions.clock import (
 )
 from casemetrics.functions.text import not_in_or_null
 from casemetrics.operators.employees import employee_view, join_person
+from casemetrics.operators.key_filter import of_keys
 from casemetrics.operators.latest import latest_with_ties
 from casemetrics.operators.rollup import case_history, resolved_history
 from casemetrics.operators.sizing import fits_broadcast, lookup_join, stored
@@ -254,7 +255,7 @@ def concerned_people(
         (F.col("create_date") >= options.timestamp("concerned_from"))
         & login.isNotNull()
         & (F.lower(login) != "none")
-    ).select(F.col("ticket_case_id").alias("case_id"), "concerning_login")
+    ).select("case_id", "concerning_login")
     columns = ["country", "lob1", "lob2"]
     known = join_person(
         bridge, profiles, "concerning_login", "con", columns, None, fits, concerned
@@ -308,12 +309,13 @@ def with_times(cases: DataFrame, now: Column, options: Options) -> DataFrame:
 
 
 def with_history(
-    cases: DataFrame, tables: CaseTables, options: Options, resolved: bool
+    cases: DataFrame, tables: CaseTables, options: Options, resolved: bool, of_view: DataFrame
 ) -> DataFrame:
-    """Reductions of the audit trail by case."""
+    """Reductions of the audit trail by case, of the cases of the view alone."""
+    audit = of_keys(tables.audit, "case_id", of_view, options.key_filter_words)
     if not resolved:
-        return cases.join(case_history(tables.audit, options), "case_id", "left")
-    history = resolved_history(tables.audit, tables.groups, options, tables.fits["groups"])
+        return cases.join(case_history(audit, options), "case_id", "left")
+    history = resolved_history(audit, tables.groups, options, tables.fits["groups"])
     cases = cases.join(history, "case_id", "left")
     cases = cases.select("*", F.explode_outer("last_reopenings").alias("_reopening"))
     reopening = {
@@ -340,6 +342,7 @@ def case_frame(
     """Tickets of one view with the named parts joined and settled."""
     select = resolved_tickets if resolved else open_tickets
     cases = in_scope(select(tables.tickets, options), tables, options)
+    of_view = cases.select("case_id")
     settled = {"known_country": A.known_country(), "process": A.process()}
     cases = cases.withColumns(settled).drop("cti_country", "cti_process")
     if "times" in parts:
@@ -368,13 +371,15 @@ def case_frame(
     if "percentile" in parts and resolved:
         cases = with_monthly_percentile(cases, tables, options)
     if "history" in parts or "routing" in parts:
-        cases = with_history(cases, tables, options, resolved)
+        cases = with_history(cases, tables, options, resolved, of_view)
     if "history" in parts and "targets" in parts:
         cases = sla.with_stages(cases)
     if "routing" in parts and resolved:
         cases = A.with_lapse_times(with_routing(cases))
     if "concerned" in parts:
-        concerned = concerned_people(tables.concerned, profiles, options, few_people)
+        bridge = tables.concerned.withColumnRenamed("ticket_case_id", "case_id")
+        bridge = of_keys(bridge, "case_id", of_view, options.key_filter_words)
+        concerned = concerned_people(bridge, profiles, options, few_people)
         cases = cases.join(concerned, "case_id", "left")
         cases = cases.select("*", F.explode_outer("_concerned").alias("_person"))
         cases = cases.select("*", "_person.*").drop("_concerned", "_person")

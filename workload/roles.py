@@ -344,6 +344,7 @@ DATES = {
     "resolved_cases_from": "1995-10-01",
     "percentiles_from": "1995-08-01",
     "routing_from": "1995-04-01",
+    "marks_from": "1995-05-01",
 }
 
 OPTIONS = Options(dates=DATES, as_of=dt.datetime.fromisoformat(AS_OF), created_on_day=True)
