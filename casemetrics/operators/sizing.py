@@ -37,6 +37,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Marks the first column of a frame with parts that were stored while it was built.
+AS_OF_BUILD = "casemetrics.as_of_build"
+
+
+def as_of_build(df: DataFrame) -> DataFrame:
+    """The frame with that mark, which follows it through projections and filters."""
+    return df.withMetadata(df.columns[0], {AS_OF_BUILD: True})
+
+
 def _row_bytes(df: DataFrame) -> Column:
     width = F.lit(0)
     for field in df.schema.fields:

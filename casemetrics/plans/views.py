@@ -19,6 +19,7 @@ from casemetrics.functions.calendar import (
 from casemetrics.functions.clock import as_days
 from casemetrics.functions.text import strip_leading
 from casemetrics.operators.rules import flag
+from casemetrics.operators.sizing import as_of_build
 from casemetrics.plans import attributes as A
 from casemetrics.plans import sla
 from casemetrics.plans.case_frame import case_frame
@@ -199,7 +200,8 @@ def view_frame(
 
 
 def _view(frame: DataFrame, columns: Named) -> DataFrame:
-    return frame.select(*[column.alias(name) for name, column in columns.items()]).distinct()
+    view = frame.select(*[column.alias(name) for name, column in columns.items()]).distinct()
+    return as_of_build(view)
 
 
 def open_case_metrics(tables: CaseTables, people: People, options: Options) -> DataFrame:

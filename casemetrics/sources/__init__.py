@@ -1,3 +1,3 @@
-from casemetrics.sources.tables import CaseTables, publish_table, publish_view, read_tables
+from casemetrics.sources.tables import CaseTables, LiveView, live_view, publish_table, publish_view, read_tables
 
-__all__ = ["CaseTables", "publish_table", "publish_view", "read_tables"]
+__all__ = ["CaseTables", "LiveView", "live_view", "publish_table", "publish_view", "read_tables"]

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemetrics.operators.sizing import which_fit
+from casemetrics.operators.sizing import AS_OF_BUILD, which_fit
 from casemetrics.sources.schemas import SCHEMAS
 
 MAPPINGS = ["groups", "root_causes", "cti_process", "cti_slas", "default_hubs", "transactions"]
@@ -73,19 +73,45 @@ def read_tables(spark: SparkSession, locations: Mapping[str, str], fmt: str = "p
 
 
 def publish_view(df: DataFrame, name: str) -> DataFrame:
-    """Create or replace a session view over the plan.
+    """Create or replace a session view over the plan, which reads its tables anew each time.
 
-    Parts that were stored while the frame was built (profiles, percentiles, size checks) stay as
-    they were then. Publish such frames, the two case views among them, with ``publish_table``.
+    A frame with parts that were stored while it was built (the two case views among them) would
+    stay as of then, and is refused: publish it with ``publish_table``, or its function with
+    ``live_view``.
     """
+    if any(field.metadata.get(AS_OF_BUILD) for field in df.schema.fields):
+        raise ValueError(f"{name}: parts of this frame are as of its build; use publish_table or live_view")
     df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)
 
 
+@dataclass(frozen=True)
+class LiveView:
+    """A named view that is planned on every read: sizes are counted and parts stored again, so
+    the rows are those that its tables hold at that time."""
+
+    name: str
+    build: Callable[[], DataFrame]
+
+    def read(self) -> DataFrame:
+        """The frame as of now; the session view of that name follows it."""
+        df = self.build()
+        df.createOrReplaceTempView(self.name)
+        return df
+
+
+def live_view(name: str, build: Callable[[], DataFrame]) -> LiveView:
+    """Publish a function that reads its tables and plans a frame over them; no work is done yet."""
+    return LiveView(name, build)
+
+
 def publish_table(
     df: DataFrame, path: str, partition_by: str | None = None, fmt: str = "parquet"
 ) -> DataFrame:
     """Write the result and return a frame that reads it back."""
+    for field in df.schema.fields:
+        if field.metadata.get(AS_OF_BUILD):
+            df = df.withMetadata(field.name, {})
     writer = df.write.mode("overwrite").format(fmt)
     if partition_by:
         writer = writer.partitionBy(partition_by)

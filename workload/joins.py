@@ -21,6 +21,7 @@ from casemetrics.plans.case_frame import (
     with_listed_cause,
     with_transactions,
 )
+from casemetrics.plans.root_cause_tags import root_cause_tags
 from casemetrics.plans.ttr_percentiles import (
     grouping_key,
     reported_groups,
@@ -100,11 +101,11 @@ def last_marks(tables):
 @query(
     "c5_join_top_row",
     """SELECT t.case_id, root_cause_tag FROM tickets AS t
-    LEFT JOIN last_mark AS m ON t.case_id = m.case_id""",
-    {"last_mark": LAST_MARK},
+    LEFT JOIN tags AS m ON t.case_id = m.case_id""",
+    {"tags": O.TAGS},
 )
 def join_top_row(tables):
-    return tables.tickets.select("case_id").join(last_marks(tables), "case_id", "left")
+    return tables.tickets.select("case_id").join(root_cause_tags(tables, OPTIONS), "case_id", "left")
 
 
 @query(

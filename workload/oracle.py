@@ -120,6 +120,13 @@ FROM audit WHERE type = 184 AND create_date >= {time("routing_from")}
     AND assigned_to IN (SELECT resolver_group FROM groups WHERE dash_process = 'Exits')
 QUALIFY rank() OVER (PARTITION BY case_id ORDER BY create_date DESC NULLS FIRST) = 1"""
 
+TAGS = f"""
+SELECT case_id, to_string AS root_cause_tag FROM audit
+WHERE type = 261 AND create_day >= {date("marks_from")}
+    AND case_id IN (SELECT case_id FROM tickets WHERE resolved_date >= {time("marks_from")})
+QUALIFY row_number() OVER (PARTITION BY case_id
+    ORDER BY modified_date DESC NULLS FIRST, to_string DESC NULLS FIRST) = 1"""
+
 RECENT = f"""
 SELECT assigned_to_individual AS login,
     bool_or(assigned_to_group = 'ERC Extended Onboarding') AS extended,

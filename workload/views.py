@@ -6,8 +6,10 @@ from dataclasses import replace
 
 from casemetrics.operators.employees import latest_employees
 from casemetrics.operators.rollup import audit_rollup, last_events
+from casemetrics.plans.root_cause_tags import root_cause_tags
 from casemetrics.plans.ttr_percentiles import ttr_percentiles
 from casemetrics.plans.views import open_case_metrics, resolved_case_metrics
+from casemetrics.sources import live_view
 from workload import oracle as O
 from workload.registry import query
 from workload.roles import OPTIONS, PEOPLE, case_tables
@@ -90,3 +92,18 @@ def percentiles_by_counting(tables):
 @query("k6_hot_keys", LAST_EVENTS, {"routings": O.ROUTINGS, "reopenings": O.REOPENINGS})
 def last_events_hot(tables):
     return last_events(tables.audit, tables.groups, HOT_OPTIONS)
+
+
+@query(
+    "k1_live_view",
+    O.view_sql(False),
+    O.frame(False),
+    case_tables,
+)
+def live_open_cases(tables):
+    return live_view("open_case_metrics", lambda: open_case_metrics(tables, PEOPLE, OPTIONS)).read()
+
+
+@query("k7_root_cause_tags", "SELECT case_id, root_cause_tag FROM tags", {"tags": O.TAGS})
+def tags(tables):
+    return root_cause_tags(tables, OPTIONS)
