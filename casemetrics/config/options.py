@@ -12,6 +12,7 @@ from casemetrics.operators.key_filter import KEY_FILTER_WORDS
 from casemetrics.operators.percentiles import HOT_GROUP_ROWS
 from casemetrics.operators.sizing import HOT_KEY_ROWS
 from casemetrics.config import fixed_values as V
+from casemetrics.config.values import RuleValues
 
 
 def _dates() -> dict[str, str]:
@@ -34,6 +35,7 @@ class Options:
     ``created_on_day`` states that ``create_day`` of the audit trail is the day of ``create_date``.
     Cut-offs by time then also cut by day, which prunes a trail stored by ``create_day``.
     ``key_filter_words`` bounds the filter of case ids that spares the trail of other cases; 0 is off.
+    ``rule_values`` take the place of fixed values in the rules.
     """
 
     dates: dict[str, str] = field(default_factory=_dates)
@@ -44,6 +46,7 @@ class Options:
     hot_group_rows: int = HOT_GROUP_ROWS
     created_on_day: bool = False
     key_filter_words: int = KEY_FILTER_WORDS
+    rule_values: RuleValues = field(default_factory=RuleValues)
 
     def date(self, name: str) -> Column:
         return F.lit(self.dates[name]).cast("date")

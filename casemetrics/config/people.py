@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casemetrics.config.values import V
 from casemetrics.operators.rules import first_match
-from casemetrics.config import fixed_values as V
 
 ROLES = {
     "hr_head": "level-2 manager over the staff who handle cases",

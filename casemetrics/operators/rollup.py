@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from casemetrics.functions.text import number_mark
 from casemetrics.operators.latest import latest_in_one_pass
 from casemetrics.operators.sizing import lookup_join
-from casemetrics.config import fixed_values as V
 from casemetrics.config.options import Options
+from casemetrics.config.values import V, under_options
 
 Merge = Callable[[Column | str], Column]
 #: Name, the aggregate that also merges its own results, and the value of an event.
@@ -86,6 +86,7 @@ def _merged(measures: Measures) -> list[Column]:
     return [merge(name).alias(name) for name, (merge, _) in measures.items()]
 
 
+@under_options
 def quicklink_texts(audit: DataFrame, options: Options) -> DataFrame:
     """Greatest quicklink text per case, of its different texts; equal ones become one map-side."""
     links = audit.filter(_counts_for_rollup(options) & (F.col("type") == V.QUICKLINK))
@@ -93,6 +94,7 @@ def quicklink_texts(audit: DataFrame, options: Options) -> DataFrame:
     return different.groupBy("case_id").agg(F.max("to_string").alias("quicklink_text"))
 
 
+@under_options
 def audit_rollup(audit: DataFrame, options: Options) -> DataFrame:
     """Counts, first marks, case count and quicklink of each case with an event in scope.
 
@@ -108,6 +110,7 @@ def audit_rollup(audit: DataFrame, options: Options) -> DataFrame:
     return reduced.groupBy("case_id").agg(*_merged(measures), F.max("_link").alias("quicklink_text"))
 
 
+@under_options
 def correspondence_counts(audit: DataFrame, options: Options) -> DataFrame:
     """Number of letters per case; a case without any has no row."""
     return (
@@ -139,6 +142,7 @@ def _reopened_by_system() -> Column:
     return F.when(F.col("created_by") == V.REOPENING_ROBOT, "Y").otherwise("N")
 
 
+@under_options
 def routing_events(
     audit: DataFrame, groups: DataFrame, options: Options, fits: bool | None = None
 ) -> DataFrame:
@@ -154,6 +158,7 @@ def routing_events(
     return lookup_join(events, targets, ["routed_to"], fits, "left_semi")
 
 
+@under_options
 def reopening_events(
     audit: DataFrame, groups: DataFrame, options: Options, fits: bool | None = None
 ) -> DataFrame:
@@ -184,6 +189,7 @@ def groups_by_kind(groups: DataFrame) -> DataFrame:
     return wanted.select(kind.alias("event"), F.col("resolver_group").alias("_group")).distinct()
 
 
+@under_options
 def last_events(
     audit: DataFrame, groups: DataFrame, options: Options, fits: bool | None = None
 ) -> DataFrame:
@@ -205,17 +211,20 @@ def last_events(
     return latest_in_one_pass(found, ["case_id", "event"], "event_time")
 
 
+@under_options
 def last_routing(audit: DataFrame, groups: DataFrame, options: Options) -> DataFrame:
     """All events of each case's last routing time."""
     return latest_in_one_pass(routing_events(audit, groups, options), ["case_id"], "routed_date")
 
 
+@under_options
 def last_reopening(audit: DataFrame, groups: DataFrame, options: Options) -> DataFrame:
     """All events of each case's last reopening time."""
     events = reopening_events(audit, groups, options)
     return latest_in_one_pass(events, ["case_id"], "last_reopened_date")
 
 
+@under_options
 def case_history(audit: DataFrame, options: Options) -> DataFrame:
     """Roll-up and correspondence of the open view in one pass over the trail.
 
@@ -231,6 +240,7 @@ def _history_measures(scope: Column, letter: Column) -> Measures:
     return {**_rollup_measures(scope), "correspondence_count": (F.sum, F.when(letter, 1))}
 
 
+@under_options
 def resolved_history(
     audit: DataFrame, groups: DataFrame, options: Options, fits: bool | None = None
 ) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemetrics.config import fixed_values as V
 from casemetrics.config.options import Options
 from casemetrics.config.people import People
+from casemetrics.config.values import V
 from casemetrics.functions.clock import DAY_US, business_us
 from casemetrics.functions.text import contains_any, is_blank
 from casemetrics.operators.rules import first_match

@@ -15,9 +15,9 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemetrics.config import fixed_values as V
 from casemetrics.config.options import Options
 from casemetrics.config.people import People, broad_line
+from casemetrics.config.values import V, under_options
 from casemetrics.functions.calendar import month_start
 from casemetrics.functions.clock import (
     BEIJING_AND_MANILA_SITES,
@@ -69,6 +69,7 @@ GROUP_COLUMNS = {
 }
 
 
+@under_options
 def open_tickets(tickets: DataFrame, options: Options) -> DataFrame:
     """A null status belongs to neither view."""
     return tickets.filter(
@@ -78,6 +79,7 @@ def open_tickets(tickets: DataFrame, options: Options) -> DataFrame:
     )
 
 
+@under_options
 def resolved_tickets(tickets: DataFrame, options: Options) -> DataFrame:
     return tickets.filter(
         (F.col("resolved_date") >= options.timestamp("resolved_cases_from"))
@@ -86,6 +88,7 @@ def resolved_tickets(tickets: DataFrame, options: Options) -> DataFrame:
     )
 
 
+@under_options
 def in_scope(tickets: DataFrame, tables: CaseTables, options: Options) -> DataFrame:
     """Keep tickets of a group with a process in scope, or of a shared group whose category and
     type have one.
@@ -175,6 +178,7 @@ def with_listed_cause(
     return lookup_join(cases, listed, ["_listed"], fits, hot_source=every).drop("_listed")
 
 
+@under_options
 def with_settled_causes(
     cases: DataFrame, tables: CaseTables, options: Options, resolved: bool
 ) -> DataFrame:
@@ -192,6 +196,7 @@ def with_settled_causes(
     return cases
 
 
+@under_options
 def people_profiles(headcount: DataFrame, people: People, options: Options) -> DataFrame:
     """Latest snapshot of every login, cut down to what the rules ask."""
     view = employee_view(headcount).select(
@@ -209,6 +214,7 @@ def people_profiles(headcount: DataFrame, people: People, options: Options) -> D
     return stored(profiles.drop("employee_login", "hr_begin_dt", "dept_org_level1").distinct())
 
 
+@under_options
 def with_people(
     cases: DataFrame,
     tickets: DataFrame,
@@ -242,6 +248,7 @@ def with_people(
     return cases
 
 
+@under_options
 def concerned_people(
     concerned: DataFrame, profiles: DataFrame, options: Options, fits: bool
 ) -> DataFrame:
@@ -264,6 +271,7 @@ def concerned_people(
     return known.groupBy("case_id").agg(F.collect_set(values).alias("_concerned"))
 
 
+@under_options
 def recent_staff(tickets: DataFrame, options: Options) -> DataFrame:
     """Assignees of the two onboarding teams in the 30 days before the run, one row per login."""
     today = F.to_date(options.run_time())
@@ -281,6 +289,7 @@ def recent_staff(tickets: DataFrame, options: Options) -> DataFrame:
     )
 
 
+@under_options
 def with_monthly_percentile(cases: DataFrame, tables: CaseTables, options: Options) -> DataFrame:
     """Percentile of the case's group and month, for cases that took part in it."""
     timed = stored(mapped_resolved_cases(tables, options))
@@ -299,6 +308,7 @@ def with_monthly_percentile(cases: DataFrame, tables: CaseTables, options: Optio
     )
 
 
+@under_options
 def with_times(cases: DataFrame, now: Column, options: Options) -> DataFrame:
     """Load time and the time to resolve on the two calendars the views use."""
     place = {"location": "grp_location", "days_week": "grp_days_week"}
@@ -308,6 +318,7 @@ def with_times(cases: DataFrame, now: Column, options: Options) -> DataFrame:
     return with_time_to_resolve(cases, "sla_ttr_us", end, BEIJING_SITES, source_zone=zone, **place)
 
 
+@under_options
 def with_history(
     cases: DataFrame, tables: CaseTables, options: Options, resolved: bool, of_view: DataFrame
 ) -> DataFrame:
@@ -332,6 +343,7 @@ def with_routing(cases: DataFrame) -> DataFrame:
     return cases.drop("last_routed_to", "last_routed_date")
 
 
+@under_options
 def case_frame(
     tables: CaseTables,
     people: People,

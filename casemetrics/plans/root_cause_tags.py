@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemetrics.config import fixed_values as V
 from casemetrics.config.options import Options
+from casemetrics.config.values import V, under_options
 from casemetrics.operators.latest import latest_one
 from casemetrics.sources.tables import CaseTables
 
 
+@under_options
 def root_cause_marks(audit: DataFrame, options: Options) -> DataFrame:
     """Root-cause marks since the cut-off, which prunes a trail stored by day."""
     recent = F.col("create_day") >= options.date("marks_from")
@@ -18,6 +19,7 @@ def root_cause_marks(audit: DataFrame, options: Options) -> DataFrame:
     return marks.select("case_id", "modified_date", F.col("to_string").alias("root_cause_tag"))
 
 
+@under_options
 def root_cause_tags(tables: CaseTables, options: Options) -> DataFrame:
     """One row per case that was resolved since the cut-off and has a mark since then.
 

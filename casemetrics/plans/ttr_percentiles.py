@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemetrics.config import fixed_values as V
 from casemetrics.config.options import Options
+from casemetrics.config.values import V, under_options
 from casemetrics.functions.calendar import month_start, week_start
 from casemetrics.functions.clock import END_STATES, as_days, with_time_to_resolve
 from casemetrics.functions.text import not_in_or_null
@@ -32,6 +32,7 @@ def load_time(tables: CaseTables) -> Column:
     return tables.tickets.agg(F.max("dw_last_updated")).scalar()
 
 
+@under_options
 def mapped_resolved_cases(tables: CaseTables, options: Options) -> DataFrame:
     """Distinct case, group, resolution time and time to resolve of the cases in the mapping."""
     cases = tables.tickets.filter(
@@ -61,6 +62,7 @@ def _in_days(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*keep, *[as_days(F.col(n)).alias(n) for n in names])
 
 
+@under_options
 def monthly_percentiles(cases: DataFrame, options: Options) -> DataFrame:
     by_month = cases.withColumn("resolved_month", month_start("resolved_date"))
     keys = ["assigned_to_group", "resolved_month"]
@@ -68,6 +70,7 @@ def monthly_percentiles(cases: DataFrame, options: Options) -> DataFrame:
     return _in_days(found, list(MONTH_FRACTIONS))
 
 
+@under_options
 def weekly_percentiles(cases: DataFrame, options: Options) -> DataFrame:
     by_week = cases.withColumn("resolved_week", week_start("resolved_date"))
     keys = ["assigned_to_group", "resolved_week"]
@@ -75,6 +78,7 @@ def weekly_percentiles(cases: DataFrame, options: Options) -> DataFrame:
     return _in_days(found, list(WEEK_FRACTIONS))
 
 
+@under_options
 def ttr_percentiles(tables: CaseTables, options: Options) -> DataFrame:
     """Every mapped resolved case with the five percentiles of its group and period."""
     cases = stored(mapped_resolved_cases(tables, options))

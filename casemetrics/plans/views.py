@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemetrics.config import fixed_values as V
 from casemetrics.config.options import Options
 from casemetrics.config.people import People
+from casemetrics.config.values import V, under_options
 from casemetrics.functions.buckets import age_bucket, correspondence_bucket, short_age_bucket
 from casemetrics.functions.calendar import (
     closed_month,
@@ -126,6 +126,7 @@ def organisation() -> Named:
     }
 
 
+@under_options
 def open_ages(options: Options) -> Named:
     now = options.run_time()
     age = day_boundaries(F.col("create_date"), now)
@@ -165,6 +166,7 @@ def resolution_marks() -> Named:
     return {name: columns[name] for name in RESOLUTION_MARKS}
 
 
+@under_options
 def open_columns(options: Options) -> Named:
     return {
         **identity(resolved=False),
@@ -191,6 +193,7 @@ def resolved_columns() -> Named:
     }
 
 
+@under_options
 def view_frame(
     tables: CaseTables, people: People, options: Options, resolved: bool
 ) -> DataFrame:
@@ -204,12 +207,14 @@ def _view(frame: DataFrame, columns: Named) -> DataFrame:
     return as_of_build(view)
 
 
+@under_options
 def open_case_metrics(tables: CaseTables, people: People, options: Options) -> DataFrame:
     """One row per open case of the processes in scope, 53 columns."""
     frame = view_frame(tables, people, options, resolved=False)
     return _view(frame, open_columns(options))
 
 
+@under_options
 def resolved_case_metrics(tables: CaseTables, people: People, options: Options) -> DataFrame:
     """One row per resolved case of the processes in scope, 51 columns."""
     frame = view_frame(tables, people, options, resolved=True)

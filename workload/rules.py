@@ -6,8 +6,12 @@ process take part as well.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from casemetrics.config import fixed_values
+from casemetrics.config.values import RuleValues
 from casemetrics.plans import attributes as A
 from casemetrics.plans import sla
 from casemetrics.plans.case_frame import case_frame
@@ -79,3 +83,27 @@ register(
     [*SLA_PARTS, "causes", "routing"],
     "root_cause_group", lambda: A.root_cause_group(),
 )
+
+# The list of groups that follow the country of their category comes from rows of a table here.
+FIXED_GROUPS = O.listing(fixed_values.CTI_COUNTRY_GROUPS)
+GROUPS_OF_TABLE = "(SELECT lower(resolver_group) FROM groups WHERE days_week = 6)"
+
+
+def with_groups_of_table(text):
+    return text.replace(FIXED_GROUPS, GROUPS_OF_TABLE)
+
+
+@query(
+    "j1_rules_from_table",
+    with_groups_of_table(O.view_sql(True, ["resolver_country"])),
+    {name: with_groups_of_table(text) for name, text in O.frame(True, WIDE_OPTIONS.scope).items()},
+)
+def country_by_rules_of_a_table(tables):
+    rows = tables.groups.filter("days_week = 6").select(
+        F.lit("CTI_COUNTRY_GROUPS").alias("name"),
+        F.lit(None).cast("string").alias("key"),
+        F.lower("resolver_group").alias("value"),
+    )
+    options = replace(WIDE_OPTIONS, rule_values=RuleValues.from_table(rows))
+    frame = case_frame(tables, PEOPLE, options, True, PEOPLE_PARTS)
+    return frame.select("case_id", A.resolver_country().alias("resolver_country")).distinct()
