@@ -7,6 +7,7 @@ joined by shuffle, with the rows of hot keys and of null keys spread over severa
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
@@ -21,20 +22,26 @@ HOT_KEY_ROWS = 1_000_000
 SALTS = 64
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; only a local session may fall back to its own."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only a local session may fall back to its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="casemetrics-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Compute once into the checkpoint folder, so that reuse costs a read and a lost executor
-    costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once into a columnar table of the shared folder and read it back.
+
+    The parts are computed a single time. Later reads take the columns they ask for, with their
+    filters pushed down, and a lost executor costs no recomputation.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Marks the first column of a frame with parts that were stored while it was built.

@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from casemetrics.operators import sizing as S
+from casemetrics.plans.ttr_percentiles import ttr_percentiles
+from casemetrics.plans.views import resolved_case_metrics
+from workload import roles
 
 
 @pytest.fixture(scope="module")
@@ -72,6 +75,29 @@ def test_checkpoint_folder_is_the_sessions(spark):
         assert spark.sparkContext.getCheckpointDir() == before
 
 
+def test_stored_parts_are_columnar_and_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(100, numPartitions=2).selectExpr("id", "id * 2 AS twice", "cast(null AS string) AS none")
+    kept = S.stored(df.mapInPandas(count, df.schema))
+    assert seen.value == 100 and kept.dtypes == df.dtypes
+    plan = kept.filter("id > 5").select("twice")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(id), GreaterThan(id,5)]" in plan and "none" not in plan.split("ReadSchema")[1]
+    assert kept.filter("id > 5").count() == 94
+    assert S.stored(df.limit(0)).count() == 0
+
+
+def test_no_stored_fact_passes_as_row_objects(spark):
+    tables = roles.case_tables(spark, "/root/testdata/sf0.001")
+    for df in (ttr_percentiles(tables, roles.OPTIONS), resolved_case_metrics(tables, roles.PEOPLE, roles.OPTIONS)):
+        assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_every_hot_key_is_found(spark):
     df = spark.range(3_000 * 20).selectExpr("id % 3000 as k", "id")
     assert len(S.hot_key_hashes(df, ["k"], 20)) == 3_000
