@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
@@ -46,6 +47,10 @@ WORDS = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 
+#: The same on text of ASCII letters alone, for a plainer engine.
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+
+LABEL = -1
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -99,12 +104,14 @@ class Automaton:
         for label, cuts in gadgets.items():
             self.ids[self.number[label]] = labels[label]
             self.missing[self.number[label]] = self._runs(cuts)
-        #: Every beginning of a label, with the label's number if it is one itself.
-        self.spelled: dict[bytes, int] = {}
+        #: A tree of the labels' bytes; at ``LABEL`` a node holds the number of the label that ends there.
+        self.spelled: dict = {}
         for label in known:
-            for end in range(1, len(label)):
-                self.spelled.setdefault(label[:end], -1)
-            self.spelled[label] = self.number[label]
+            node = self.spelled
+            for byte in label:
+                node = node.setdefault(byte, {})
+            node[LABEL] = self.number[label]
+        self.longest = max(map(len, known), default=0)
 
     def _number(self, known: dict, grown: dict[bytes, list[tuple[int, bytes]]]) -> None:
         """Numbers of the labels: those that grow out of a label stand just before it, in the order
@@ -153,21 +160,24 @@ class Automaton:
         n = len(word)
         reached = [-1] * (n + 1)
         before = [0] * (n + 1)
-        spelled, missing = self.spelled, self.missing
+        missing, longest = self.missing, self.longest
         starts: list[int] = []
         ends: list[int] = []
         for at in range(n):
             if at:
                 starts, ends = missing[reached[at]]
-            for end in range(at + 1, n + 1):
-                label = spelled.get(word[at:end])
-                if label is None:
+            node, end = self.spelled, at
+            for byte in word[at : at + longest]:
+                node = node.get(byte)
+                if node is None:
                     break
-                if label >= 0 and reached[end] < 0:
+                end += 1
+                if LABEL in node and reached[end] < 0:
+                    label = node[LABEL]
                     i = bisect_right(starts, label)
                     if i == 0 or ends[i - 1] < label:
                         reached[end], before[end] = label, at
-            if reached[at + 1] < 0 and word[at : at + 1] not in spelled:
+            if end == at:
                 raise ValueError("the vocabulary lacks a byte of the text")
         ids = []
         while n:
@@ -200,6 +210,7 @@ class Codec:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.split = regex.compile("|".join(map(regex.escape, longest_first))) if added else None
         self.words = regex.compile(WORDS)
+        self.ascii_words = re.compile(ASCII_WORDS, re.ASCII)
         self.cache: dict[str, list[int]] = {}
 
     def word_ids(self, word: str) -> list[int]:
@@ -230,9 +241,10 @@ class Codec:
 
     def _split(self, text: str, at: int, end: int) -> Iterable[str]:
         """The words between two places; those of a long stretch one by one."""
+        pattern = self.ascii_words if text.isascii() else self.words
         if end - at <= BLOCK_LETTERS:
-            return self.words.findall(text, at, end)
-        return (found.group() for found in self.words.finditer(text, at, end))
+            return pattern.findall(text, at, end)
+        return (found.group() for found in pattern.finditer(text, at, end))
 
     def encode(self, text: str) -> list[int]:
         return [i for block in self.blocks(text) for i in block]
