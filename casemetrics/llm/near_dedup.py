@@ -37,6 +37,8 @@ BAND_ROWS = 5
 SHINGLE_WORDS = 5
 MIN_PERCENT = 85
 BLOCK_BYTES = 1 << 20
+#: Bytes of rows that pass to a Python worker at once; no more than a block, which it works on as one.
+BATCH_BYTES = BLOCK_BYTES
 MORE_LEADERS = 16
 PARITY_WORDS = 32
 
@@ -120,7 +122,7 @@ def signatures(docs: DataFrame, bands: int, band_rows: int, shingle_words: int)
                     names=["_key", "doc_id", "n_shingles", "s1", "s2", "bands"],
                 )
 
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, BATCH_BYTES)
     schema = "_key long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
     return docs.select("_key", F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -144,7 +146,7 @@ def shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
                     names=["_key", "shingles", "parity"],
                 )
 
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, BATCH_BYTES)
     return docs.select("_key", "text").mapInArrow(run, "_key long, shingles array<long>, parity array<long>")
 
 
