@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemetrics.llm.common import blocks, keyed, ship, stored, utf8
@@ -40,6 +40,8 @@ BLOCK_BYTES = 1 << 20
 #: Bytes of rows that pass to a Python worker at once; no more than a block, which it works on as one.
 BATCH_BYTES = BLOCK_BYTES
 MORE_LEADERS = 16
+#: Members of a group that meet its leaders in one task; larger groups are dealt to several.
+PART_ROWS = 512
 PARITY_WORDS = 32
 
 
@@ -169,6 +171,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
     return both.filter(F.lit(100) * F.col("_shared") >= F.lit(min_percent) * union).select("a", "b")
 
 
+def _split(n: str) -> Column:
+    """Into how many parts a group of so many members is dealt."""
+    return F.ceil(F.col(n) / PART_ROWS).cast("int").alias("split")
+
+
+def _meet(members: DataFrame, named: DataFrame) -> DataFrame:
+    """Members with the rows named for their group; members are dealt to the parts of the group by
+    their key, and the few named rows stand in every part."""
+    own = members.withColumn("_part", F.pmod(F.hash("key"), "split"))
+    every = named.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_split") - 1))).drop("_split")
+    return own.join(every, ["group", "_part"]).drop("_part")
+
+
 def _pairs(live: DataFrame, leaders: DataFrame, min_percent: int) -> DataFrame:
     """Each member with each leader of its group that lies in another component and can be near enough.
 
@@ -177,7 +192,7 @@ def _pairs(live: DataFrame, leaders: DataFrame, min_percent: int) -> DataFrame:
     The first element that linked sets share, in the order of the groups, leaves enough behind it in
     both; a pair is only met in groups where that holds.
     """
-    columns = ["key", "component", "size", *[c for c in ("parity", "place") if c in leaders.columns]]
+    columns = ["key", "component", "size", "split", *[c for c in ("parity", "place") if c in leaders.columns]]
     named = leaders.select("group", *[F.col(c).alias(f"_{c}") for c in columns])
     both = F.col("size") + F.col("_size")
     near = F.least("size", "_size") * 100 >= F.greatest("size", "_size") * min_percent
@@ -189,14 +204,14 @@ def _pairs(live: DataFrame, leaders: DataFrame, min_percent: int) -> DataFrame:
             F.zip_with("parity", "_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
         )
         near = near & (unlike * (100 + min_percent) <= both * (100 - min_percent))
-    met = live.join(named, "group").filter((F.col("component") != F.col("_component")) & near)
+    met = _meet(live, named).filter((F.col("component") != F.col("_component")) & near)
     return met.select(F.greatest("key", "_key").alias("a"), F.least("key", "_key").alias("b")).distinct()
 
 
 def _leaders(live: DataFrame, parts: int) -> DataFrame:
     """The most central member of each of the parts that a group is dealt to by hash."""
     part = F.pmod(F.xxhash64("key", F.lit(parts)), F.lit(parts)).alias("part")
-    names = ["key", "component", "size", *[c for c in ("place", "parity") if c in live.columns]]
+    names = ["key", "component", "size", "split", *[c for c in ("place", "parity") if c in live.columns]]
     best = F.min(F.struct((-F.col("central")).alias("_far"), *names))
     return live.groupBy("group", part).agg(best.alias("l")).select("group", *[f"l.{c}" for c in names])
 
@@ -208,8 +223,10 @@ def _with_components(members: DataFrame, grouped: DataFrame) -> DataFrame:
 
 def _undecided(members: DataFrame) -> DataFrame:
     """Members of groups that hold several components."""
-    ends = members.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    return members.join(ends.filter("x <> y").select("group"), "group")
+    ends = members.groupBy("group", F.col("split").alias("_split")).agg(
+        F.min("component").alias("x"), F.max("component").alias("y")
+    )
+    return _meet(members, ends.filter("x <> y").select("group", "_split"))
 
 
 def _rare_groups(members: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
@@ -222,9 +239,9 @@ def _rare_groups(members: DataFrame, sets: DataFrame, min_percent: int) -> DataF
     sizes = members.select("key", "size", "component", "central").distinct()
     sizes = sizes.join(sets.select(F.col("_key").alias("key"), "parity"), "key")
     needed = F.floor((F.col("size") * min_percent + 99) / 100)
-    ranked = held.join(often, "group").join(sizes, "key").withColumn("_rank", rank)
+    ranked = held.join(often.withColumn("split", _split("n")), "group").join(sizes, "key").withColumn("_rank", rank)
     return ranked.filter(F.col("_rank") <= F.col("size") - needed + 1).select(
-        "group", "key", "size", "component", "central", F.col("_rank").alias("place"), "parity"
+        "group", "key", "size", "component", "central", "split", F.col("_rank").alias("place"), "parity"
     )
 
 
@@ -251,7 +268,7 @@ def near_duplicates(
     several = banded.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
     live = banded.join(several, "group")
     central = live.groupBy("key").agg(F.sum("n").alias("central"))
-    live = stored(live.drop("n").join(central, "key"))
+    live = stored(live.withColumn("split", _split("n")).drop("n").join(central, "key"))
     involved = live.select(F.col("key").alias("_key")).distinct()
     if fits_broadcast(involved):
         involved = F.broadcast(involved)

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from casemetrics.llm import near_dedup
 from casemetrics.llm.common import table
 from casemetrics.llm.near_dedup import _parity, near_duplicates, super_minhash
 from casemetrics.llm.queries import QUERIES
@@ -66,7 +67,9 @@ def test_against_brute_force(spark, seed):
     assert sorted(got) == sorted(brute_force(rows))
 
 
-def test_chain_whose_ends_differ_and_mutual_strangers(spark):
+@pytest.mark.parametrize("part_rows", [near_dedup.PART_ROWS, 3])
+def test_chain_whose_ends_differ_and_mutual_strangers(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(near_dedup, "PART_ROWS", part_rows)
     words = [f"w{i}" for i in range(200)]
     chain = []
     for i in range(12):
