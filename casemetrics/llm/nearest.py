@@ -138,29 +138,33 @@ def nearest(
     def best(queries_: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(queries_) or not len(found):
             return pd.DataFrame({"asked": [], "vec_id": [], "score": []})
-        found = found.sort_values("id")
         y, ids = np.stack(found["v"].to_numpy()), found["id"].to_numpy()
-        out = []
+        columns, longest_here = np.ascontiguousarray(y.T), np.sqrt((y**2).sum(axis=1).max())
+        most, out = min(k + 1, len(ids)), []
         for first in range(0, len(queries_), 512):
             part = queries_.iloc[first : first + 512]
-            score = np.stack(part["v"].to_numpy()) @ y.T
-            most = min(k + 1, len(ids))
-            # all that could tie with the last one stay
-            limit = np.partition(score, len(ids) - most, axis=1)[:, len(ids) - most]
-            q, c = np.nonzero(score >= limit[:, None] - 1e-9)
-            out.append(pd.DataFrame({"asked": part["id"].to_numpy()[q], "vec_id": ids[c], "score": score[q, c]}))
+            x = np.stack(part["v"].to_numpy())
+            rough = x @ y.T
+            limit = np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most]
+            # more than two products can differ from their exact sums, so that all possible ties stay
+            slack = 4 * y.shape[1] * np.finfo(float).eps * longest_here * np.sqrt((x**2).sum(axis=1))
+            q, c = np.nonzero(rough >= (limit - slack)[:, None])
+            score = np.zeros(len(q))
+            for own, theirs in zip(np.ascontiguousarray(x.T), columns, strict=True):
+                score += own[q] * theirs[c]  # one sum in one order, so equal vectors score alike
+            order = np.lexsort((ids[c], -score, q))
+            q, c, score = q[order], c[order], score[order]
+            kept = np.arange(len(q)) - np.searchsorted(q, q) < most
+            asked_ids = part["id"].to_numpy()[q[kept]]
+            out.append(pd.DataFrame({"asked": asked_ids, "vec_id": ids[c[kept]], "score": score[kept]}))
         return pd.concat(out)
 
     keys = ["bucket", "a", "b"]
     candidates = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "asked long, vec_id long, score double")
-    candidates = candidates.groupBy("asked", "vec_id").agg(F.max("score").alias("near"))
-    rough = Window.partitionBy("asked").orderBy(F.desc("near"), "vec_id")
-    some = candidates.withColumn("_n", F.row_number().over(rough)).filter(F.col("_n") <= k + 12).select("asked", "vec_id")
-    own = firsts.withColumnRenamed("v", "q")
-    exact = some.join(own, "asked").join(rows, "vec_id")
-    # one sum in one order, so equal vectors score alike
-    score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = stored(exact.select("asked", "vec_id", score.alias("score")))
+    # a candidate found in several tables has the same score in each, so a dense rank counts it once
+    by_score = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    some = candidates.withColumn("_n", F.dense_rank().over(by_score)).filter(F.col("_n") <= k + 1)
+    scored = stored(some.select("asked", "vec_id", "score").distinct())
     members = asked.join(once, ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "asked")
     answers = members.join(scored, "asked").filter("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -122,3 +122,13 @@ def test_ties_copies_and_rows_that_take_no_part(spark):
     assert list(got[got.query_id == 320].vec_id) == [340]
     assert set(got.query_id) == {0, 20, 40, 100, 320, 340}
     assert nearest(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_many_different_vectors_tied_to_rounding(spark):
+    rows = [(0, [0.1, 0.0, 0.3])] + [(90 - i, [0.1, float(i % 30) / 64, 0.3 if i < 30 else 0.3 - i * 1e-9]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(frame, F.col("vec_id") == 0, part_rows=7, probes=81, width=50.0).orderBy("rank").collect()
+    ids, vectors = zip(*rows)
+    want = exact(np.array(ids), np.array(vectors), 20)[0]
+    assert [(r.vec_id, r.score) for r in got] == want
+    assert [r.vec_id for r in got] == list(range(61, 81))
