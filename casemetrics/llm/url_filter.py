@@ -1,7 +1,7 @@
 """URL filters by a cascade of Bloom filters that is exact over the corpus's own keys.
 
 A rule is a host and the start of a path, like ``example.net/en/``; it fits its host and all
-subdomains. A url's keys are its host's endings with the path starts of the lengths that rules have.
+subdomains. A url's keys are its host's endings and its path's starts of the lengths that rules have.
 The distinct keys of all urls are the universe. The first level of a cascade encodes the listed keys,
 the second the keys of the universe that pass the first without being listed, the third the listed
 keys that pass the second, and so on until a level lets nothing false through. Every key of the
@@ -40,12 +40,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(lowered, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def keys(host: Column, path: Column, lengths: Iterable[int]) -> Column:
-    """All keys under which a rule could fit: endings of the host times starts of the path."""
-    labels = F.split(host, r"\.", -1)
-    endings = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+def keys(host: Column, path: Column, lengths: Iterable[int], labels: Iterable[int]) -> Column:
+    """All keys under which a rule could fit: the endings of the host with as many labels as rules
+    have, times the starts of the path of their lengths."""
+    present = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+    endings = F.array(*[F.when(present >= n, F.substring_index(host, ".", -n)) for n in sorted(labels)])
     starts = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(lengths)])
     whole = F.flatten(F.transform(endings, lambda e: F.transform(starts, lambda s: F.concat(e, s))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_compact(whole))
@@ -84,7 +83,7 @@ def cascade(universe: DataFrame, listed: list[str], max_bits: int = MAX_BITS) ->
     """Levels that decide every ``key`` of the universe exactly."""
     spark = universe.sparkSession
     n = max(1, len(listed))
-    universe = stored(universe.select("key").distinct())
+    universe = universe.select("key").distinct()
     present = F.col("key").isin(listed) if len(listed) <= 1000 else None
     names = spark.createDataFrame([(x,) for x in listed], "key string")
     if present is None:
@@ -122,10 +121,11 @@ def judge(pages: DataFrame, block: Iterable[str], allow: Iterable[str], max_bits
     block = sorted(set(block))
     allow = sorted(set(allow) - set(block))
     lengths = {len(rule) - rule.index("/") for rule in [*block, *allow]}
+    labels = {rule[: rule.index("/")].count(".") + 1 for rule in [*block, *allow]}
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    offered = split.withColumn("_keys", keys(F.col("host"), F.col("path"), lengths))
-    universe = offered.select(F.explode("_keys").alias("key")).distinct()
+    offered = split.withColumn("_keys", keys(F.col("host"), F.col("path"), lengths, labels))
+    universe = stored(offered.select(F.explode("_keys").alias("key")).distinct())
     blocked, allowed = cascade(universe, block, max_bits), cascade(universe, allow, max_bits)
 
     def longest(levels: list[dict]) -> Column:
