@@ -7,7 +7,7 @@ import pytest
 
 from casemetrics.plans.root_cause_tags import root_cause_tags
 from casemetrics.plans.views import open_case_metrics, resolved_case_metrics
-from casemetrics.sources import live_view, publish_table, publish_view, read_tables
+from casemetrics.sources import live_view, publish_changes, publish_table, publish_view, read_tables
 from casemetrics.sources.schemas import SCHEMAS
 from tests.builders import OPTIONS, PEOPLE, at, frame, tables
 
@@ -53,6 +53,58 @@ def test_frames_with_stored_parts_are_no_session_view(spark, tmp_path):
     assert publish_view(kept, "kept").columns == df.columns
 
 
+def files(folder):
+    return {str(f): f.parent.name for f in folder.rglob("*.parquet")}
+
+
+def test_only_days_that_differ_are_written(spark, tmp_path):
+    path, schema = tmp_path / "a table", "id long, day date, note string, more string"
+    first, second, third = (at(f"2019-01-0{d} 00:00:00").date() for d in (2, 3, 4))
+    rows = [(1, first, "a", None), (2, second, "b", None), (3, None, "c", "d"), (3, None, "c", "d"), (4, third, "e", None)]
+
+    def publish(rows):
+        before = files(path)
+        got = publish_changes(spark.createDataFrame(rows, schema), str(path), "day")
+        assert sorted(map(tuple, got.select("id", "day", "note", "more").collect()), key=str) == sorted(rows, key=str)
+        after = files(path)
+        return {after[f] for f in after.keys() - before.keys()}, {before[f] for f in before.keys() - after.keys()}
+
+    null = "day=__HIVE_DEFAULT_PARTITION__"
+    publish([])
+    assert publish(rows)[0] == {"day=2019-01-02", "day=2019-01-03", "day=2019-01-04", null}
+    assert publish(rows[::-1]) == (set(), set())
+    rows[1] = (2, second, None, "b")  # the value moves to the next column
+    assert publish(rows) == ({"day=2019-01-03"}, {"day=2019-01-03"})
+    del rows[2]  # one of two equal rows
+    assert publish(rows) == ({null}, {null})
+    del rows[0]  # the last row of a day
+    assert publish(rows) == (set(), {"day=2019-01-02"})
+    rows = [r for r in rows if r[1]] + [(5, at("2019-01-05 00:00:00").date(), "f", "g")]
+    assert publish(rows) == ({"day=2019-01-05"}, {null})
+
+
+def test_resolved_view_rewrites_the_changed_days(spark, tmp_path):
+    def resolved(case, day, **more):
+        done = {"status": "Resolved", "resolved_date": at(f"{day} 10:00:00"), "resolved_by": "ann"}
+        return {**OPEN_CASE, "case_id": case, **done, **more}
+
+    def view(cases):
+        return resolved_case_metrics(tables(spark, tickets=cases, groups=[GROUP]), PEOPLE, OPTIONS)
+
+    cases = [resolved("c1", "2019-03-06"), resolved("c2", "2019-03-07"), resolved("c3", "2019-03-05")]
+    path = tmp_path / "resolved"
+    publish_table(view(cases), str(path), "resolved_date")
+    before = files(path)
+    assert len(before) == 3
+    cases[2] = resolved("c3", "2019-03-05", requester_login="zoe")
+    got = publish_changes(view(cases), str(path), "resolved_date")
+    after = files(path)
+    assert {after[f] for f in after.keys() - before.keys()} == {"resolved_date=2019-03-05"}
+    whole = publish_table(view(cases), str(tmp_path / "whole"), "resolved_date")
+    assert got.schema == whole.schema
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+
+
 def mark(case, text, time="2019-01-02 11:00:00", **more):
     return {"case_id": case, "type": 261, "to_string": text, "modified_date": time and at(time), "create_day": DAY, **more}
 
