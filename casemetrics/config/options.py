@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casemetrics.operators.key_filter import KEY_FILTER_WORDS
 from casemetrics.operators.percentiles import HOT_GROUP_ROWS
-from casemetrics.operators.sizing import HOT_KEY_ROWS
+from casemetrics.operators.sizing import HOT_KEY_ROWS, PLAN_BROADCAST_BYTES, Budget
 from casemetrics.config import fixed_values as V
 from casemetrics.config.values import RuleValues
 
@@ -36,6 +36,8 @@ class Options:
     Cut-offs by time then also cut by day, which prunes a trail stored by ``create_day``.
     ``key_filter_words`` bounds the filter of case ids that spares the trail of other cases; 0 is off.
     ``rule_values`` take the place of fixed values in the rules.
+    ``broadcast_rows`` and ``broadcast_bytes`` bound a side that is broadcast, ``plan_broadcast_bytes``
+    all of a plan; ``hot_rows`` are the rows from which a key is spread over several tasks.
     """
 
     dates: dict[str, str] = field(default_factory=_dates)
@@ -43,11 +45,18 @@ class Options:
     as_of: dt.datetime | None = None
     source_zone: str = "UTC"
     hot_rows: int = HOT_KEY_ROWS
+    broadcast_rows: int | None = None
+    broadcast_bytes: int | None = None
+    plan_broadcast_bytes: int = PLAN_BROADCAST_BYTES
     hot_group_rows: int = HOT_GROUP_ROWS
     created_on_day: bool = False
     key_filter_words: int = KEY_FILTER_WORDS
     rule_values: RuleValues = field(default_factory=RuleValues)
 
+    def budget(self) -> Budget:
+        """Limits of one plan, with nothing booked."""
+        return Budget(self.broadcast_rows, self.broadcast_bytes, self.plan_broadcast_bytes, self.hot_rows)
+
     def date(self, name: str) -> Column:
         return F.lit(self.dates[name]).cast("date")
 

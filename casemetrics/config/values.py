@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from casemetrics.config import fixed_values
+from casemetrics.operators.sizing import within
 
 Row = tuple[str, str | None, str | None]
 
@@ -84,16 +85,18 @@ V = _Values()
 
 
 def under_options(build: Callable) -> Callable:
-    """Put the values of the options among a function's arguments in force while it builds."""
+    """Put the values of the options among a function's arguments in force while it builds, and the
+    budget that its joins share; functions it calls join the same budget."""
 
     @functools.wraps(build)
     def run(*args, **named):
-        options = next((a for a in [*args, *named.values()] if hasattr(a, "rule_values")), None)
+        options = next((a for a in [*args, *named.values()] if isinstance(getattr(a, "rule_values", None), RuleValues)), None)
         if options is None:
             return build(*args, **named)
         token = _IN_FORCE.set(options.rule_values.values)
         try:
-            return build(*args, **named)
+            with within(options.budget()):
+                return build(*args, **named)
         finally:
             _IN_FORCE.reset(token)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemetrics.operators.latest import latest_with_ties
-from casemetrics.operators.sizing import HOT_KEY_ROWS, lookup_join
+from casemetrics.operators.sizing import HOT_KEY_ROWS, Size, lookup_join
 
 LEVELS = range(2, 10)
 
@@ -51,7 +51,7 @@ def join_person(
     prefix: str,
     columns: Sequence[str],
     where: Column | None = None,
-    fits: bool | None = None,
+    fits: bool | Size | None = None,
     hot_source: DataFrame | None = None,
 ) -> DataFrame:
     """Left join the person behind ``login``, any case, as ``prefix_<column>``.

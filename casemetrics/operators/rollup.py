@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casemetrics.functions.text import number_mark
 from casemetrics.operators.latest import latest_in_one_pass
-from casemetrics.operators.sizing import lookup_join
+from casemetrics.operators.sizing import Size, lookup_join
 from casemetrics.config.options import Options
 from casemetrics.config.values import V, under_options
 
@@ -144,7 +144,7 @@ def _reopened_by_system() -> Column:
 
 @under_options
 def routing_events(
-    audit: DataFrame, groups: DataFrame, options: Options, fits: bool | None = None
+    audit: DataFrame, groups: DataFrame, options: Options, fits: bool | Size | None = None
 ) -> DataFrame:
     """Routings into a group of the benefits process, the automation queue left out."""
     events = audit.filter(_is_routing(options)).select(
@@ -160,7 +160,7 @@ def routing_events(
 
 @under_options
 def reopening_events(
-    audit: DataFrame, groups: DataFrame, options: Options, fits: bool | None = None
+    audit: DataFrame, groups: DataFrame, options: Options, fits: bool | Size | None = None
 ) -> DataFrame:
     """Reopenings while the case lay with a group of the exits process."""
     events = audit.filter(_is_reopening(options)).select(
@@ -191,7 +191,7 @@ def groups_by_kind(groups: DataFrame) -> DataFrame:
 
 @under_options
 def last_events(
-    audit: DataFrame, groups: DataFrame, options: Options, fits: bool | None = None
+    audit: DataFrame, groups: DataFrame, options: Options, fits: bool | Size | None = None
 ) -> DataFrame:
     """All events of each case's last routing time and of its last reopening time.
 
@@ -242,7 +242,7 @@ def _history_measures(scope: Column, letter: Column) -> Measures:
 
 @under_options
 def resolved_history(
-    audit: DataFrame, groups: DataFrame, options: Options, fits: bool | None = None
+    audit: DataFrame, groups: DataFrame, options: Options, fits: bool | Size | None = None
 ) -> DataFrame:
     """What the resolved view asks of the trail, in one pass: roll-up, correspondence, quicklink
     text, last reopenings and last routing.

@@ -1,14 +1,18 @@
 """Size checks, stored intermediates and skew-proof lookups.
 
 A lookup side is broadcast only after its rows and bytes were counted. A side beyond the limit is
-joined by shuffle, with the rows of hot keys and of null keys spread over several tasks.
+joined by shuffle, with the rows of hot keys and of null keys spread over several tasks. The joins of
+one plan share a budget: each broadcast is booked, as an executor holds all of them at once.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
@@ -18,10 +22,81 @@ from pyspark.sql import types as T
 
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+#: Bytes of all sides that the joins of one plan broadcast.
+PLAN_BROADCAST_BYTES = 4 * MAX_BROADCAST_BYTES
 HOT_KEY_ROWS = 1_000_000
 SALTS = 64
 
 
+@dataclass(frozen=True)
+class Size:
+    """Counted rows and value bytes of a side; true if one broadcast of it is within the limits."""
+
+    rows: int
+    bytes: int
+
+    def fits(self, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+        """Limits not named are those of the budget in force, or else of the module."""
+        budget = _BUDGET.get() or Budget()
+        limits = [(max_rows, budget.max_rows, MAX_BROADCAST_ROWS), (max_bytes, budget.max_bytes, MAX_BROADCAST_BYTES)]
+        most_rows, most_bytes = (next(v for v in given if v is not None) for given in limits)
+        return self.rows <= most_rows and self.bytes <= most_bytes
+
+    def __bool__(self) -> bool:
+        return self.fits()
+
+
+@dataclass
+class Budget:
+    """Limits of the joins of one plan, and the sizes of the broadcasts granted so far.
+
+    A side is booked once for every join that uses it, since each join builds a table of its own.
+    Joins are served in the order in which the plan is built; what finds no room joins by shuffle.
+    ``max_rows`` and ``max_bytes`` bound a single side, by default as the module says.
+    """
+
+    max_rows: int | None = None
+    max_bytes: int | None = None
+    plan_bytes: int = PLAN_BROADCAST_BYTES
+    hot_rows: int = HOT_KEY_ROWS
+    booked: list[Size] = field(default_factory=list)
+
+    def book(self, size: Size) -> bool:
+        room = self.plan_bytes - sum(s.bytes for s in self.booked)
+        if not size or size.bytes > room:
+            return False
+        self.booked.append(size)
+        return True
+
+
+_BUDGET: ContextVar[Budget | None] = ContextVar("budget", default=None)
+
+
+@contextmanager
+def within(budget: Budget) -> Iterator[Budget]:
+    """Put a budget in force for the joins built inside; one that is in force already stays."""
+    given = _BUDGET.get()
+    if given is not None:
+        yield given
+        return
+    token = _BUDGET.set(budget)
+    try:
+        yield budget
+    finally:
+        _BUDGET.reset(token)
+
+
+def _hot_rows(hot_rows: int | None) -> int:
+    budget = _BUDGET.get()
+    return hot_rows or (budget.hot_rows if budget else HOT_KEY_ROWS)
+
+
+def may_broadcast(fits: bool | Size) -> bool:
+    """Whether a side may be broadcast once more; a counted size is booked by the plan in force."""
+    budget = _BUDGET.get()
+    return bool(fits) if budget is None or not isinstance(fits, Size) else budget.book(fits)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only a local session may fall back to its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -68,14 +143,21 @@ def _size_row(df: DataFrame, name: str) -> DataFrame:
     return size.select(F.lit(name).alias("name"), "n", F.coalesce("b", F.lit(0)).alias("b"))
 
 
+def sizes(frames: Mapping[str, DataFrame]) -> dict[str, Size]:
+    """Count rows and value bytes of several frames in one job; two numbers per frame come back."""
+    counted = reduce(DataFrame.unionAll, [_size_row(df, name) for name, df in frames.items()])
+    return {row["name"]: Size(row["n"], row["b"]) for row in counted.collect()}
+
+
+def size_of(df: DataFrame) -> Size:
+    return sizes({"side": df})["side"]
+
+
 def which_fit(
     frames: Mapping[str, DataFrame], max_rows: int | None = None, max_bytes: int | None = None
 ) -> dict[str, bool]:
-    """Count rows and value bytes of several frames in one job; two numbers per frame come back."""
-    max_rows = MAX_BROADCAST_ROWS if max_rows is None else max_rows
-    max_bytes = MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
-    sizes = reduce(DataFrame.unionAll, [_size_row(df, name) for name, df in frames.items()])
-    return {row["name"]: row["n"] <= max_rows and row["b"] <= max_bytes for row in sizes.collect()}
+    """For several frames whether each alone is within the limits."""
+    return {name: size.fits(max_rows, max_bytes) for name, size in sizes(frames).items()}
 
 
 def fits_broadcast(
@@ -123,7 +205,7 @@ def salted_left_join(
     lookup: DataFrame,
     keys: Sequence[str],
     spread_by: Sequence[str],
-    hot_rows: int = HOT_KEY_ROWS,
+    hot_rows: int | None = None,
     salts: int = SALTS,
     hot_source: DataFrame | None = None,
 ) -> DataFrame:
@@ -132,7 +214,7 @@ def salted_left_join(
     ``hot_source`` holds the same key columns closer to a stored table, so that looking for hot
     keys does not run the joins behind ``fact``.
     """
-    hot = hot_key_hashes(fact if hot_source is None else hot_source, keys, hot_rows)
+    hot = hot_key_hashes(fact if hot_source is None else hot_source, keys, _hot_rows(hot_rows))
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     salts_of_key = F.when(is_hot(keys, hot), every_salt).otherwise(F.array(F.lit(0)))
     repeated = lookup.withColumn("_salt", F.explode(salts_of_key))
@@ -141,21 +223,22 @@ def salted_left_join(
 
 
 def left_join_many(
-    cases: DataFrame, many: DataFrame, keys: Sequence[str], hot_rows: int = HOT_KEY_ROWS
+    cases: DataFrame, many: DataFrame, keys: Sequence[str], hot_rows: int | None = None
 ) -> DataFrame:
     """Left join of unique cases to a side that may hold any number of rows per key.
 
     Rows of a hot key stay in the tasks that read them and meet their one case by broadcast; there
-    are at most as many such cases as the rows divided by ``hot_rows``.
+    are at most as many such cases as the rows divided by ``hot_rows``. They are counted like any
+    other side; beyond the limits both sides meet in salted parts.
     """
     keys = list(keys)
-    hot = hot_key_hashes(many, keys, hot_rows)
+    hot = hot_key_hashes(many, keys, _hot_rows(hot_rows))
     if not hot:
         return cases.join(many, keys, "left")
     of_hot_key = is_hot(keys, hot)
     few, large = cases.filter(of_hot_key), many.filter(of_hot_key)
     plain = cases.filter(~of_hot_key).join(many.filter(~of_hot_key), keys, "left")
-    linked = large.join(F.broadcast(few), keys)
+    linked = lookup_join(large, few, keys, how="inner", hot_rows=hot_rows)
     alone = few.join(large.select(*keys).distinct(), keys, "left_anti")
     return plain.unionByName(linked).unionByName(alone, allowMissingColumns=True)
 
@@ -164,25 +247,27 @@ def lookup_join(
     fact: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
-    fits: bool | None = None,
+    fits: bool | Size | None = None,
     how: str = "left",
     spread_by: Sequence[str] | None = None,
     hot_source: DataFrame | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join a lookup on equal key names: broadcast when its counted size allows, else salted.
 
-    ``fits`` passes on a check already made, of this side or of a table it is a part of.
+    ``fits`` passes on a check already made, of this side or of a table it is a part of. A ``Size``
+    is booked by the budget in force, so that all broadcasts of a plan together stay within it.
     ``spread_by`` names the columns that tell rows of one hot key apart; all columns by default.
     ``hot_source``: see ``salted_left_join``.
     """
     keys = list(keys)
-    if fits_broadcast(lookup) if fits is None else fits:
+    if may_broadcast(size_of(lookup) if fits is None else fits):
         return fact.join(F.broadcast(lookup), keys, how)
     spread_by = list(spread_by or fact.columns)
     if how == "left":
-        return salted_left_join(fact, lookup, keys, spread_by, hot_source=hot_source)
+        return salted_left_join(fact, lookup, keys, spread_by, hot_rows, hot_source=hot_source)
     if how == "left_semi":
         lookup = lookup.select(*keys).distinct()
     marked = lookup.withColumn("_found", F.lit(True))
-    found = salted_left_join(fact, marked, keys, spread_by, hot_source=hot_source)
+    found = salted_left_join(fact, marked, keys, spread_by, hot_rows, hot_source=hot_source)
     return found.filter("_found").drop("_found")

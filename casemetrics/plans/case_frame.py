@@ -30,7 +30,7 @@ from casemetrics.operators.employees import employee_view, join_person
 from casemetrics.operators.key_filter import of_keys
 from casemetrics.operators.latest import latest_with_ties
 from casemetrics.operators.rollup import case_history, resolved_history
-from casemetrics.operators.sizing import fits_broadcast, lookup_join, stored
+from casemetrics.operators.sizing import Size, lookup_join, size_of, stored
 from casemetrics.plans import attributes as A
 from casemetrics.plans import sla
 from casemetrics.plans.ttr_percentiles import (
@@ -221,7 +221,7 @@ def with_people(
     profiles: DataFrame,
     people: People,
     options: Options,
-    fits: bool,
+    fits: bool | Size,
 ) -> DataFrame:
     """Requester, assignee, resolver and, where a rule asks, submitter."""
     staff = people.is_in(F.col("level2"), "hr_head")
@@ -250,7 +250,7 @@ def with_people(
 
 @under_options
 def concerned_people(
-    concerned: DataFrame, profiles: DataFrame, options: Options, fits: bool
+    concerned: DataFrame, profiles: DataFrame, options: Options, fits: bool | Size
 ) -> DataFrame:
     """Per case the distinct country and line of business of the people it concerns.
 
@@ -373,7 +373,7 @@ def case_frame(
         cases = with_settled_causes(cases, tables, options, resolved)
     if "people" in parts or "concerned" in parts:
         profiles = people_profiles(tables.headcount, people, options)
-        few_people = fits_broadcast(profiles)
+        few_people = size_of(profiles)
     if "people" in parts:
         cases = with_people(cases, tables.tickets, profiles, people, options, few_people)
     if "recent" in parts:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from casemetrics.operators.sizing import AS_OF_BUILD, which_fit
+from casemetrics.operators.sizing import AS_OF_BUILD, Size, sizes
 from casemetrics.sources.schemas import SCHEMAS
 
 MAPPINGS = ["groups", "root_causes", "cti_process", "cti_slas", "default_hubs", "transactions"]
@@ -33,9 +33,9 @@ class CaseTables:
     transactions: DataFrame
 
     @cached_property
-    def fits(self) -> dict[str, bool]:
-        """For each mapping table, whether its counted size allows a broadcast; one job."""
-        return which_fit({name: getattr(self, name) for name in MAPPINGS})
+    def fits(self) -> dict[str, Size]:
+        """For each mapping table its counted size, true where it allows a broadcast; one job."""
+        return sizes({name: getattr(self, name) for name in MAPPINGS})
 
     @classmethod
     def of(cls, **frames: DataFrame) -> CaseTables:

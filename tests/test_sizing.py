@@ -1,11 +1,12 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from casemetrics.operators import sizing as S
 from casemetrics.plans.ttr_percentiles import ttr_percentiles
-from casemetrics.plans.views import resolved_case_metrics
+from casemetrics.plans.views import open_case_metrics, resolved_case_metrics
 from workload import roles
 
 
@@ -101,3 +102,44 @@ def test_no_stored_fact_passes_as_row_objects(spark):
 def test_every_hot_key_is_found(spark):
     df = spark.range(3_000 * 20).selectExpr("id % 3000 as k", "id")
     assert len(S.hot_key_hashes(df, ["k"], 20)) == 3_000
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
+
+
+def test_a_plan_shares_one_budget(sides):
+    fact, lookup = sides
+    size = S.size_of(lookup)
+    plain = fact.join(lookup, "k", "left")
+
+    def twice(plan_bytes):
+        with S.within(S.Budget(plan_bytes=plan_bytes, hot_rows=100)) as budget:
+            first = S.lookup_join(fact, lookup, ["k"], size)
+            second = S.lookup_join(first.drop("v"), lookup, ["k"], size)
+        return second, budget.booked
+
+    both, booked = twice(2 * size.bytes)
+    assert broadcasts(both) == 2 and booked == [size, size]
+    one, booked = twice(2 * size.bytes - 1)
+    assert broadcasts(one) == 1 and booked == [size]
+    assert rows(S.lookup_join(fact, lookup, ["k"], size)) == rows(plain)
+    assert rows(one) == rows(both)
+
+
+def test_limits_of_the_options_reach_the_views(spark):
+    tables = roles.case_tables(spark, "/root/testdata/sf0.001")
+    plan = open_case_metrics(tables, roles.PEOPLE, roles.OPTIONS)
+    assert broadcasts(plan) > 5
+    few = sum(s.bytes for s in tables.fits.values()) // 2
+    less = open_case_metrics(tables, roles.PEOPLE, replace(roles.OPTIONS, plan_broadcast_bytes=few))
+    assert 0 < broadcasts(less) < broadcasts(plan)
+    none = open_case_metrics(tables, roles.PEOPLE, replace(roles.OPTIONS, broadcast_rows=0, key_filter_words=0))
+    assert broadcasts(none) == 0
+
+
+def test_inner_budgets_join_the_outer_one():
+    outer = S.Budget(max_rows=5)
+    with S.within(outer), S.within(S.Budget(max_rows=50)) as budget:
+        assert budget is outer and S.may_broadcast(S.Size(5, 10)) and not S.may_broadcast(S.Size(6, 10))
+    assert outer.booked == [S.Size(5, 10)] and S.Size(6, 10)

@@ -13,7 +13,7 @@ from casemetrics.operators.rollup import (
     last_reopening,
     last_routing,
 )
-from casemetrics.operators.sizing import fits_broadcast, left_join_many, lookup_join, stored
+from casemetrics.operators.sizing import Budget, left_join_many, lookup_join, size_of, stored, within
 from casemetrics.plans.case_frame import (
     recent_staff,
     with_default_hubs,
@@ -148,6 +148,17 @@ def join_bridge(tables):
     return left_join_many(cases, bridge_logins(tables), ["case_id"])
 
 
+@query(
+    "c7_hot_keys",
+    """SELECT t.case_id, concerning_login FROM tickets AS t LEFT JOIN bridge
+    ON case_id = ticket_case_id AND concerning_login IS NOT NULL AND lower(concerning_login) <> 'none'""",
+    {"bridge": BRIDGE},
+)
+def join_bridge_hot(tables):
+    cases = tables.tickets.select("case_id")
+    return left_join_many(cases, bridge_logins(tables), ["case_id"], hot_rows=3)
+
+
 @query(
     "c8_join_roles",
     """SELECT t.case_id, req.country AS req_country, ass.supervisor AS asg_supervisor,
@@ -169,14 +180,15 @@ def join_roles(tables):
             F.col("reports_to_level7_login").alias("level7"),
         )
     )
-    fits = fits_broadcast(people)
+    fits = size_of(people)
     staff = F.col("level2") == "HRHEAD"
-    cases = join_person(tables.tickets, people, "requester_login", "req", ["country"], None, fits)
-    cases = join_person(
-        cases, people, "assigned_to_individual", "asg", ["supervisor"], staff, fits
-    )
-    cases = join_person(cases, people, "resolved_by", "rsv", ["level6"], staff, fits)
-    cases = join_person(cases, people, "submitted_by", "sub", ["level7"], staff, fits)
+    with within(Budget()):
+        cases = join_person(tables.tickets, people, "requester_login", "req", ["country"], None, fits)
+        cases = join_person(
+            cases, people, "assigned_to_individual", "asg", ["supervisor"], staff, fits
+        )
+        cases = join_person(cases, people, "resolved_by", "rsv", ["level6"], staff, fits)
+        cases = join_person(cases, people, "submitted_by", "sub", ["level7"], staff, fits)
     return cases.select("case_id", "req_country", "asg_supervisor", "rsv_level6", "sub_level7")
 
 

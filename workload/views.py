@@ -16,6 +16,8 @@ from workload.roles import OPTIONS, PEOPLE, case_tables
 
 #: Thresholds so low that the given tables take the ways meant for hot keys and large groups.
 HOT_OPTIONS = replace(OPTIONS, hot_rows=3, hot_group_rows=20)
+#: The same for the lookups, none of which may be broadcast.
+SALTED_OPTIONS = replace(OPTIONS, hot_rows=50, broadcast_rows=0)
 
 
 @query("k1_open_case_metrics", O.view_sql(False), O.frame(False), case_tables)
@@ -79,6 +81,11 @@ def routings_and_reopenings(tables):
     return last_events(tables.audit, tables.groups, OPTIONS)
 
 
+@query("k1_hot_keys", O.view_sql(False), O.frame(False), case_tables)
+def open_cases_salted(tables):
+    return open_case_metrics(tables, PEOPLE, SALTED_OPTIONS)
+
+
 @query("k2_hot_keys", O.view_sql(True), O.frame(True), case_tables)
 def resolved_cases_hot(tables):
     return resolved_case_metrics(tables, PEOPLE, HOT_OPTIONS)
