@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casemetrics.llm.common import ship, stored
 
@@ -37,15 +38,21 @@ PART_ROWS = 4096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the rows that take part, as doubles."""
-    v = F.col("embedding").cast("array<double>")
+    """(vec_id, v) of the rows that take part; single precision stays as narrow as it was given."""
+    v = F.col("embedding")
+    if vectors.schema["embedding"].dataType.elementType != T.FloatType():
+        v = v.cast("array<double>")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kept = vectors.select(F.col("vec_id").cast("long"), v.alias("v")).filter("vec_id is not null and size(v) > 0")
     return kept.filter(F.coalesce(good, F.lit(False)) & F.exists("v", lambda x: x != 0)).distinct()
 
 
+def _matrix(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy()).astype(float)
+
+
 def _norm2(v: Column | str) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
 
 
 class Tables:
@@ -82,7 +89,7 @@ def _bucket_rows(frame: DataFrame, probes: int | None, shape: tuple, longest: fl
         for batch in batches:
             for size, part in batch.groupby(batch["v"].map(len)):
                 made.setdefault(size, Tables(size, tables, projections, width, longest))
-                x = np.stack(part["v"].to_numpy())
+                x = _matrix(part["v"])
                 rest = np.zeros(len(x)) if probes else np.sqrt(np.maximum(longest**2 - (x**2).sum(axis=1), 0))
                 full = np.column_stack([x, rest])
                 if probes:
@@ -95,7 +102,11 @@ def _bucket_rows(frame: DataFrame, probes: int | None, shape: tuple, longest: fl
                         bucket = (key[t, :, p] * 64 + t) * 8192 + size
                         yield pd.DataFrame({"bucket": bucket, "id": part[ids].to_numpy(), "v": part["v"].to_numpy()})
 
-    return frame.select(ids, "v").mapInPandas(run, "bucket long, id long, v array<double>")
+    rows = frame.select(ids, "v")
+    if probes:
+        # a query becomes many rows, so tasks are not joined by the bytes that come in
+        rows = rows.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), ids)
+    return rows.mapInPandas(run, f"bucket long, id long, v {frame.schema['v'].dataType.simpleString()}")
 
 
 def _split(rows: DataFrame, other: DataFrame, own: str, theirs: str, part_rows: int) -> DataFrame:
@@ -138,12 +149,12 @@ def nearest(
     def best(queries_: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(queries_) or not len(found):
             return pd.DataFrame({"asked": [], "vec_id": [], "score": []})
-        y, ids = np.stack(found["v"].to_numpy()), found["id"].to_numpy()
+        y, ids = _matrix(found["v"]), found["id"].to_numpy()
         columns, longest_here = np.ascontiguousarray(y.T), np.sqrt((y**2).sum(axis=1).max())
         most, out = min(k + 1, len(ids)), []
         for first in range(0, len(queries_), 512):
             part = queries_.iloc[first : first + 512]
-            x = np.stack(part["v"].to_numpy())
+            x = _matrix(part["v"])
             rough = x @ y.T
             limit = np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most]
             # more than two products can differ from their exact sums, so that all possible ties stay
