@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,9 @@ CAPACITY = 2048
 END_ID = 0
 SHARD_PIECES = 65_536
 CACHED_WORDS = 1_000_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Words that the library encodes at once; what it returns takes some hundred times their bytes.
+LEARNED_AT_ONCE = 8192
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -53,16 +56,20 @@ class WordTokens:
         self.length = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
 
-    def learn(self, hashes: np.ndarray, parts: list[str]) -> None:
-        if len(self.known) + len(parts) > CACHED_WORDS:
+    def learn(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
+        if len(self.known) + len(hashes) > CACHED_WORDS:
             self.clear()
-        found = self.tokenizer.encode_batch(parts, add_special_tokens=False)
-        ids = [x.ids for x in found]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
+        lengths, flats = [], []
+        for k in range(0, len(hashes), LEARNED_AT_ONCE):
+            spans = zip(starts[k : k + LEARNED_AT_ONCE].tolist(), ends[k : k + LEARNED_AT_ONCE].tolist(), strict=True)
+            found = self.tokenizer.encode_batch([raw[a:b].decode() for a, b in spans], add_special_tokens=False)
+            ids = [x.ids for x in found]
+            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flats.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths[-1].sum())))
+        length, flat = np.concatenate(lengths), np.concatenate(flats)
         first = len(self.ids) + np.cumsum(length) - length
         known = np.concatenate([self.known, hashes])
-        order = np.argsort(known)
+        order = np.argsort(known, kind="stable")  # two sorted runs, which are merged
         self.known = known[order]
         self.first = np.concatenate([self.first, first])[order]
         self.length = np.concatenate([self.length, length])[order]
@@ -78,9 +85,8 @@ class WordTokens:
             if len(self.known) + missing.sum() > CACHED_WORDS:
                 self.clear()
                 missing[:] = True
-            raw = data.tobytes()
             at = where[missing]
-            self.learn(distinct[missing], [raw[a:b].decode() for a, b in zip(starts[at], ends[at], strict=True)])
+            self.learn(distinct[missing], data.tobytes(), starts[at], ends[at])
         place = np.searchsorted(self.known, distinct)[inverse]
         length, first = self.length[place], self.first[place]
         before = np.concatenate([[0], np.cumsum(length)])
@@ -147,7 +153,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, BLOCK_BYTES)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 

@@ -13,7 +13,7 @@ through and are never inputs. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -93,9 +93,28 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+class _Rows(Sequence):
+    """Texts as sparse rows (indices, values) of length one and a constant. Only the indices are kept:
+    the values follow from the ratios, and would take twice the bytes of all indices and more."""
+
+    def __init__(self, found: list[np.ndarray], ratio: np.ndarray):
+        self.found, self.ratio = found, ratio
+        self.sizes = [float(np.sqrt(ratio[i] @ ratio[i])) or 1.0 for i in found]
+
+    def of(self, some: np.ndarray) -> _Rows:
+        return _Rows([self.found[i] for i in some], self.ratio)
+
+    def __len__(self) -> int:
+        return len(self.found)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        index = self.found[i]
+        return np.append(index, FEATURES), np.append(self.ratio[index] / self.sizes[i], 1.0)
+
+
 def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> dict:
     """A model from texts and their ``_label``. What reaches the driver is bounded by the features."""
-    ship(rows.sparkSession)
+    ship(rows.sparkSession, BLOCK_BYTES)
     counted = rows.mapInArrow(_counts, "feature long, n0 long, n1 long")
     counted = counted.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     texts = counted[counted.feature == -1]
@@ -111,20 +130,15 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> dict:
     def fit(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values(["_label", "text"], ignore_index=True, na_position="first")
         labels = sample["_label"].to_numpy()
-        found = [np.unique(x) for x in _each(pa.RecordBatch.from_pandas(sample[["text"]]))]
-        x = []
-        for index in found:
-            value = ratio[index]
-            size = float(np.sqrt(value @ value)) or 1.0
-            x.append((np.append(index, FEATURES), np.append(value / size, 1.0)))
+        x = _Rows([np.unique(x) for x in _each(pa.RecordBatch.from_pandas(sample[["text"]]))], ratio)
         check = np.arange(len(x)) % 5 == 0
         learn = np.flatnonzero(~check) if (~check).sum() > 20 else np.arange(len(x))
-        weights = hinge_weights([x[i] for i in learn], np.where(labels[learn] == 1, 1, -1), FEATURES + 1)
+        weights = hinge_weights(x.of(learn), np.where(labels[learn] == 1, 1, -1), FEATURES + 1)
         # between naive Bayes (equal weights) and the support vector machine
         flat = np.abs(weights[:-1]).mean()
         weights[:-1] = (1 - INTERPOLATION) * flat + INTERPOLATION * weights[:-1]
         test = np.flatnonzero(check) if len(learn) < len(x) else learn
-        margins = np.array([x[i][1] @ weights[x[i][0]] for i in test])
+        margins = np.array([value @ weights[index] for index, value in x.of(test)])
         slope, intercept = calibrated(margins, labels[test])
         return pd.DataFrame([{"weights": weights.tolist(), "slope": slope, "intercept": intercept}])
 
@@ -164,7 +178,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
                 names=[*given, "score", "predicted"],
             )
 
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, BLOCK_BYTES)
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("score double, predicted int").fields])
     return docs.mapInArrow(run, schema)
 
