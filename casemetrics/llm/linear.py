@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from casemetrics.operators.sizing import fits_broadcast
 
 
 def hinge_weights(
-    rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size: int, cost: float = 1.0, epochs: int = 15
+    rows: Sequence[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size: int, cost: float = 1.0, epochs: int = 15
 ) -> np.ndarray:
     """Weights of a support vector machine over sparse rows (indices, values), by dual coordinate
     descent; each row's bound is weighted so that both classes count alike."""
@@ -65,16 +67,21 @@ def held_out(parts: int, part: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, outside: Column) -> DataFrame:
-    """Texts with a label of 0 or 1 that may be learned from, one label a doc_id (the larger)."""
+    """Texts with a label of 0 or 1 that may be learned from, one label a doc_id (the larger).
+
+    ``_pick`` only decides which rows a sample takes: copies of a text under several ids are taken
+    one by one, so that the bound of a sample holds for them too."""
     known = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     if fits_broadcast(known):
         known = F.broadcast(known)
-    return docs.select("doc_id", "text").filter(~outside).join(known, "doc_id").select("text", "_label")
+    kept = docs.select("doc_id", "text").filter(~outside).join(known, "doc_id")
+    return kept.select("text", "_label", F.xxhash64("text", "doc_id").alias("_pick"))
 
 
 def sampled(rows: DataFrame, n: int, most: int) -> DataFrame:
-    """At most about ``most`` of ``n`` rows, chosen by a hash of their text."""
+    """At most about ``most`` of ``n`` rows, chosen by a hash of ``_pick``, or of their text without one."""
     if n <= most:
         return rows
-    place = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(11)), F.lit(1 << 30))
+    pick = F.col("_pick") if "_pick" in rows.columns else F.xxhash64(F.coalesce("text", F.lit("")))
+    place = F.pmod(F.xxhash64(pick, F.lit(11)), F.lit(1 << 30))
     return rows.filter(place < int((1 << 30) * most / n))

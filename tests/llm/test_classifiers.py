@@ -4,9 +4,11 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from casemetrics.llm import quality, toxicity
 from casemetrics.llm.common import table
-from casemetrics.llm.linear import calibrated, hinge_weights, sigmoid
+from casemetrics.llm.linear import calibrated, hinge_weights, sampled, sigmoid, training_rows
 
 FOLDER = "/root/testdata/sf0.1"
 LABELS = "doc_id long, quality int, toxic int"
@@ -92,3 +94,11 @@ def test_hinge_and_calibration():
     slope, intercept = calibrated(x @ w, (y > 0).astype(int))
     p = sigmoid(slope * (x @ w) + intercept)
     assert slope > 0 and abs(p.mean() - 0.5) < 0.1
+
+
+def test_copies_of_one_text_keep_the_bound_of_a_sample(spark):
+    docs = spark.range(6000).selectExpr("id as doc_id", "if(id % 2 = 0, 'one copied text', concat('text ', id)) as text")
+    labels = spark.range(6000).selectExpr("id as doc_id", "cast(id % 3 = 0 as int) as quality")
+    rows = training_rows(docs, labels, "quality", F.lit(False))
+    found = sampled(rows, 6000, 600).groupBy(F.col("text") == "one copied text").count().collect()
+    assert all(220 < r["count"] < 380 for r in found) and len(found) == 2
