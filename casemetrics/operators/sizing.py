@@ -26,6 +26,10 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 PLAN_BROADCAST_BYTES = 4 * MAX_BROADCAST_BYTES
 HOT_KEY_ROWS = 1_000_000
 SALTS = 64
+#: Hot keys that a plan names one by one; more of them are met by a join with their hashes.
+LISTED_KEYS = 2_000
+#: Hot keys that are told apart at all; with more of them, a key is hot from twice as many rows on.
+MOST_HOT_KEYS = MAX_BROADCAST_ROWS
 
 
 @dataclass(frozen=True)
@@ -180,14 +184,42 @@ def hot_key_hashes(
     return sorted(row["_key"] for row in counts.filter(F.col("_n") >= hot_rows).select("_key").collect())
 
 
+def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list[int] | DataFrame:
+    """Hashes of the keys that hold at least ``hot_rows`` rows: a short list, or a frame of ``_key``.
+
+    Neither the plan nor the driver grows with the hot keys. Beyond ``MOST_HOT_KEYS`` the bound on
+    rows is doubled until they fit; a key that is ordinary then holds at most two parts in
+    ``MOST_HOT_KEYS`` of all rows, or fewer than ``hot_rows``.
+    """
+    rows = df.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    counts = rows.select(F.xxhash64(*keys).alias("_key")).groupBy("_key").agg(F.count("*").alias("_n"))
+    hot = stored(counts.filter(F.col("_n") >= hot_rows))
+    listed = hot.select("_key").limit(LISTED_KEYS + 1).collect()
+    if len(listed) <= LISTED_KEYS:
+        return sorted(row["_key"] for row in listed)
+    while hot.count() > MOST_HOT_KEYS:
+        hot_rows *= 2
+        hot = hot.filter(F.col("_n") >= hot_rows)
+    return hot.select("_key")
+
+
 def is_hot(keys: Sequence[str], hot: Sequence[int]) -> Column:
     return F.xxhash64(*keys).isin(list(hot)) if hot else F.lit(False)
 
 
+def with_mark(df: DataFrame, keys: Sequence[str], hot: Sequence[int] | DataFrame) -> DataFrame:
+    """Add ``_hot``, whether a key is hot; rows meet a frame of hashes where they are."""
+    if not isinstance(hot, DataFrame):
+        return df.withColumn("_hot", is_hot(keys, hot))
+    hashes = F.broadcast(hot.select(F.col("_key").alias("_hot_key")))
+    marked = df.join(hashes, F.xxhash64(*[df[k] for k in keys]) == F.col("_hot_key"), "left")
+    return marked.withColumn("_hot", F.col("_hot_key").isNotNull()).drop("_hot_key")
+
+
 def with_salt(
     df: DataFrame,
     keys: Sequence[str],
-    hot: Sequence[int],
+    hot: Sequence[int] | DataFrame,
     spread_by: Sequence[str],
     salts: int = SALTS,
 ) -> DataFrame:
@@ -197,7 +229,8 @@ def with_salt(
     """
     spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     any_null = reduce(or_, [F.col(k).isNull() for k in keys])
-    return df.withColumn("_salt", F.when(any_null | is_hot(keys, hot), spread).otherwise(0))
+    salt = F.when(any_null | F.col("_hot"), spread).otherwise(0)
+    return with_mark(df, keys, hot).withColumn("_salt", salt).drop("_hot")
 
 
 def salted_left_join(
@@ -214,10 +247,10 @@ def salted_left_join(
     ``hot_source`` holds the same key columns closer to a stored table, so that looking for hot
     keys does not run the joins behind ``fact``.
     """
-    hot = hot_key_hashes(fact if hot_source is None else hot_source, keys, _hot_rows(hot_rows))
+    hot = find_hot(fact if hot_source is None else hot_source, keys, _hot_rows(hot_rows))
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    salts_of_key = F.when(is_hot(keys, hot), every_salt).otherwise(F.array(F.lit(0)))
-    repeated = lookup.withColumn("_salt", F.explode(salts_of_key))
+    salts_of_key = F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))
+    repeated = with_mark(lookup, keys, hot).withColumn("_salt", F.explode(salts_of_key)).drop("_hot")
     salted = with_salt(fact, keys, hot, spread_by, salts)
     return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
 
@@ -229,15 +262,18 @@ def left_join_many(
 
     Rows of a hot key stay in the tasks that read them and meet their one case by broadcast; there
     are at most as many such cases as the rows divided by ``hot_rows``. They are counted like any
-    other side; beyond the limits both sides meet in salted parts.
+    other side; beyond the limits both sides meet in salted parts. Where the hot keys are too many
+    to be named in the plan, both sides are stored with their mark, so they are computed once.
     """
     keys = list(keys)
-    hot = hot_key_hashes(many, keys, _hot_rows(hot_rows))
-    if not hot:
+    hot = find_hot(many, keys, _hot_rows(hot_rows))
+    if not isinstance(hot, DataFrame) and not hot:
         return cases.join(many, keys, "left")
-    of_hot_key = is_hot(keys, hot)
-    few, large = cases.filter(of_hot_key), many.filter(of_hot_key)
-    plain = cases.filter(~of_hot_key).join(many.filter(~of_hot_key), keys, "left")
+    cases, many = with_mark(cases, keys, hot), with_mark(many, keys, hot)
+    if isinstance(hot, DataFrame):
+        cases, many = stored(cases), stored(many)
+    few, large = (side.filter("_hot").drop("_hot") for side in (cases, many))
+    plain = cases.filter("not _hot").drop("_hot").join(many.filter("not _hot").drop("_hot"), keys, "left")
     linked = lookup_join(large, few, keys, how="inner", hot_rows=hot_rows)
     alone = few.join(large.select(*keys).distinct(), keys, "left_anti")
     return plain.unionByName(linked).unionByName(alone, allowMissingColumns=True)

@@ -143,3 +143,32 @@ def test_inner_budgets_join_the_outer_one():
     with S.within(outer), S.within(S.Budget(max_rows=50)) as budget:
         assert budget is outer and S.may_broadcast(S.Size(5, 10)) and not S.may_broadcast(S.Size(6, 10))
     assert outer.booked == [S.Size(5, 10)] and S.Size(6, 10)
+
+
+def hot_sides(spark):
+    """5,000 keys of ten rows each and one of 3,000, with rows and cases that meet nothing."""
+    many = spark.range(53_000).selectExpr("if(id < 50000, id % 5000, 7) AS k", "id AS v")
+    many = many.unionAll(spark.sql("SELECT cast(null AS bigint) AS k, cast(1 AS bigint) AS v"))
+    return spark.range(4_000, 6_000).selectExpr("id AS k"), many.unionAll(spark.range(2).selectExpr("9999 AS k", "id AS v"))
+
+
+def test_a_plan_does_not_name_many_hot_keys(spark):
+    cases, many = hot_sides(spark)
+    found = S.left_join_many(cases, many, ["k"], hot_rows=3)
+    assert len(found._jdf.queryExecution().logical().toString()) < 20_000
+    plain = cases.join(many, "k", "left")
+    assert sorted(map(str, found.select("k", "v").collect())) == sorted(map(str, plain.collect()))
+    salted = S.salted_left_join(many, cases.withColumn("w", F.lit(1)), ["k"], ["v"], hot_rows=3, salts=4)
+    assert len(salted._jdf.queryExecution().logical().toString()) < 20_000
+    plain = many.join(cases.withColumn("w", F.lit(1)), "k", "left")
+    assert sorted(map(str, salted.select("k", "v", "w").collect())) == sorted(map(str, plain.collect()))
+
+
+def test_more_hot_keys_than_are_told_apart(spark, monkeypatch):
+    cases, many = hot_sides(spark)
+    monkeypatch.setattr(S, "LISTED_KEYS", 0)
+    monkeypatch.setattr(S, "MOST_HOT_KEYS", 1)
+    assert S.find_hot(many, ["k"], 3).count() == 1
+    found = S.left_join_many(cases, many, ["k"], hot_rows=3)
+    plain = cases.join(many, "k", "left")
+    assert sorted(map(str, found.select("k", "v").collect())) == sorted(map(str, plain.collect()))
