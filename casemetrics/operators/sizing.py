@@ -123,6 +123,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a method from which on HotSpot interprets it forever.
+JIT_BYTES = 8000
+
+
+def compiled(spark: SparkSession) -> None:
+    """Have stages whose generated method would be too long for the JIT run operator by operator.
+
+    The joins and rules of a view fuse into one stage with a method of some 35,000 bytes, which runs
+    interpreted. Taken singly, each operator compiles to short methods. No result depends on it.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_BYTES)
+
+
 #: Marks the first column of a frame with parts that were stored while it was built.
 AS_OF_BUILD = "casemetrics.as_of_build"
 

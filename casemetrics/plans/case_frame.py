@@ -30,7 +30,7 @@ from casemetrics.operators.employees import employee_view, join_person
 from casemetrics.operators.key_filter import of_keys
 from casemetrics.operators.latest import latest_with_ties
 from casemetrics.operators.rollup import case_history, resolved_history
-from casemetrics.operators.sizing import Size, lookup_join, size_of, stored
+from casemetrics.operators.sizing import Size, compiled, lookup_join, size_of, stored
 from casemetrics.plans import attributes as A
 from casemetrics.plans import sla
 from casemetrics.plans.ttr_percentiles import (
@@ -352,6 +352,7 @@ def case_frame(
     parts: Collection[str] = PARTS,
 ) -> DataFrame:
     """Tickets of one view with the named parts joined and settled."""
+    compiled(tables.tickets.sparkSession)
     select = resolved_tickets if resolved else open_tickets
     cases = in_scope(select(tables.tickets, options), tables, options)
     of_view = cases.select("case_id")

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from casemetrics.config.options import Options
 from casemetrics.config.people import People
-from casemetrics.operators.sizing import fits_broadcast
+from casemetrics.operators.sizing import fits_broadcast, stored
 from casemetrics.sources.tables import CaseTables, conform
 
 GROUPS = [
@@ -393,5 +394,26 @@ class _Fits(dict):
         return self[name]
 
 
+class FrameRoles(RoleTables):
+    """Role tables for queries that read the tickets many times: they are derived once, when first
+    asked for, and stored."""
+
+    def __getattr__(self, name: str) -> DataFrame:
+        table = super().__getattr__(name)
+        if name == "tickets":
+            table = stored(table)
+            setattr(self, name, table)
+        return table
+
+
 def case_tables(spark: SparkSession, sf_dir: str) -> CaseTables:
     return CaseTables.of(**{name: role(spark, sf_dir, name) for name in ROLE_SQL})
+
+
+def with_stored_tickets(tables: CaseTables) -> CaseTables:
+    """Tickets are a join of the given tables here, and a view reads them many times."""
+    return replace(tables, tickets=stored(tables.tickets))
+
+
+def view_tables(spark: SparkSession, sf_dir: str) -> CaseTables:
+    return with_stored_tickets(case_tables(spark, sf_dir))

@@ -17,7 +17,7 @@ from casemetrics.plans import sla
 from casemetrics.plans.case_frame import case_frame
 from workload import oracle as O
 from workload.registry import query
-from workload.roles import PEOPLE, WIDE_OPTIONS
+from workload.roles import PEOPLE, WIDE_OPTIONS, FrameRoles
 
 SLA_PARTS = ["times", "targets", "orders", "people", "recent", "history"]
 
@@ -26,7 +26,7 @@ def register(name, resolved, parts, column, build=None, sql=None):
     """The case and one column, distinct, over the frame with the given parts."""
     text = sql or O.view_sql(resolved, [column])
 
-    @query(name, text, O.frame(resolved, WIDE_OPTIONS.scope))
+    @query(name, text, O.frame(resolved, WIDE_OPTIONS.scope), FrameRoles)
     def run(tables):
         frame = case_frame(tables, PEOPLE, WIDE_OPTIONS, resolved, parts)
         if "routing" in parts:

@@ -12,7 +12,7 @@ from casemetrics.plans.views import open_case_metrics, resolved_case_metrics
 from casemetrics.sources import live_view
 from workload import oracle as O
 from workload.registry import query
-from workload.roles import OPTIONS, PEOPLE, case_tables
+from workload.roles import OPTIONS, PEOPLE, case_tables, view_tables, with_stored_tickets
 
 #: Thresholds so low that the given tables take the ways meant for hot keys and large groups.
 HOT_OPTIONS = replace(OPTIONS, hot_rows=3, hot_group_rows=20)
@@ -20,12 +20,12 @@ HOT_OPTIONS = replace(OPTIONS, hot_rows=3, hot_group_rows=20)
 SALTED_OPTIONS = replace(OPTIONS, hot_rows=50, broadcast_rows=0)
 
 
-@query("k1_open_case_metrics", O.view_sql(False), O.frame(False), case_tables)
+@query("k1_open_case_metrics", O.view_sql(False), O.frame(False), view_tables)
 def open_cases(tables):
     return open_case_metrics(tables, PEOPLE, OPTIONS)
 
 
-@query("k2_resolved_case_metrics", O.view_sql(True), O.frame(True), case_tables)
+@query("k2_resolved_case_metrics", O.view_sql(True), O.frame(True), view_tables)
 def resolved_cases(tables):
     return resolved_case_metrics(tables, PEOPLE, OPTIONS)
 
@@ -81,12 +81,12 @@ def routings_and_reopenings(tables):
     return last_events(tables.audit, tables.groups, OPTIONS)
 
 
-@query("k1_hot_keys", O.view_sql(False), O.frame(False), case_tables)
+@query("k1_hot_keys", O.view_sql(False), O.frame(False), view_tables)
 def open_cases_salted(tables):
     return open_case_metrics(tables, PEOPLE, SALTED_OPTIONS)
 
 
-@query("k2_hot_keys", O.view_sql(True), O.frame(True), case_tables)
+@query("k2_hot_keys", O.view_sql(True), O.frame(True), view_tables)
 def resolved_cases_hot(tables):
     return resolved_case_metrics(tables, PEOPLE, HOT_OPTIONS)
 
@@ -108,7 +108,7 @@ def last_events_hot(tables):
     case_tables,
 )
 def live_open_cases(tables):
-    return live_view("open_case_metrics", lambda: open_case_metrics(tables, PEOPLE, OPTIONS)).read()
+    return live_view("open_case_metrics", lambda: open_case_metrics(with_stored_tickets(tables), PEOPLE, OPTIONS)).read()
 
 
 @query("k7_root_cause_tags", "SELECT case_id, root_cause_tag FROM tags", {"tags": O.TAGS})
