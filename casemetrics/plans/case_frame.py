@@ -4,8 +4,13 @@ Order of the joins: first the ones that drop tickets, then lookups on other keys
 ``case_id`` last. The frame therefore ends up partitioned by ``case_id``, and the DISTINCT of the
 views needs no further shuffle.
 
+What group, category, type and item settle on their own is joined once for each combination that
+occurs, not for each ticket: the tickets meet these five mapping tables in a single join.
+
 Every step settles the result columns it can and drops the joined columns that no later step asks
 for. Rows stay narrow in the shuffle, and each step compiles to methods small enough for the JIT.
+A join copies its rows column by column but a struct as a whole, so columns that wait for the end
+travel in one struct.
 """
 
 from __future__ import annotations
@@ -55,6 +60,17 @@ PARTS = (
     "concerned",
 )
 
+CTI = ["category", "type", "item"]
+
+#: Columns that the steps after the tickets' own rules read, and those that the history reads; all others
+#: travel in a struct. Nothing reads the columns without use, which would keep Spark from copying it whole.
+ASKED = """case_id assigned_to_group item closure_code root_cause requester_login submitted_by resolved_by
+    assigned_to_individual create_date resolved_date is_two_stage grp_location grp_process grp_delivery_group
+    grp_defect_scope grp_defect_launch hub_default hub_group""".split()
+ASKED_RESOLVED = ["category", "type", "resolution", "root_cause_details"]
+ASKED_BY_HISTORY = "case_id assigned_to_group root_cause create_date is_two_stage".split()
+WITHOUT_USE = ["create_day", "dw_last_updated", "effective_target"]
+
 GROUP_COLUMNS = {
     "grp_location": "location",
     "grp_days_week": "days_week",
@@ -89,12 +105,15 @@ def resolved_tickets(tickets: DataFrame, options: Options) -> DataFrame:
 
 
 @under_options
-def in_scope(tickets: DataFrame, tables: CaseTables, options: Options) -> DataFrame:
+def in_scope(
+    tickets: DataFrame, tables: CaseTables, options: Options, every: DataFrame | None = None
+) -> DataFrame:
     """Keep tickets of a group with a process in scope, or of a shared group whose category and
     type have one.
 
     The group test alone implies an inner join, so it is made one, with the group's half of the
-    condition on the small side.
+    condition on the small side. ``every`` holds the keys of ``tickets`` or more, by default those of
+    all tickets, and is where hot keys are looked for; so in the functions below.
     """
     scope = options.processes()
     shared = V.SHARED_PROCESS.lower()
@@ -113,7 +132,7 @@ def in_scope(tickets: DataFrame, tables: CaseTables, options: Options) -> DataFr
         F.col("country").alias("cti_country"),
         F.col("global_process").alias("cti_process"),
     )
-    every = tables.tickets
+    every = tables.tickets if every is None else every
     cases = lookup_join(
         tickets, groups, ["assigned_to_group"], tables.fits["groups"], "inner", hot_source=every
     )
@@ -126,15 +145,16 @@ def in_scope(tickets: DataFrame, tables: CaseTables, options: Options) -> DataFr
     )
 
 
-def with_cti_slas(cases: DataFrame, tables: CaseTables) -> DataFrame:
+def with_cti_slas(cases: DataFrame, tables: CaseTables, every: DataFrame | None = None) -> DataFrame:
     """SLA target of category, type and item, as spelled."""
-    keys = ["category", "type", "item"]
-    targets = tables.cti_slas.select(*keys, F.col("sla_target").alias("cti_sla_target"))
-    fits = tables.fits["cti_slas"]
-    return lookup_join(cases, targets, keys, fits, hot_source=tables.tickets)
+    targets = tables.cti_slas.select(*CTI, F.col("sla_target").alias("cti_sla_target"))
+    fits, every = tables.fits["cti_slas"], tables.tickets if every is None else every
+    return lookup_join(cases, targets, CTI, fits, hot_source=every)
 
 
-def with_default_hubs(cases: DataFrame, tables: CaseTables) -> DataFrame:
+def with_default_hubs(
+    cases: DataFrame, tables: CaseTables, every: DataFrame | None = None
+) -> DataFrame:
     """Default hub of category, type, item and group in any case."""
     keys = {"_category": "category", "_type": "type", "_item": "item", "_group": "assigned_to_group"}
     sources = {**keys, "_group": "resolver_group"}
@@ -145,12 +165,15 @@ def with_default_hubs(cases: DataFrame, tables: CaseTables) -> DataFrame:
         F.col("sla_target").alias("hub_sla_target"),
     )
     lowered = {key: F.lower(name) for key, name in keys.items()}
-    fits, every = tables.fits["default_hubs"], tables.tickets.withColumns(lowered)
+    every = (tables.tickets if every is None else every).withColumns(lowered)
+    fits = tables.fits["default_hubs"]
     cases = cases.withColumns(lowered)
     return lookup_join(cases, hubs, list(keys), fits, hot_source=every).drop(*keys)
 
 
-def with_transactions(cases: DataFrame, tables: CaseTables) -> DataFrame:
+def with_transactions(
+    cases: DataFrame, tables: CaseTables, every: DataFrame | None = None
+) -> DataFrame:
     """Transaction type of the group as spelled and category, type and item in any case."""
     keys = {"_category": "category", "_type": "type", "_item": "item"}
     transactions = tables.transactions.select(
@@ -159,11 +182,49 @@ def with_transactions(cases: DataFrame, tables: CaseTables) -> DataFrame:
         F.col("transaction_type").alias("mapped_transaction"),
     )
     lowered = {key: F.lower(name) for key, name in keys.items()}
-    fits, every = tables.fits["transactions"], tables.tickets.withColumns(lowered)
+    every = (tables.tickets if every is None else every).withColumns(lowered)
+    fits = tables.fits["transactions"]
     cases, all_keys = cases.withColumns(lowered), ["assigned_to_group", *keys]
     return lookup_join(cases, transactions, all_keys, fits, hot_source=every).drop(*keys)
 
 
+def packed(cases: DataFrame, name: str, asked: Collection[str]) -> DataFrame:
+    """All columns but the ones asked for as one struct."""
+    others = [c for c in cases.columns if c not in asked]
+    return cases.select(*[c for c in cases.columns if c in asked], F.struct(*others).alias(name))
+
+
+def unpacked(cases: DataFrame, name: str) -> DataFrame:
+    return cases.select(*[c for c in cases.columns if c != name], f"{name}.*")
+
+
+@under_options
+def settled_desks(
+    tickets: DataFrame, tables: CaseTables, options: Options, parts: Collection[str]
+) -> DataFrame:
+    """Combinations of group, category, type and item in scope, with what they settle on their own.
+
+    A combination has a row for every way in which the mapping tables meet it, as each of its tickets
+    would. ``_cti`` holds category, type and item, which may be null and then equal each other.
+    """
+    desks = stored(tickets.select("assigned_to_group", *CTI).distinct())
+    found = in_scope(desks, tables, options, desks)
+    found = found.withColumns({"known_country": A.known_country(), "process": A.process()})
+    found = found.drop("cti_country", "cti_process")
+    if "targets" in parts:
+        found = with_default_hubs(with_cti_slas(found, tables, desks), tables, desks)
+    if "orders" in parts:
+        found = with_transactions(found, tables, desks)
+    return stored(found.withColumn("_cti", F.struct(*CTI)).drop(*CTI))
+
+
+def with_desks(cases: DataFrame, desks: DataFrame, tables: CaseTables) -> DataFrame:
+    """Tickets of the given combinations with their columns; all others are dropped."""
+    keys, cti = ["assigned_to_group", "_cti"], F.struct(*CTI)
+    every = tables.tickets.withColumn("_cti", cti)
+    return lookup_join(cases.withColumn("_cti", cti), desks, keys, how="inner", hot_source=every).drop("_cti")
+
+
 def with_listed_cause(
     cases: DataFrame, tables: CaseTables, column: str, cause: str, group: str | None = None
 ) -> DataFrame:
@@ -354,22 +415,24 @@ def case_frame(
     """Tickets of one view with the named parts joined and settled."""
     compiled(tables.tickets.sparkSession)
     select = resolved_tickets if resolved else open_tickets
-    cases = in_scope(select(tables.tickets, options), tables, options)
-    of_view = cases.select("case_id")
-    settled = {"known_country": A.known_country(), "process": A.process()}
-    cases = cases.withColumns(settled).drop("cti_country", "cti_process")
+    cases = select(tables.tickets, options)
+    cases = with_desks(cases, settled_desks(cases, tables, options, parts), tables)
+    if not {"history", "routing", "concerned"}.isdisjoint(parts):
+        of_view = stored(cases.select("case_id"))
     if "times" in parts:
         cases = with_times(cases, load_time(tables), options).drop("grp_days_week")
     if "targets" in parts:
-        cases = with_default_hubs(with_cti_slas(cases, tables), tables)
         cases = sla.with_targets(cases, resolved)
     if "targets" in parts and "times" in parts:
         cases = sla.with_time_verdict(cases)
     if "orders" in parts:
-        cases = with_transactions(cases, tables)
         cases = cases.withColumn("transaction_type", A.transaction_type(resolved))
         cases = sla.with_support_orders(cases) if resolved else cases
         cases = cases.drop("mapped_transaction")
+    long_way = {"people", "history"} <= set(parts)
+    if long_way:
+        asked = [*ASKED, *ASKED_RESOLVED] if resolved else ASKED
+        cases = packed(cases.drop(*WITHOUT_USE), "_settled", asked)
     if "causes" in parts:
         cases = with_settled_causes(cases, tables, options, resolved)
     if "people" in parts or "concerned" in parts:
@@ -383,6 +446,8 @@ def case_frame(
         cases = sla.with_exemptions(cases, people, options)
     if "percentile" in parts and resolved:
         cases = with_monthly_percentile(cases, tables, options)
+    if long_way:
+        cases = packed(cases, "_joined", ASKED_BY_HISTORY)
     if "history" in parts or "routing" in parts:
         cases = with_history(cases, tables, options, resolved, of_view)
     if "history" in parts and "targets" in parts:
@@ -396,4 +461,6 @@ def case_frame(
         cases = cases.join(concerned, "case_id", "left")
         cases = cases.select("*", F.explode_outer("_concerned").alias("_person"))
         cases = cases.select("*", "_person.*").drop("_concerned", "_person")
+    if long_way:
+        cases = unpacked(unpacked(cases, "_joined"), "_settled")
     return cases
