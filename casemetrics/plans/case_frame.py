@@ -15,7 +15,7 @@ travel in one struct.
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -411,8 +411,12 @@ def case_frame(
     options: Options,
     resolved: bool,
     parts: Collection[str] = PARTS,
+    own: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Tickets of one view with the named parts joined and settled."""
+    """Tickets of one view with the named parts joined and settled.
+
+    ``own`` adds columns over the tickets and their times, written out before rows multiply.
+    """
     compiled(tables.tickets.sparkSession)
     select = resolved_tickets if resolved else open_tickets
     cases = select(tables.tickets, options)
@@ -429,6 +433,7 @@ def case_frame(
         cases = cases.withColumn("transaction_type", A.transaction_type(resolved))
         cases = sla.with_support_orders(cases) if resolved else cases
         cases = cases.drop("mapped_transaction")
+    cases = cases.withColumns(dict(own or {}))
     long_way = {"people", "history"} <= set(parts)
     if long_way:
         asked = [*ASKED, *ASKED_RESOLVED] if resolved else ASKED

@@ -193,12 +193,22 @@ def resolved_columns() -> Named:
     }
 
 
+#: Columns that a ticket settles on its own; they are written out once, before its rows multiply.
+OWN = "create_date resolved_date_time resolved_month resolved_week ttr year_month".split()
+
+
+def _settled_first(columns: Named) -> tuple[Named, Named]:
+    """The ticket's own columns under other names, and the view's columns that take them from there."""
+    own = {f"_own_{name}": columns[name] for name in OWN}
+    return own, {**columns, **{name: F.col(f"_own_{name}") for name in OWN}}
+
+
 @under_options
 def view_frame(
-    tables: CaseTables, people: People, options: Options, resolved: bool
+    tables: CaseTables, people: People, options: Options, resolved: bool, own: Named | None = None
 ) -> DataFrame:
     """The settled frame with the target value, which the root-cause group builds on."""
-    frame = case_frame(tables, people, options, resolved)
+    frame = case_frame(tables, people, options, resolved, own=own)
     return frame.withColumn("sla_taget_value", sla.sla_target_value(resolved))
 
 
@@ -210,12 +220,12 @@ def _view(frame: DataFrame, columns: Named) -> DataFrame:
 @under_options
 def open_case_metrics(tables: CaseTables, people: People, options: Options) -> DataFrame:
     """One row per open case of the processes in scope, 53 columns."""
-    frame = view_frame(tables, people, options, resolved=False)
-    return _view(frame, open_columns(options))
+    own, columns = _settled_first(open_columns(options))
+    return _view(view_frame(tables, people, options, resolved=False, own=own), columns)
 
 
 @under_options
 def resolved_case_metrics(tables: CaseTables, people: People, options: Options) -> DataFrame:
     """One row per resolved case of the processes in scope, 51 columns."""
-    frame = view_frame(tables, people, options, resolved=True)
-    return _view(frame, resolved_columns())
+    own, columns = _settled_first(resolved_columns())
+    return _view(view_frame(tables, people, options, resolved=True, own=own), columns)
