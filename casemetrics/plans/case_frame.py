@@ -415,7 +415,8 @@ def case_frame(
 ) -> DataFrame:
     """Tickets of one view with the named parts joined and settled.
 
-    ``own`` adds columns over the tickets and their times, written out before rows multiply.
+    ``own`` adds columns over the tickets and their times, written out before rows multiply. It marks a
+    view, which reads nearly all columns; those that wait are packed then. Who reads few has the others pruned.
     """
     compiled(tables.tickets.sparkSession)
     select = resolved_tickets if resolved else open_tickets
@@ -434,7 +435,7 @@ def case_frame(
         cases = sla.with_support_orders(cases) if resolved else cases
         cases = cases.drop("mapped_transaction")
     cases = cases.withColumns(dict(own or {}))
-    long_way = {"people", "history"} <= set(parts)
+    long_way = own is not None
     if long_way:
         asked = [*ASKED, *ASKED_RESOLVED] if resolved else ASKED
         cases = packed(cases.drop(*WITHOUT_USE), "_settled", asked)
