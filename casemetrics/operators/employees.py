@@ -53,10 +53,12 @@ def join_person(
     where: Column | None = None,
     fits: bool | Size | None = None,
     hot_source: DataFrame | None = None,
+    spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Left join the person behind ``login``, any case, as ``prefix_<column>``.
 
-    ``hot_source`` is the table that ``login`` comes from, in case the join must spread hot logins.
+    ``hot_source`` is the table that ``login`` comes from, in case the join must spread hot logins;
+    for ``spread_by`` see ``lookup_join``.
     """
     key = f"_{prefix}_login"
     hot = None if hot_source is None else hot_source.select(F.lower(login).alias(key))
@@ -64,4 +66,18 @@ def join_person(
     side = side.select(
         F.col("login").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in columns]
     )
-    return lookup_join(df.withColumn(key, F.lower(login)), side, [key], fits, hot_source=hot).drop(key)
+    df = df.withColumn(key, F.lower(login))
+    return lookup_join(df, side, [key], fits, spread_by=spread_by, hot_source=hot).drop(key)
+
+
+def people_sets(people: DataFrame, name: str, prefix: str, columns: Sequence[str]) -> DataFrame:
+    """Per login the distinct values of these columns as one set ``name``, for a join that must not
+    multiply rows; ``with_each`` writes them out."""
+    values = F.struct(*[F.col(c).alias(f"{prefix}_{c}") for c in columns])
+    return people.groupBy("login").agg(F.collect_set(values).alias(name))
+
+
+def with_each(df: DataFrame, name: str) -> DataFrame:
+    """A row for each entry of the set ``name``, its values as columns; nulls where there is none."""
+    entry = df.select("*", F.explode_outer(name).alias("_entry")).drop(name)
+    return entry.select("*", "_entry.*").drop("_entry")

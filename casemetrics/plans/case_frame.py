@@ -31,7 +31,7 @@ from casemetrics.functions.clock import (
     with_time_to_resolve,
 )
 from casemetrics.functions.text import not_in_or_null
-from casemetrics.operators.employees import employee_view, join_person
+from casemetrics.operators.employees import employee_view, join_person, people_sets, with_each
 from casemetrics.operators.key_filter import of_keys
 from casemetrics.operators.latest import latest_with_ties
 from casemetrics.operators.rollup import case_history, resolved_history
@@ -61,6 +61,7 @@ PARTS = (
 )
 
 CTI = ["category", "type", "item"]
+REQUESTER = ["country", "lob1", "lob2", "level5"]
 
 #: Columns that the steps after the tickets' own rules read, and those that the history reads; all others
 #: travel in a struct. Nothing reads the columns without use, which would keep Spark from copying it whole.
@@ -68,7 +69,9 @@ ASKED = """case_id assigned_to_group item closure_code root_cause requester_logi
     assigned_to_individual create_date resolved_date is_two_stage grp_location grp_process grp_delivery_group
     grp_defect_scope grp_defect_launch hub_default hub_group""".split()
 ASKED_RESOLVED = ["category", "type", "resolution", "root_cause_details"]
-ASKED_BY_HISTORY = "case_id assigned_to_group root_cause create_date is_two_stage".split()
+ASKED_BY_HISTORY = "case_id assigned_to_group root_cause create_date is_two_stage _requester".split()
+#: Narrow columns that tell tickets of one hot key apart, instead of a hash of whole rows at each join.
+SPREAD_BY = ["case_id", "create_date", "submitted_by"]
 WITHOUT_USE = ["create_day", "dw_last_updated", "effective_target"]
 
 GROUP_COLUMNS = {
@@ -188,6 +191,10 @@ def with_transactions(
     return lookup_join(cases, transactions, all_keys, fits, hot_source=every).drop(*keys)
 
 
+def _spread_by(cases: DataFrame) -> list[str] | None:
+    return [c for c in SPREAD_BY if c in cases.columns] or None
+
+
 def packed(cases: DataFrame, name: str, asked: Collection[str]) -> DataFrame:
     """All columns but the ones asked for as one struct."""
     others = [c for c in cases.columns if c not in asked]
@@ -222,7 +229,8 @@ def with_desks(cases: DataFrame, desks: DataFrame, tables: CaseTables) -> DataFr
     """Tickets of the given combinations with their columns; all others are dropped."""
     keys, cti = ["assigned_to_group", "_cti"], F.struct(*CTI)
     every = tables.tickets.withColumn("_cti", cti)
-    return lookup_join(cases.withColumn("_cti", cti), desks, keys, how="inner", hot_source=every).drop("_cti")
+    cases, spread_by = cases.withColumn("_cti", cti), _spread_by(cases)
+    return lookup_join(cases, desks, keys, how="inner", spread_by=spread_by, hot_source=every).drop("_cti")
 
 
 def with_listed_cause(
@@ -236,7 +244,8 @@ def with_listed_cause(
     cases = cases.withColumn("_listed", F.lower(column))
     every = tables.tickets.withColumn("_listed", F.lower(column))
     fits = tables.fits["root_causes"]
-    return lookup_join(cases, listed, ["_listed"], fits, hot_source=every).drop("_listed")
+    spread_by = _spread_by(cases)
+    return lookup_join(cases, listed, ["_listed"], fits, spread_by=spread_by, hot_source=every).drop("_listed")
 
 
 @under_options
@@ -283,16 +292,26 @@ def with_people(
     people: People,
     options: Options,
     fits: bool | Size,
+    in_sets: bool = False,
 ) -> DataFrame:
-    """Requester, assignee, resolver and, where a rule asks, submitter."""
+    """Requester, assignee, resolver and, where a rule asks, submitter.
+
+    A login has a row for each latest snapshot and spelling, and every ticket multiplies by those of its
+    requester, whom only the last columns read. ``in_sets`` leaves them as a set in ``_requester``
+    for ``with_requester``; equal rows become one then.
+    """
     staff = people.is_in(F.col("level2"), "hr_head")
 
     def join(login: str, prefix: str, columns: list[str], where: Column | None) -> DataFrame:
-        return join_person(cases, profiles, login, prefix, columns, where, fits, tickets)
-
-    requester = ["country", "lob1", "lob2", "level5"]
-    cases = join("requester_login", "req", requester, None)
-    cases = sla.with_managed(cases, people)
+        return join_person(cases, profiles, login, prefix, columns, where, fits, tickets, _spread_by(cases))
+
+    if in_sets:
+        key, login = "_req_login", F.lower("requester_login")
+        sets = people_sets(profiles, "_requester", "req", REQUESTER).withColumnRenamed("login", key)
+        cases, every = cases.withColumn(key, login), tickets.select(login.alias(key))
+        cases = lookup_join(cases, sets, [key], fits, spread_by=_spread_by(cases), hot_source=every).drop(key)
+    else:
+        cases = sla.with_managed(join("requester_login", "req", REQUESTER, None), people)
     assignee = ["country", "level5", "level6", "supervisor"]
     cases = join("assigned_to_individual", "asg", assignee, staff)
     cases = join("resolved_by", "rsv", ["country", "level6"], staff)
@@ -309,6 +328,11 @@ def with_people(
     return cases
 
 
+def with_requester(cases: DataFrame, people: People) -> DataFrame:
+    """A row for each profile of the requester that ``with_people`` left in a set."""
+    return sla.with_managed(with_each(cases, "_requester"), people)
+
+
 @under_options
 def concerned_people(
     concerned: DataFrame, profiles: DataFrame, options: Options, fits: bool | Size
@@ -358,11 +382,10 @@ def with_monthly_percentile(cases: DataFrame, tables: CaseTables, options: Optio
     mapped = tables.transactions.select("grouping", F.lit(True).alias("_mapped")).distinct()
     keys = {"grouping": grouping_key(), "resolved_month": month_start("resolved_date")}
     cases, every = cases.withColumns(keys), tables.tickets.withColumns(keys)
-    cases = lookup_join(
-        cases, mapped, ["grouping"], tables.fits["transactions"], hot_source=every
-    )
+    fits, spread_by = tables.fits["transactions"], _spread_by(cases)
+    cases = lookup_join(cases, mapped, ["grouping"], fits, spread_by=spread_by, hot_source=every)
     period = ["assigned_to_group", "resolved_month"]
-    cases = lookup_join(cases, months, period, hot_source=every)
+    cases = lookup_join(cases, months, period, spread_by=spread_by, hot_source=every)
     took_part = F.col("_mapped") & (F.col("resolved_date") >= options.timestamp("percentiles_from"))
     return cases.withColumn("tp90onttr", F.when(took_part, F.col("tp90onttr"))).drop(
         "grouping", "resolved_month", "_mapped"
@@ -416,7 +439,8 @@ def case_frame(
     """Tickets of one view with the named parts joined and settled.
 
     ``own`` adds columns over the tickets and their times, written out before rows multiply. It marks a
-    view, which reads nearly all columns; those that wait are packed then. Who reads few has the others pruned.
+    view, which reads nearly all columns and keeps different rows only; columns that wait are packed then, and
+    requesters travel in sets. Who reads few has the others pruned.
     """
     compiled(tables.tickets.sparkSession)
     select = resolved_tickets if resolved else open_tickets
@@ -445,10 +469,11 @@ def case_frame(
         profiles = people_profiles(tables.headcount, people, options)
         few_people = size_of(profiles)
     if "people" in parts:
-        cases = with_people(cases, tables.tickets, profiles, people, options, few_people)
+        cases = with_people(cases, tables.tickets, profiles, people, options, few_people, long_way)
     if "recent" in parts:
         recent = stored(recent_staff(tables.tickets, options))
-        cases = lookup_join(cases, recent, ["submitted_by"], hot_source=tables.tickets)
+        spread_by = _spread_by(cases)
+        cases = lookup_join(cases, recent, ["submitted_by"], spread_by=spread_by, hot_source=tables.tickets)
         cases = sla.with_exemptions(cases, people, options)
     if "percentile" in parts and resolved:
         cases = with_monthly_percentile(cases, tables, options)
@@ -465,8 +490,9 @@ def case_frame(
         bridge = of_keys(bridge, "case_id", of_view, options.key_filter_words)
         concerned = concerned_people(bridge, profiles, options, few_people)
         cases = cases.join(concerned, "case_id", "left")
-        cases = cases.select("*", F.explode_outer("_concerned").alias("_person"))
-        cases = cases.select("*", "_person.*").drop("_concerned", "_person")
+        cases = with_each(cases, "_concerned")
+    if long_way and "people" in parts:
+        cases = with_requester(cases, people)
     if long_way:
         cases = unpacked(unpacked(cases, "_joined"), "_settled")
     return cases
