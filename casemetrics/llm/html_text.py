@@ -2,15 +2,24 @@
 
 A page is read once by the standard parser. Scripts, styles, forms, menus, headers, footers,
 sidebars, notices, adverts and reader comments are left out by element, role and class. If the page
-marks an article (or main part), its blocks are the text, whole.
+marks an article (or main part), its blocks are the text.
 
-A page that marks none is told apart by its host: the token streams of the host's unmarked pages are
-sorted by their suffixes, as deep as ``MIN_RUN`` tokens; equal groups that hold two different pages
-are repeated runs. The tokens they cover are removed and the unique runs kept. Groups are dealt by
-host and run, so a large host is no single task.
+What markup leaves open is told by the host. Token streams of its pages are grouped by their
+suffixes, as deep as ``MIN_RUN`` tokens; equal suffixes have one fingerprint, so they are not sorted.
+Groups that hold two different pages are repeated runs. They are dealt by host and run, so a large
+host is no single task. Three kinds of stream take part:
 
-The article itself is not cut by such runs, because articles of one host share passages and whole
-copies that belong to the text.
+- Pages that mark no article. The tokens that repeated runs cover are removed and the unique runs
+  kept. A run repeats if another such page holds it, or a marked page beside its article.
+- Blocks beside a marked article. They are left out whatever repeats, and tell about unmarked pages.
+- Layout in a marked article: blocks of a div, section, list or the like, neither in the article
+  directly nor in ``PROSE``, if they are less text than the rest of the article. A block goes if
+  repeated runs cover it whole. A run repeats if two unlike articles hold it as layout, that is
+  articles whose other text shares none of ``SLOTS`` smallest hashes, so near copies do not count. Each
+  article is compared with two of the group that are unlike. Pages without a host are left alone.
+
+Prose is not cut by runs, because articles of one host share passages and whole copies that belong
+to the text.
 
 Null or empty html gives an empty text. Rows of equal html are one page, whatever their page_id: the
 copies of a page do not count as a run that its host repeats. An empty table gives an empty result. Other columns are not read.
@@ -21,16 +30,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemetrics.llm.common import ship, stored
 from casemetrics.llm.text import words
 
 MIN_RUN = 8
+#: Smallest hashes that tell near copies: with half of their runs in common one in 65,536 seems unlike.
+SLOTS = 16
 #: Elements and class words that never hold the main text.
 CHROME = frozenset(
     """head script style noscript template svg math canvas iframe object audio video nav footer aside
@@ -51,10 +64,14 @@ BLOCKS = frozenset(
     h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead
     tr ul""".split()
 )
+#: Elements whose text belongs to the article that holds them.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table caption tbody thead tfoot tr td th dl dt dd".split())
 
 
 #: Where a block stands: in an article, in one that a class of chrome wraps, beside any, in chrome.
 ARTICLE, WRAPPED, BESIDE, LEFT_OUT = range(4)
+#: Kinds of token streams: of a page that marks no article, beside an article, of layout in one.
+UNMARKED, OUTSIDE, LAYOUT = range(3)
 
 
 def _names_chrome(name: str) -> bool:
@@ -72,20 +89,23 @@ class _Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[int, str]] = []
+        #: Blocks as where they stand, whether they are layout, text.
+        self.blocks: list[tuple[int, bool, str]] = []
         self.parts: list[str] = []
         #: Open elements as tag, chrome by element, chrome by class, article.
         self.open: list[tuple[str, bool, bool, bool]] = []
         self.chrome = 0
         #: Chrome by class since the innermost article, or the page, began; and outside of articles.
         self.named = [0]
+        #: Open elements of prose and other blocks since the innermost article, or the page, began.
+        self.prose, self.layout = [0], [0]
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         place = self._place()
         if text and place != LEFT_OUT:
-            self.blocks.append((place, text))
+            self.blocks.append((place, self.layout[-1] > 0 and not self.prose[-1], text))
 
     def _place(self) -> int:
         if self.chrome or self.named[-1]:
@@ -123,8 +143,16 @@ class _Reader(HTMLParser):
         self.open.append((tag, chrome, named, article))
         self.chrome += chrome
         self.named[-1] += named
+        self._count(tag, article, 1)
         if article:
-            self.named.append(0)
+            for counts in (self.named, self.prose, self.layout):
+                counts.append(0)
+
+    def _count(self, tag: str, article: bool, step: int) -> None:
+        if tag in PROSE:
+            self.prose[-1] += step
+        elif tag in BLOCKS and not article:
+            self.layout[-1] += step
 
     def handle_startendtag(self, tag: str, attributes: list) -> None:
         self.handle_starttag(tag, attributes)
@@ -140,11 +168,13 @@ class _Reader(HTMLParser):
     def _close(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                for _, chrome, named, article in reversed(self.open[i:]):
+                for name, chrome, named, article in reversed(self.open[i:]):
                     if article:
-                        self.named.pop()
+                        for counts in (self.named, self.prose, self.layout):
+                            counts.pop()
                     self.chrome -= chrome
                     self.named[-1] -= named
+                    self._count(name, article, -1)
                 del self.open[i:]
                 return
 
@@ -153,8 +183,9 @@ class _Reader(HTMLParser):
             self.parts.append(data)
 
 
-def page_blocks(html: str | None) -> tuple[bool, list[str]]:
-    """Whether the page marks its article, and the blocks of the article or else of the page.
+def _page(html: str | None) -> tuple[bool, list[str], list[int], list[list[str]]]:
+    """Whether the page marks its article; the blocks of the article or else of the page; for each
+    the stretch of layout that it belongs to, or -1; and the stretches of blocks beside an article.
 
     Articles that a class of chrome wraps are its article only where no other is marked.
     """
@@ -162,27 +193,77 @@ def page_blocks(html: str | None) -> tuple[bool, list[str]]:
     reader.feed(html or "")
     reader.close()
     reader.flush()
-    for place in (ARTICLE, WRAPPED):
-        inside = [text for at, text in reader.blocks if at == place]
-        if inside:
-            return True, inside
-    return False, [text for _, text in reader.blocks]
+    places = {place for place, *_ in reader.blocks}
+    marked = next((place for place in (ARTICLE, WRAPPED) if place in places), None)
+    if marked is None:
+        return False, [text for *_, text in reader.blocks], [-1] * len(reader.blocks), []
+    blocks, stretches, beside = [], [], []
+    before, stretch = None, -1
+    for place, layout, text in reader.blocks:
+        kind = (place, layout and place == marked)
+        if place == marked:
+            stretch += layout and kind != before
+            blocks.append(text)
+            stretches.append(stretch if layout else -1)
+        elif place == BESIDE:
+            if kind != before:
+                beside.append([])
+            beside[-1].append(text)
+        before = kind
+    return True, blocks, stretches, beside
+
+
+def page_blocks(html: str | None) -> tuple[bool, list[str]]:
+    """Whether the page marks its article, and the blocks of the article or else of the page."""
+    return _page(html)[:2]
+
+
+def _smallest(runs: np.ndarray) -> list[int]:
+    """The smallest of each of ``SLOTS`` hashes of the runs."""
+    odd = np.arange(1, 2 * SLOTS, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = runs ^ (runs >> np.uint64(29))
+    return [int(((mixed * m) >> np.uint64(1)).min()) for m in odd]
+
+
+def _layout(blocks: list[str], stretches: list[int]) -> tuple[list[list[str]], list[int] | None]:
+    """Stretches of layout of an article that runs may decide about, and the smallest hashes of the rest."""
+    prose, layout = [], {}
+    for block, stretch in zip(blocks, stretches, strict=True):
+        (prose if stretch < 0 else layout.setdefault(stretch, [])).append(block)
+    if not layout:
+        return [], None
+    runs, tokens = _runs(prose)
+    if not len(runs) or len(tokens) <= sum(block.count(" ") + 1 for stretch in layout.values() for block in stretch):
+        return [], None
+    return list(layout.values()), _smallest(runs)
+
+
+READ = """page_id long, url string, _key long, blocks array<string>, stretches array<int>,
+    streams array<array<array<string>>>, smallest array<long>"""
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the blocks of their text and, by kind, the streams that their host is told by.
+
+    ``stretches`` is null where runs may cut any token.
+    """
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             part = batch.slice(first, 256)
-            found = [page_blocks(h.as_py()) for h in part.column("html")]
+            found = []
+            for html in part.column("html"):
+                marked, blocks, stretches, beside = _page(html.as_py())
+                if marked:
+                    layout, smallest = _layout(blocks, stretches)
+                    found.append((blocks, stretches, [[], beside, layout] if beside or layout else [], smallest))
+                else:
+                    found.append((blocks, None, [[blocks], [], []] if blocks else [], None))
+            texts = pa.list_(pa.string())
+            types = texts, pa.list_(pa.int32()), pa.list_(pa.list_(texts)), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("page_id"),
-                    part.column("url"),
-                    part.column("_key"),
-                    pa.array([m for m, _ in found]),
-                    pa.array([b for _, b in found], pa.list_(pa.string())),
-                ],
-                names=["page_id", "url", "_key", "marked", "blocks"],
+                [part.column(c) for c in ("page_id", "url", "_key")]
+                + [pa.array([f[i] for f in found], t) for i, t in enumerate(types)],
+                names=["page_id", "url", "_key", "blocks", "stretches", "streams", "smallest"],
             )
 
 
@@ -199,40 +280,60 @@ def _runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct runs of every page and kind; the first row of layout also holds the smallest hashes."""
     for batch in batches:
         for i in range(batch.num_rows):
-            runs, _ = _runs(batch.column("blocks")[i].as_py())
-            distinct = np.unique(runs).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.column(c)[i].as_py()] * len(distinct), t) for c, t in (("host", pa.string()), ("_key", pa.int64()))]
-                + [pa.array(distinct)],
-                names=["host", "_key", "run"],
-            )
-
-
-def _unique_text(blocks: list[str], repeated: np.ndarray) -> list[str]:
-    """Blocks without the words that repeated runs cover."""
+            smallest = batch.column("smallest")[i].as_py()
+            for kind, stretches in enumerate(batch.column("streams")[i].as_py()):
+                found = [_runs(stretch)[0] for stretch in stretches]
+                distinct = np.unique(np.concatenate([np.empty(0, np.uint64), *found])).view(np.int64)
+                n = len(distinct)
+                if not n:
+                    continue
+                hashes = [smallest if kind == LAYOUT else None] + [None] * (n - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(c)[i].as_py()] * n, t) for c, t in (("host", pa.string()), ("_key", pa.int64()))]
+                    + [pa.array([kind] * n, pa.int32()), pa.array(distinct), pa.array(hashes, pa.list_(pa.int64()))],
+                    names=["host", "_key", "kind", "run", "smallest"],
+                )
+
+
+def _kept(blocks: list[str], repeated: np.ndarray) -> Iterator[tuple[str, list[str]]]:
+    """Blocks of a stream, each with its words that no repeated run covers."""
     runs, hashes = _runs(blocks)
     keep = np.ones(len(hashes), bool)
     for at in np.flatnonzero(np.isin(runs, repeated)):
         keep[at : at + MIN_RUN] = False
-    out, n = [], 0
+    n = 0
     for block in blocks:
         tokens = block.split(" ")
-        left = [t for t, k in zip(tokens, keep[n : n + len(tokens)], strict=False) if k]
+        yield block, [t for t, k in zip(tokens, keep[n : n + len(tokens)], strict=False) if k]
         n += len(tokens)
-        if left:
-            out.append(" ".join(left))
+
+
+def _unique_text(blocks: list[str], repeated: np.ndarray) -> list[str]:
+    """Blocks without the words that repeated runs cover."""
+    return [" ".join(left) for _, left in _kept(blocks, repeated) if left]
+
+
+def _unique_layout(blocks: list[str], stretches: list[int], repeated: np.ndarray) -> list[str]:
+    """Blocks of an article without those of its layout that repeated runs cover whole."""
+    out = []
+    for stretch, group in groupby(zip(stretches, blocks, strict=True), key=itemgetter(0)):
+        own = [block for _, block in group]
+        out += own if stretch < 0 else [block for block, left in _kept(own, repeated) if left]
     return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for blocks, repeated in zip(batch.column("blocks"), batch.column("_repeated"), strict=True):
+        columns = (batch.column(c) for c in ("blocks", "stretches", "_repeated"))
+        for blocks, stretches, repeated in zip(*columns, strict=True):
             own = blocks.as_py()
             if repeated.is_valid:
-                own = _unique_text(own, np.array(repeated.as_py(), np.int64).view(np.uint64))
+                runs = np.array(repeated.as_py(), np.int64).view(np.uint64)
+                own = _unique_layout(own, stretches.as_py(), runs) if stretches.is_valid else _unique_text(own, runs)
             texts.append("\n".join(own))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
@@ -240,22 +341,51 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _unlike(rows: DataFrame, other: str, smallest: DataFrame) -> DataFrame:
+    """Rows whose article shares none of its smallest hashes with that of the page ``other``."""
+    pairs = rows.select("host", "_key", other).distinct().join(smallest, ["host", "_key"])
+    others = smallest.select("host", F.col("_key").alias(other), F.col("smallest").alias("_others"))
+    pairs = pairs.join(others, ["host", other]).filter(~F.arrays_overlap("smallest", "_others"))
+    return rows.join(pairs.select("host", "_key", other), ["host", "_key", other])
+
+
+def _repeated(streams: DataFrame) -> DataFrame:
+    """The runs of pages, as host, key and run, that their host repeats."""
+
+    def ends(name: str, *kinds: int) -> list[Column]:
+        key = F.when(F.col("kind").isin(*kinds), F.col("_key"))
+        return [F.min(key).alias(f"{name}_x"), F.max(key).alias(f"{name}_y")]
+
+    groups = streams.groupBy("host", "run").agg(*ends("plain", UNMARKED, OUTSIDE), *ends("layout", LAYOUT))
+    met = streams.drop("smallest").join(groups.filter("plain_x <> plain_y or layout_x <> layout_y"), ["host", "run"])
+    plain = met.filter(f"kind = {UNMARKED} and plain_x <> plain_y").select("host", "_key", "run")
+    layout = met.filter(f"kind = {LAYOUT} and layout_x <> layout_y")
+    layout = stored(layout.select("host", "_key", "run", F.col("layout_x").alias("one")))
+    if layout.isEmpty():
+        return plain
+    smallest = stored(streams.filter("smallest is not null").select("host", "_key", "smallest").dropDuplicates(["host", "_key"]))
+    far = stored(_unlike(layout, "one", smallest))
+    near = layout.join(far.groupBy("host", "run").agg(F.min("_key").alias("two")), ["host", "run"])
+    told = far.select(plain.columns).union(_unlike(near, "two", smallest).select(plain.columns))
+    return plain.union(told)
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
     ship(pages.sparkSession)
     row = F.xxhash64("html")
     given = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", row.alias("_key"))
-    read = given.mapInArrow(_read, "page_id long, url string, _key long, marked boolean, blocks array<string>")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
-    plain = read.filter("not marked and size(blocks) > 0").select(host.alias("host"), "_key", "blocks")
-    streams = stored(plain.mapInArrow(_streams, "host string, _key long, run long"))
-    again = streams.groupBy("host", "run").agg(F.min("_key").alias("x"), F.max("_key").alias("y")).filter("x <> y")
-    repeated = streams.join(again.select("host", "run"), ["host", "run"]).groupBy("_key")
-    repeated = stored(repeated.agg(F.collect_set("run").alias("_repeated")))
-    if repeated.isEmpty():
+    read = given.mapInArrow(_read, READ).withColumn("host", host)
+    told = read.filter("size(streams) > 0 and (stretches is null or host <> '')").select("host", "_key", "streams", "smallest")
+    streams = stored(told.mapInArrow(_streams, "host string, _key long, kind int, run long, smallest array<long>"))
+    repeated = None
+    if not streams.isEmpty():
+        repeated = stored(_repeated(streams).groupBy("host", "_key").agg(F.collect_set("run").alias("_repeated")))
+    if repeated is None or repeated.isEmpty():
         cut = read.withColumn("_repeated", F.lit(None).cast("array<long>"))
     else:
-        cut = read.join(repeated, "_key", "left")
-    return cut.select("page_id", "url", "blocks", "_repeated").mapInArrow(
+        cut = read.join(repeated, ["host", "_key"], "left")
+    return cut.select("page_id", "url", "blocks", "stretches", "_repeated").mapInArrow(
         _cut, "page_id long, url string, text string, n_chars long"
     )

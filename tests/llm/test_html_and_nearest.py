@@ -84,6 +84,62 @@ def test_what_a_host_repeats_is_removed_without_markup(spark):
     assert main_text(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def article(i, *layout, words=30):
+    prose = " ".join(f"own{i}x{j}" for j in range(words))
+    return f"<main><h1>Title {i}</h1>{''.join(layout)}<p>{prose}</p></main>", f"Title {i}", prose
+
+
+def test_what_a_host_repeats_in_the_layout_of_articles_is_removed(spark):
+    menu = "".join(f"<li>Go to {k}</li>" for k in "abcde")
+    shared = "one passage of ten words that two articles both quote"
+    rows, want = [], []
+
+    def add(url, html, *blocks):
+        rows.append((len(rows), url, html))
+        want.append("\n".join(blocks))
+
+    for i in range(5):
+        only = f"Only {i} has this block of more than eight words"
+        html, title, prose = article(i, f"<ul>{menu}</ul>", f"<div>{only}</div>", f"<p>{shared}</p>")
+        add(f"http://One.org/{i}", html, title, only, shared, prose)
+    add("http://one.org/0", rows[0][2], want[0])
+    html, title, prose = article(6, f"<ul>{menu}<li>More</li></ul>")
+    add("http://one.org/6", html, title, "More", prose)
+    listed = [f"Go to {k}" for k in "abcde"]
+    html, title, prose = article(7, f"<ul>{menu}</ul>", words=8)
+    add("http://one.org/short", html, title, *listed, prose)
+    html, title, prose = article(8, f"<ul>{menu}</ul>")
+    for url in ("http://two.org/", None):
+        add(url, html, title, *listed, prose)
+    add(None, html.replace("own8", "own9"), title, *listed, prose.replace("own8", "own9"))
+    for i in range(2):
+        html, title, prose = article(10, f"<section>{shared}</section>", words=40)
+        add("http://copies.org/", html.replace("own10x39", f"end{i}"), title, shared, prose.replace("own10x39", f"end{i}"))
+    got = main_text(spark.createDataFrame([(*r, "h", "t") for r in rows], PAGES)).collect()
+    assert {r.page_id: r.text for r in got} == dict(enumerate(want))
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_near_copies_of_one_article_among_unlike_ones(spark):
+    note = "<div>the same notice of this host on all of its pages</div>"
+    html, title, prose = article(0, note, words=40)
+    rows = [(i, "http://one.org/", html.replace("own0x39", f"end{i}"), "h", "t") for i in range(6)]
+    before = main_text(spark.createDataFrame(rows, PAGES)).collect()
+    assert all(r.text.startswith(f"{title}\nthe same notice") for r in before) and len(before) == 6
+    rows.append((6, "http://one.org/", article(1, note)[0], "h", "t"))
+    after = main_text(spark.createDataFrame(rows, PAGES)).collect()
+    assert len(after) == 7 and not any("notice" in r.text for r in after)
+
+
+def test_unmarked_pages_are_told_by_what_stands_beside_articles_of_their_host(spark):
+    menu = "start here then go on to the shop or leave now"
+    lead = "an article that marks itself may be quoted by others whole"
+    rows = [(i, f"http://{host}.org/a", f"<div>{menu}</div><p>text {lead}</p>") for i, host in enumerate(["one", "two"])]
+    rows.append((2, "http://one.org/b", f"<div>{menu}</div><article><p>{lead}</p></article><div>after</div>"))
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame([(*r, "h", "t") for r in rows], PAGES)).collect()}
+    assert got == {0: f"text {lead}", 1: f"{menu}\ntext {lead}", 2: lead}
+
+
 def exact(ids, x, k):
     out = {}
     for i in np.flatnonzero(ids % 20 == 0):
